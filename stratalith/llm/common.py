@@ -94,7 +94,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def odd_constants(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit multipliers that follow from the seed."""
-    return mix64(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return mix64(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) | np.uint64(1)
 
 
 def window_hashes(values: np.ndarray, width: int, seed: int = 1) -> np.ndarray:

@@ -6,9 +6,10 @@
 3. In each band key's group, every class is paired with the group's least class (its pivot), not with all others. The
    share of equal registers, corrected for chance collisions, estimates the similarity of a pair; pairs far below the
    threshold go, the rest are verified on their full sets.
-4. Links make components. A group whose classes lie in several components gets further pivots, from its smaller
-   components, until all of them were compared with all members of other components: no link between components can
-   be lost by the pairing, and a group that is one component costs one comparison a member.
+4. Links make components. In a group of several components, the classes outside of the largest are compared with ever
+   more pivots of other components, until all were pivots: no link between components can be lost by the pairing, and a
+   group that is one component costs one comparison a member. Classes that no class of any such group can be linked
+   with, since too few of their shingles occur in others, leave the groups.
 
 A link of similarity 0.75 shares no band key with a probability of about (1 - 0.75 ** 4) ** 32 = 5e-6, and a true pair
 falls below the estimate's margin of six standard deviations with less than 1e-8.
@@ -41,7 +42,7 @@ COLLISIONS = 0.169919487159739093975315012348
 SIGMAS = 6.0
 #: A table of pairs or ids of at most so many rows may be broadcast.
 BROADCAST_ROWS = 200_000
-#: New pivots of a group in round r: PIVOTS ** r.
+#: Pivots of a group in round r, from its main component and from the others: PIVOTS ** r each.
 PIVOTS = 4
 
 SKETCHES = "doc_id long, n_shingles long, set_hash binary, sketch binary"
@@ -68,17 +69,31 @@ def shingle_sets(texts: Iterable[bytes | None], width: int = WIDTH) -> Iterator[
             yield np.zeros(0, np.uint64)
 
 
+def walks() -> np.ndarray:
+    """For each bucket all buckets in an order of its own: where an empty one looks for a value."""
+    h = mix64(np.arange(BUCKETS * BUCKETS, dtype=np.uint64) + np.uint64(23)).reshape(BUCKETS, BUCKETS)
+    return np.argsort(h, axis=1)
+
+
+WALKS = walks()
+
+
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """The sketch of a sorted set: per bucket 0 if empty, else 1 + leading zeros << 10 | mantissa of its least hash."""
+    """The sketch of a sorted non-empty set: per bucket 1 + leading zeros << 10 | mantissa of its least hash. An empty
+    bucket borrows from the first non-empty one on its walk, so that any register of two sets agrees with the
+    probability of their similarity (densified one-permutation hashing), also if the sets are small."""
     out = np.zeros(BUCKETS, np.uint16)
-    if len(shingles):
-        bucket = (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rest = (shingles[first] & np.uint64((1 << (64 - BUCKET_BITS)) - 1)) >> np.uint64(64 - BUCKET_BITS - 53)
-        length = np.frexp(rest.astype(np.float64))[1]  # exact: 53 bits
-        zeros = 53 - length
-        top = (rest << np.minimum(zeros + 1, 63).astype(np.uint64)) & np.uint64((1 << 53) - 1)
-        out[bucket[first]] = 1 + (zeros << MANTISSA_BITS) + (top >> np.uint64(53 - MANTISSA_BITS)).astype(np.int64)
+    bucket = (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rest = (shingles[first] & np.uint64((1 << (64 - BUCKET_BITS)) - 1)) >> np.uint64(64 - BUCKET_BITS - 53)
+    length = np.frexp(rest.astype(np.float64))[1]  # exact: 53 bits
+    zeros = 53 - length
+    top = (rest << np.minimum(zeros + 1, 63).astype(np.uint64)) & np.uint64((1 << 53) - 1)
+    out[bucket[first]] = 1 + (zeros << MANTISSA_BITS) + (top >> np.uint64(53 - MANTISSA_BITS)).astype(np.int64)
+    empty = np.flatnonzero(out == 0)
+    if len(empty):
+        walk = WALKS[empty]
+        out[empty] = out[walk[np.arange(len(empty)), (out[walk] > 0).argmax(axis=1)]]
     return out
 
 
@@ -99,7 +114,7 @@ def set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def band_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, key, rep) of each non-empty band of a class."""
+    """(band, key, rep) of each band of a class."""
     weights = np.arange(BANDS, dtype=np.int32)
     for batch in batches:
         reps = batch.column(0).to_numpy()
@@ -116,11 +131,11 @@ def estimated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         n_a, n_b = (batch.column(k).to_numpy().astype(np.float64) for k in (2, 3))
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in (4, 5))
-        used = ((a > 0) | (b > 0)).sum(axis=1)
-        equal = ((a == b) & (a > 0)).sum(axis=1)
+        used = BUCKETS * (1 - (1 - 1 / BUCKETS) ** np.maximum(n_a, n_b))  # buckets with a value of their own
+        equal = (a == b).sum(axis=1)
         ratio = np.maximum(n_a, n_b) / np.minimum(n_a, n_b)
         chance = COLLISIONS * 4 * ratio / (1 + ratio) ** 2 / 2**MANTISSA_BITS
-        estimate = np.maximum(0, equal / used - chance) / (1 - chance)
+        estimate = np.maximum(0, equal / BUCKETS - chance) / (1 - chance)
         least = THRESHOLD / 100
         margin = SIGMAS * np.sqrt(least * (1 - least) / used)
         ok = (estimate >= least - margin) & (100 * np.minimum(n_a, n_b) >= THRESHOLD * np.maximum(n_a, n_b))
@@ -184,6 +199,25 @@ def empty_pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "a long, b long")
 
 
+def shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, shingle) of each shingle of (rep, shingles)."""
+    for batch in batches:
+        sets = batch.column(1).to_pylist()
+        n = np.array([len(s) // 8 for s in sets], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.frombuffer(b"".join(sets), np.int64))], ["rep", "shingle"])
+
+
+def hopeless(open_groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """The classes of which so many shingles occur in no other class of any open group that none of these can be linked
+    with it: the similarity of x is at most the share of its shingles that others have. Exact."""
+    hard = open_groups.select(F.col("rep").alias("__rep")).distinct()
+    own = sets.join(maybe_broadcast(hard, hard.count()), F.col("doc_id") == F.col("__rep"), "left_semi")
+    single = own.groupBy("doc_id").agg(F.count("*").alias("sets"), F.max("n").alias("n")).where("sets = 1")
+    seen = own.select("doc_id", "shingles").mapInArrow(shingle_rows, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("r"))
+    alone = seen.where("c = 1").groupBy("r").agg(F.count("*").alias("u"))
+    return single.join(alone, F.col("doc_id") == F.col("r")).where(f"100 * (n - u) < {THRESHOLD} * n").select(F.col("doc_id").alias("__gone"))
+
+
 def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between classes: enough to connect all that are connected."""
     spark = classes.sparkSession
@@ -200,32 +234,35 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(set_rows, SETS)
     sets = stored(sets.dropDuplicates(["doc_id", "shingles"]) if repeated_ids(docs) else sets, "sets")
     links = stored(verified(pairs, sets), "links")
-    members = members.where("size > 2").select("band", "key", "rep", "pivot")
-    per_round = PIVOTS
+    members = members.where("size > 2").select("band", "key", "rep")
+    number = PIVOTS
     while True:
-        where = components(links)
-        placed = members.join(where, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-        parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-        mixed = parts.groupBy("band", "key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "key", "main")
-        open_groups = stored(placed.join(mixed, ["band", "key"]), "open")
-        outside = open_groups.where("component != main").select("band", "key", F.col("rep").alias("p"), F.col("component").alias("pc"))
-        rank = Window.partitionBy("band", "key").orderBy("p")
-        pivots = outside.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_round).drop("r")
-        facing = open_groups.join(pivots, ["band", "key"]).where("component != pc")
-        new = facing.select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        new = stored(new, "pairs")
-        done = new.isEmpty()
-        if done and outside_bounded(outside, per_round):
+        open_groups = mixed_groups(members, components(links))
+        if open_groups.isEmpty():
             return links
-        per_round *= PIVOTS
-        if not done:
+        gone = stored(hopeless(open_groups, sets), "hopeless")
+        members = stored(open_groups.join(maybe_broadcast(gone, gone.count()), F.col("rep") == F.col("__gone"), "left_anti"), "open")
+        main = F.col("component") == F.col("main")
+        rank = F.row_number().over(Window.partitionBy("band", "key", "outside").orderBy(F.xxhash64("rep"), "rep"))
+        pivots = members.withColumn("outside", ~main).withColumn("r", rank).where(F.col("r") <= number).select("band", "key", F.col("rep").alias("p"), F.col("component").alias("pc"))
+        facing = members.where(~main).join(pivots, ["band", "key"]).where("component != pc")
+        new = stored(facing.select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
+        found = not new.isEmpty()
+        if found:
             compared = compared.unionByName(new)
             links = stored(links.unionByName(verified(stored(plausible(new, classes), "plausible"), sets)), "links")
-
-
-def outside_bounded(outside: DataFrame, per_round: int) -> bool:
-    """Whether every group's outside classes were all pivots by now."""
-    return outside.groupBy("band", "key").count().where(F.col("count") > per_round).isEmpty()
+        elif members.groupBy("band", "key", main.alias("m")).count().where(F.col("count") > number).isEmpty():
+            return links  # all members of all groups were pivots
+        members = members.select("band", "key", "rep")
+        number *= PIVOTS
+
+
+def mixed_groups(members: DataFrame, where: DataFrame) -> DataFrame:
+    """The rows (band, key, rep) of groups with several components, with each row's component and the group's largest."""
+    placed = stored(members.join(where, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
+    parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band", "key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return stored(placed.join(mixed.select("band", "key", "main"), ["band", "key"]), "mixed")
 
 
 def repeated_ids(docs: DataFrame) -> bool:
