@@ -6,10 +6,10 @@
 3. In each band key's group, every class is paired with the group's least class (its pivot), not with all others. The
    share of equal registers, corrected for chance collisions, estimates the similarity of a pair; pairs far below the
    threshold go, the rest are verified on their full sets.
-4. Links make components. In a group of several components, the classes outside of the largest are compared with ever
-   more pivots of other components, until all were pivots: no link between components can be lost by the pairing, and a
-   group that is one component costs one comparison a member. Classes that no class of any such group can be linked
-   with, since too few of their shingles occur in others, leave the groups.
+4. Links make components. In a group of several components, the classes outside of the largest are compared with some
+   pivots of other components, then with all: no link between components can be lost by the pairing, and a
+   group that is one component costs one comparison a member. Pairs of which too few shingles occur in more than one
+   component are never made: an exact bound that spares the copies of one text that differ too much to be linked.
 
 A link of similarity 0.75 shares no band key with a probability of about (1 - 0.75 ** 4) ** 32 = 5e-6, and a true pair
 falls below the estimate's margin of six standard deviations with less than 1e-8.
@@ -42,8 +42,8 @@ COLLISIONS = 0.169919487159739093975315012348
 SIGMAS = 6.0
 #: A table of pairs or ids of at most so many rows may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Pivots of a group in round r, from its main component and from the others: PIVOTS ** r each.
-PIVOTS = 4
+#: Pivots of a group in the first round of a mixed group, from its main component and from the others each; then all.
+PIVOTS = 8
 
 SKETCHES = "doc_id long, n_shingles long, set_hash binary, sketch binary"
 SETS = "doc_id long, n long, shingles binary"
@@ -181,18 +181,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b): its least reachable node, by alternating star contraction."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    while True:
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(least, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        small = stored(small.where("u != v").distinct(), "edges")
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, small)]
-        if sums[0] == sums[1]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        edges = small
+        edges = stored(small.where("u != v").distinct(), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every node has at most one edge to a lesser node, and that has none."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty()
 
 
 def empty_pairs(spark: SparkSession) -> DataFrame:
@@ -200,66 +203,93 @@ def empty_pairs(spark: SparkSession) -> DataFrame:
 
 
 def shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, shingle) of each shingle of (rep, shingles)."""
+    """(rep, component, shingle) of each shingle of (rep, component, shingles)."""
     for batch in batches:
-        sets = batch.column(1).to_pylist()
+        sets = batch.column(2).to_pylist()
         n = np.array([len(s) // 8 for s in sets], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.frombuffer(b"".join(sets), np.int64))], ["rep", "shingle"])
+        columns = [pa.array(np.repeat(batch.column(k).to_numpy(), n)) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.frombuffer(b"".join(sets), np.int64))], ["rep", "component", "shingle"])
+
+
+def common_shingles(open_groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(__rep, n, h0, h1, ...) of the classes of open groups: the number of their shingles, and how many of those that
+    occur in another component have each hash remainder.
+
+    Two classes x, y of different components have at most i = least(x.h0, y.h0) + least(x.h1, y.h1) + ... shingles in
+    common, so their similarity is at most i / (n_x + n_y - i). A rep with several sets (rows of one doc_id) gets no bound.
+    """
+    hard = open_groups.select(F.col("rep").alias("__rep"), F.col("component").alias("__component")).distinct()
+    own = sets.join(maybe_broadcast(hard, hard.count()), F.col("doc_id") == F.col("__rep"))
+    rows = stored(own.select("__rep", "__component", "shingles").mapInArrow(shingle_rows, "rep long, component long, shingle long"), "shingles")
+    shared = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
+    part = F.pmod("shingle", F.lit(PARTS))
+    parts = rows.join(shared, "shingle", "left_semi").groupBy("rep").agg(*[F.count(F.when(part == k, 1)).alias(f"h{k}") for k in range(PARTS)])
+    n = own.groupBy("__rep").agg(F.count("*").alias("sets"), F.max("n").alias("n"))
+    bound = n.join(parts, F.col("__rep") == F.col("rep"), "left")
+    single = F.col("sets") == 1
+    return bound.select("__rep", F.when(single, F.col("n")).otherwise(0).alias("n"), *[F.when(single, F.coalesce(f"h{k}", F.lit(0))).otherwise(1 << 30).cast("int").alias(f"h{k}") for k in range(PARTS)])
 
 
-def hopeless(open_groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """The classes of which so many shingles occur in no other class of any open group that none of these can be linked
-    with it: the similarity of x is at most the share of its shingles that others have. Exact."""
-    hard = open_groups.select(F.col("rep").alias("__rep")).distinct()
-    own = sets.join(maybe_broadcast(hard, hard.count()), F.col("doc_id") == F.col("__rep"), "left_semi")
-    single = own.groupBy("doc_id").agg(F.count("*").alias("sets"), F.max("n").alias("n")).where("sets = 1")
-    seen = own.select("doc_id", "shingles").mapInArrow(shingle_rows, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("r"))
-    alone = seen.where("c = 1").groupBy("r").agg(F.count("*").alias("u"))
-    return single.join(alone, F.col("doc_id") == F.col("r")).where(f"100 * (n - u) < {THRESHOLD} * n").select(F.col("doc_id").alias("__gone"))
+#: Remainders by which shared shingles are counted.
+PARTS = 32
+COMMON = " + ".join(f"least(h{k}, ph{k})" for k in range(PARTS))
+#: Whether the bound leaves a member and a pivot a chance.
+POSSIBLE = f"component != pc AND {100 + THRESHOLD} * ({COMMON}) >= {THRESHOLD} * (n + pn)"
 
 
 def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between classes: enough to connect all that are connected."""
+    """(node, component) of the classes that are linked with another one."""
     spark = classes.sparkSession
     bands = classes.select("rep", "sketch").mapInArrow(band_rows, "band int, key long, rep long").select("band", "key", "rep")
     groups = bands.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
     members = stored(bands.join(groups.select("band", "key", "pivot", "size"), ["band", "key"]).select("band", "key", "rep", "pivot", "size"), "members")
     compared = stored(members.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    pairs = stored(plausible(compared, classes), "plausible")
     involved = members.select(F.col("rep").alias("id")).distinct()
     rows = involved.count()
     if not rows:
-        return empty_pairs(spark)
+        return components(empty_pairs(spark))
     texts = id_text(docs).join(maybe_broadcast(involved, rows), F.col("doc_id") == F.col("id"), "left_semi")
     sets = texts.mapInArrow(set_rows, SETS)
     sets = stored(sets.dropDuplicates(["doc_id", "shingles"]) if repeated_ids(docs) else sets, "sets")
-    links = stored(verified(pairs, sets), "links")
+    where = components(verified(stored(plausible(compared, classes), "plausible"), sets))
     members = members.where("size > 2").select("band", "key", "rep")
-    number = PIVOTS
+    bounds, number = None, PIVOTS
     while True:
-        open_groups = mixed_groups(members, components(links))
-        if open_groups.isEmpty():
-            return links
-        gone = stored(hopeless(open_groups, sets), "hopeless")
-        members = stored(open_groups.join(maybe_broadcast(gone, gone.count()), F.col("rep") == F.col("__gone"), "left_anti"), "open")
-        main = F.col("component") == F.col("main")
-        rank = F.row_number().over(Window.partitionBy("band", "key", "outside").orderBy(F.xxhash64("rep"), "rep"))
-        pivots = members.withColumn("outside", ~main).withColumn("r", rank).where(F.col("r") <= number).select("band", "key", F.col("rep").alias("p"), F.col("component").alias("pc"))
-        facing = members.where(~main).join(pivots, ["band", "key"]).where("component != pc")
-        new = stored(facing.select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
-        found = not new.isEmpty()
-        if found:
+        members = mixed_groups(members, where)
+        if members.isEmpty():
+            return where
+        if bounds is None:
+            bounds = stored(common_shingles(members, sets), "bounds")
+        bounded = members.join(bounds, F.col("rep") == F.col("__rep")).drop("__rep")
+        new = stored(facing(bounded, number).distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
+        if not new.isEmpty():
             compared = compared.unionByName(new)
-            links = stored(links.unionByName(verified(stored(plausible(new, classes), "plausible"), sets)), "links")
-        elif members.groupBy("band", "key", main.alias("m")).count().where(F.col("count") > number).isEmpty():
-            return links  # all members of all groups were pivots
+            links = verified(stored(plausible(new, classes), "plausible"), sets)
+            where = components(where.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+            number = None
+        elif number is None:
+            return where  # all members of all groups were pivots
+        else:
+            number = None
         members = members.select("band", "key", "rep")
-        number *= PIVOTS
+
+
+def facing(members: DataFrame, number: int | None) -> DataFrame:
+    """Pairs (a, b) of a group's classes outside of its largest component with ``number`` pivots of other components
+    (all, if None), of those that the bounds leave possible."""
+    outside = F.col("component") != F.col("main")
+    pivots = members
+    if number is not None:
+        rank = F.row_number().over(Window.partitionBy("band", "key", "outside").orderBy(F.xxhash64("rep"), "rep"))
+        pivots = members.withColumn("outside", outside).withColumn("r", rank).where(F.col("r") <= number)
+    pivots = pivots.select(F.col("band").alias("pband"), F.col("key").alias("pkey"), F.col("rep").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"), *[F.col(f"h{k}").alias(f"ph{k}") for k in range(PARTS)])
+    met = members.where(outside).join(pivots, (F.col("band") == F.col("pband")) & (F.col("key") == F.col("pkey")) & F.expr(POSSIBLE))
+    return met.select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b"))
 
 
 def mixed_groups(members: DataFrame, where: DataFrame) -> DataFrame:
     """The rows (band, key, rep) of groups with several components, with each row's component and the group's largest."""
-    placed = stored(members.join(where, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component")), "placed")
+    placed = members.join(where, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("band", "key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     return stored(placed.join(mixed.select("band", "key", "main"), ["band", "key"]), "mixed")
@@ -275,7 +305,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = stored(id_text(docs).mapInArrow(sketch_rows, SKETCHES), "sketches")
     named = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stored(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
-    found = components(class_links(classes, docs))
+    found = class_links(classes, docs)
     of_class = classes.select("set_hash", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     joined = sketches.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
