@@ -266,11 +266,9 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
             compared = compared.unionByName(new)
             links = verified(stored(plausible(new, classes), "plausible"), sets)
             where = components(where.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
-            number = None
-        elif number is None:
-            return where  # all members of all groups were pivots
-        else:
-            number = None
+        if number is None:
+            return where  # all members of all groups were pivots: components only merge, so no pair is left
+        number = None
         members = members.select("band", "key", "rep")
 
 
