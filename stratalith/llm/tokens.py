@@ -16,17 +16,32 @@ from functools import lru_cache
 from itertools import count
 
 import numpy as np
-import regex
 
 #: White space of the files' patterns (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0  -     　"
-#: Chunks with a character beyond this one, or with more characters, go to the library.
-LAST_PLAIN, LONGEST = "ɏ", 60
+#: Chunks with a character beyond this one, an apostrophe (contractions), or more characters go to the library.
+LAST_PLAIN, LONGEST = 0x24F, 60
 #: Characters that Python's split() takes as white space and the files' patterns don't.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Other white space than single blanks and line ends: the pattern itself must cut these texts.
-ODD_SPACE = re.compile("[\0\t\v-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n]{3}|[ \n]{2}\\Z")
+ODD_SPACES = "\0\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+TWO_SPACES = ("  ", " \n", "\n ", "\n\n")
+ODD_RUN = re.compile("[ \n]{3}|[ \n]{2}\\Z")
 NO_RANK = 1 << 30
+
+LETTER, DIGIT, SIGN, ODD = range(4)
+
+
+def kind_of(code: int) -> int:
+    """What a character is for the patterns."""
+    c = chr(code)
+    if code > LAST_PLAIN or c in "'\u0130" or c.isspace() and c not in " \n":
+        return ODD
+    return LETTER if c.isalpha() else DIGIT if unicodedata.category(c)[0] == "N" else SIGN
+
+
+KINDS = np.array([kind_of(c) for c in range(LAST_PLAIN + 2)], np.uint8)
+LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(LAST_PLAIN + 2)], np.uint32)
 #: Distinct chunks that a worker remembers.
 CACHE_CHUNKS = 400_000
 
@@ -45,8 +60,6 @@ class Encoder:
         vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.word_end = model["end_of_word_suffix"] or ""
         self.words_only = bool(self.word_end)
-        split = next((p["pattern"]["Regex"] for p in spec["pre_tokenizer"].get("pretokenizers", [])[:1]), None)
-        self.pieces = regex.compile(split or r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.chunks = re.compile(f"[^{WHITE}]+" if self.words_only else f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
         alphabet = byte_alphabet()
         self.byte_ids = np.array([vocab[alphabet[b]] for b in range(256)], np.int64)
@@ -65,14 +78,13 @@ class Encoder:
         k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[k] == key, self.ranks[k], NO_RANK)
 
-    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces (UTF-8) one after another and each piece's number of ids, by byte pair merges of all
-        pieces of one length together."""
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        lengths, done = np.zeros(len(pieces), np.int64), []
-        for size in np.unique(sizes).tolist():
+    def merged(self, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces (spans of UTF-8 bytes) one after another and each piece's number of ids, by byte pair
+        merges of all pieces of one length together."""
+        lengths, done = np.zeros(len(sizes), np.int64), []
+        for size in np.unique(sizes[sizes > 0]).tolist():
             rows = np.flatnonzero(sizes == size)
-            data = np.frombuffer(b"".join([pieces[i] for i in rows.tolist()]), np.uint8).reshape(-1, size)
+            data = text[begin[rows][:, None] + np.arange(size)]
             ids = self.byte_ids[data]
             ids[:, -1] = self.end_ids[data[:, -1]]
             ranks = self.rank(ids[:, :-1], ids[:, 1:])
@@ -107,45 +119,54 @@ class Encoder:
         return flat, lengths
 
     def chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks one after another and each chunk's number of ids."""
-        numbers, of, n_pieces, other = Numbered(), [], np.ones(len(chunks), np.int64), []
-        for i, c in enumerate(chunks):
-            if c.isascii():
-                text = c.lower() if self.words_only else c
-                if len(c) > LONGEST:
-                    text = None
-            elif len(c) <= LONGEST and max(c) <= LAST_PLAIN and "\x85" not in c and "İ" not in c:
-                text = unicodedata.normalize("NFC", c).lower() if self.words_only else c
-            else:
-                text = None
-            if text is None:
-                of.append(numbers[c, i])  # the library's, see below
-                other.append(of[-1])
-            elif text.isalpha() or text[1:].isalpha() and text[0] == " ":
-                of.append(numbers[text])
-            else:
-                found = [numbers[p] for p in self.pieces(text)]
-                n_pieces[i] = len(found)
-                of.extend(found)
-        names = list(numbers)
-        flat, lengths = self.merged([b"?" if isinstance(p, tuple) else p.encode() for p in names])
-        at = np.cumsum(lengths) - lengths
-        if other:
-            ids = [e.ids for e in self.library.encode_batch_fast([names[k][0] for k in other], add_special_tokens=False)]
-            lengths[other] = [len(x) for x in ids]
-            at[other] = len(flat) + np.cumsum([0, *(len(x) for x in ids[:-1])])
-            flat = np.concatenate([flat, np.array([i for x in ids for i in x], np.uint32)])
-        order = np.array(of, np.int64)
-        flat = flat[spans(at[order], lengths[order])]
-        total = np.concatenate([[0], np.cumsum(lengths[order])])
-        cuts = np.concatenate([[0], np.cumsum(n_pieces)])
-        return flat, np.diff(total[cuts])
+        """The ids of all chunks one after another and each chunk's number of ids.
+
+        In plain chunks a piece is a run of letters, of digits or of other signs (with the blank before it).
+        """
+        code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        ends = np.cumsum(size)
+        kind = KINDS[np.minimum(code, len(KINDS) - 1)]
+        odd = np.concatenate([[0], np.cumsum(kind == ODD)])
+        plain = (odd[ends] == odd[ends - size]) & (size <= LONGEST)
+        code, kind = code[np.repeat(plain, size)], kind[np.repeat(plain, size)]
+        if self.words_only:
+            code = LOWER[code]
+        chunk = np.repeat(np.flatnonzero(plain), size[plain])
+        starts = np.ones(len(code), bool)
+        first = np.ones(len(code), bool)
+        if len(code) > 1:
+            first[1:] = chunk[1:] != chunk[:-1]
+            blank = first[:-1] & (code[:-1] == 32)
+            starts[1:] = first[1:] | ((kind[1:] != kind[:-1]) & ~blank)
+            if self.words_only:  # digits one by one
+                starts[1:] |= kind[1:] == DIGIT
+        text = np.zeros((len(code), 2), np.uint8)  # one or two bytes a character
+        two = code >= 0x80
+        text[:, 0] = np.where(two, 0xC0 | code >> 6, code)
+        text[:, 1] = 0x80 | code & 0x3F
+        width = 1 + two
+        at = np.cumsum(width) - width
+        flat = text[np.stack([np.ones(len(code), bool), two], axis=1)]
+        begin = at[starts]
+        sizes = np.diff(np.append(begin, len(flat)))
+        flat, lengths = self.merged(flat, begin, sizes)
+        counts = np.bincount(chunk[starts], lengths, len(chunks)).astype(np.int64)
+        if plain.all():
+            return flat, counts
+        other = np.flatnonzero(~plain)
+        found = [e.ids for e in self.library.encode_batch_fast([chunks[i] for i in other.tolist()], add_special_tokens=False)]
+        place = np.cumsum(counts) - counts
+        counts[other] = [len(x) for x in found]
+        place[other] = len(flat) + np.cumsum([0, *(len(x) for x in found[:-1])])
+        both = np.concatenate([flat, np.array([i for x in found for i in x], np.uint32)])
+        return both[spans(place, counts)], counts
 
     def split(self, text: str) -> list[str]:
         """The text's chunks, of which every piece of the vocabulary's pattern lies in one."""
         if self.words_only:
-            return self.chunks(text) if SEPARATORS.search(text) else text.split()
-        if ODD_SPACE.search(text):
+            return self.chunks(text) if any(c in text for c in SEPARATORS) else text.split()
+        if any(c in text for c in ODD_SPACES) or any(c in text for c in TWO_SPACES) and ODD_RUN.search(text):
             return self.chunks(text)
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
