@@ -43,7 +43,7 @@ def keywords(text: Column) -> Column:
 
 def camel_parts(name: Column) -> Column:
     """The words of a camel-case or underscored identifier, in lower case; split before lowering."""
-    return F.transform(F.regexp_extract_all(name, F.lit("[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)|[0-9]+"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(name, F.lit("[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+"), F.lit(0)), F.lower)
 
 
 def prefixes(words: Column, length: int = 4) -> Column:

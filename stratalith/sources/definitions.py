@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from .files import numbered_lines
 
 MODIFIERS = "public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|async|synchronized|readonly|export|default|unsafe|extern|new"
-KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "using", "lock", "foreach", "function", "typeof", "await", "print", "super", "def", "class", "elif", "with", "sizeof", "in", "and", "or", "not"]
+KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "using", "lock", "foreach", "function", "typeof", "await", "async", "print", "super", "def", "class", "elif", "with", "sizeof", "in", "and", "or", "not"]
 
 CLASS = {
     "python": r"^\s*class\s+([A-Za-z_]\w*)\s*(?:\(([^)]*)\))?\s*:",
@@ -70,7 +70,7 @@ def declarations(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("kind", F.when(class_name.isNotNull(), "class").when(name.isNotNull() & ~name.isin(*KEYWORDS) & ~F.coalesce(returns, F.lit("")).isin("return", "new", "else", "throw", "await"), "function"))
     rows = rows.select(
         "relative_path", "language", "line", "depth", "opens", "closes", "blank", "kind", F.coalesce(class_name, name).alias("name"), words(marks, r"\s+").alias("modifiers"),
-        F.transform(words(bases, ","), F.trim).alias("bases"), F.transform(words(arguments, ","), F.trim).alias("parameters"), returns.alias("return_type"),
+        F.transform(words(bases, ","), lambda x: F.trim(x)).alias("bases"), F.transform(words(arguments, ","), lambda x: F.trim(x)).alias("parameters"), returns.alias("return_type"),
     )
     # A block ends at the first later line after which the depth is back (braces), or before the first one no deeper (indentation).
     ends = rows.groupBy("relative_path").agg(F.array_sort(F.collect_list(F.when(~F.col("blank"), F.struct("line", "depth", (F.col("depth") + F.col("opens") - F.col("closes")).alias("after"), (F.col("opens") > 0).alias("opened"))))).alias("all"))
@@ -89,9 +89,9 @@ def entities(files: DataFrame) -> dict[str, DataFrame]:
     lines = lines_of(files)
     declared = declarations(lines)
     classes = declared.where("kind = 'class'").select("relative_path", "language", "name", F.col("line").alias("start_line"), "end_line", "depth", "bases", "modifiers")
-    outer = classes.select("relative_path", F.col("name").alias("class_name"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
+    outer = classes.select(F.col("relative_path").alias("__path"), F.col("name").alias("class_name"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
     functions = declared.where("kind = 'function'")
-    inside = functions.join(outer, (functions["relative_path"] == outer["relative_path"]) & (F.col("line") > F.col("cs")) & (F.col("line") <= F.col("ce")), "left").drop(outer["relative_path"])
+    inside = functions.join(outer, (F.col("relative_path") == F.col("__path")) & (F.col("line") > F.col("cs")) & (F.col("line") <= F.col("ce")), "left").drop("__path")
     nearest = Window.partitionBy("relative_path", "line").orderBy(F.desc_nulls_last("cs"))
     owned = inside.withColumn("r", F.row_number().over(nearest)).where("r = 1")
     typed = F.col("language").isin("java", "csharp")
@@ -104,7 +104,7 @@ def entities(files: DataFrame) -> dict[str, DataFrame]:
     code, language = F.col("code"), F.col("language")
     script = language.isin("javascript", "typescript")
     module = F.when(language == "python", F.coalesce(found(code, IMPORT["python"], 1), found(code, IMPORT["python"], 3))).when(language == "java", found(code, IMPORT["java"], 1)).when(language == "csharp", found(code, IMPORT["csharp"], 1)).when(script, F.coalesce(found(code, IMPORT["script"], 1), found(code, IMPORT["script"], 2)))
-    names = F.when(language == "python", F.transform(F.split(F.coalesce(found(code, IMPORT["python"], 2), F.lit("")), ","), F.trim)).otherwise(F.array(F.lit("")))
+    names = F.when(language == "python", F.transform(F.split(F.coalesce(found(code, IMPORT["python"], 2), F.lit("")), ","), lambda x: F.trim(x))).otherwise(F.array(F.lit("")))
     imports = lines.select("relative_path", "line", module.alias("module"), F.filter(names, lambda x: x != "").alias("names"), F.when(language == "python", found(code, IMPORT["python"], 4)).alias("alias")).where("module IS NOT NULL")
     modules = files.select("relative_path", "language", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("line_count"), F.octet_length("text").alias("size"))
     return {"modules": modules, "classes": classes, "functions": functions, "imports": imports}

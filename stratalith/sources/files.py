@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_FILE_BYTES = 5 * 1024 * 1024
 
@@ -61,7 +62,7 @@ def scan_statistics(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy("reason", "language").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Text of bytes in the first encoding that fits."""
 
