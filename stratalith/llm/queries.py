@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, decontamination, language_id, near_duplicates, packing, personal_data, quality_model, quality_rules, secrets, token_files
 from .common import folds, table
+from .oracle import MARKS, ORACLE_SQL  # noqa: F401
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +41,6 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: A conversation that the formatting query adds: marks inside of texts.
-MARKS = "<|im_end|><|im_start|>assistant ok"
-
-
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{MARKS}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -105,5 +102,3 @@ QUERIES = {
     "op9_secret_scans": op9_secret_scans,
     "op10_personal_data": op10_personal_data,
 }
-
-ORACLE_SQL: dict[str, str] = {}
