@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import graph, incremental, ranking, relational
+from .sources import definitions, files
 from .streaming import events as stream
 
 QUERIES: dict = {}
@@ -457,3 +458,98 @@ def report_overview(spark, sf):
 
     totals = table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
     return reports.table_lines(totals, ["lang", "files", "chars"])
+
+
+# Sources and scalar functions.
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS line, string_split(text, chr(10))[i] AS code FROM (SELECT doc_id, text, unnest(range(1, least(len(string_split(text, chr(10))), 5000) + 1)) AS i FROM documents)")
+def source_lines(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return files.numbered_lines(docs, 5000).select("doc_id", big(F.col("line")).alias("line"), "code")
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS code FROM documents")
+def source_slice(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", files.sliced(F.col("text"), F.lit(2), F.lit(4)).alias("code"))
+
+
+@query("SELECT page_id, CASE regexp_extract(lower(url), '(\\.[^./]+)$', 1) WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' WHEN '.cs' THEN 'csharp' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' ELSE 'unknown' END AS language FROM pages")
+def detect_language(spark, sf):
+    return table(spark, sf, "pages").select("page_id", files.language_of(F.col("url")).alias("language"))
+
+
+@query("SELECT page_id, regexp_matches(url, '/(fr|blog[^/]*|de)/') AS in_dir, regexp_full_match(string_split(url, '/')[-1], '.*\\.html|7[0-9].*') AS by_name FROM pages")
+def scan_exclusion(spark, sf):
+    pages = table(spark, sf, "pages")
+    name = F.substring_index("url", "/", -1)
+    return pages.select("page_id", files.in_excluded_dir(F.col("url"), ["fr", "blog*", "de"]).alias("in_dir"), name.rlike(files.any_pattern(["*.html", "7[0-9]*"])).alias("by_name"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(text, '404') OR contains(lower(text), 'not found') THEN 'not_found' WHEN contains(text, '401') OR contains(lower(text), 'auth') THEN 'unauthorized' WHEN contains(text, '403') OR contains(lower(text), 'forbidden') THEN 'forbidden' WHEN contains(text, '500') OR contains(text, 'Internal Server Error') THEN 'server' WHEN contains(lower(text), 'timeout') THEN 'timeout' WHEN contains(text, 'JSON') OR contains(text, 'json') THEN 'format' WHEN contains(lower(text), 'rate_limit') OR contains(lower(text), 'rate limit') THEN 'rate_limit' ELSE 'other' END AS kind FROM conversations")
+def error_classes(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.error_class(F.col("text")).alias("kind"))
+
+
+@query("SELECT doc_id, CASE WHEN floor(length(text) / 4) <= 200 THEN md5(text) WHEN len(l) > 50 THEN md5(array_to_string(l[1:30], chr(10)) || chr(10) || '... omitted ...' || chr(10) || array_to_string(l[len(l) - 19:], chr(10))) ELSE md5(array_to_string(l[1:30], chr(10))) END AS cut FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)")
+def truncated_code(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.truncated(F.col("text"), 200).cast("binary")).alias("cut"))
+
+
+@query("SELECT c_custkey, array_to_string(list_transform(regexp_extract_all(c_name, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)), ' ') AS parts FROM customer")
+def camel_split(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(T.camel_parts(F.col("c_name")), " ").alias("parts"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def lenient_json(spark, sf):
+    answer = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" as asked."))
+    return table(spark, sf, "events").select("event_id", big(T.lenient_json(answer)["k"]).alias("k"))
+
+
+@query("SELECT page_id, string_split(url, '/')[-1] AS base, regexp_replace(url, '/[^/]*$', '') AS parent, replace(url, '/', '.') AS dotted FROM pages")
+def path_parts(spark, sf):
+    url = F.col("url")
+    return table(spark, sf, "pages").select("page_id", T.base_name(url).alias("base"), T.parent_dir(url).alias("parent"), T.dotted(url).alias("dotted"))
+
+
+@query(EDGES_SQL + "SELECT '    ' || replace(split_part(src, ':', 2), '.', '_') || ' --> ' || replace(split_part(dst, ':', 2), '.', '_') AS line FROM e")
+def mermaid_lines(spark, sf):
+    edges = part_edges(spark, sf)
+    return edges.select(F.concat(F.lit("    "), T.mermaid_id(F.col("src")), F.lit(" --> "), T.mermaid_id(F.col("dst"))).alias("line"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, sf):
+    rows = stream.windowed(table(spark, sf, "events"), "1 day")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("WITH u AS (SELECT 'longest' AS kind, source, doc_id, 100 AS priority FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 10 UNION ALL SELECT 'latest', source, doc_id, 85 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents) WHERE r <= 10) SELECT source, doc_id, arg_max(kind, priority) AS kind, CAST(max(priority) AS BIGINT) AS priority FROM u GROUP BY 1, 2")
+def context_union(spark, sf):
+    docs = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    parts = {"longest": (100, [F.desc("n_chars"), F.col("doc_id")]), "latest": (85, [F.desc("doc_id")])}
+    tagged = relational.tagged_union({k: relational.first_of_each(docs, ["source"], order, 10).withColumn("priority", big(F.lit(p))) for k, (p, order) in parts.items()})
+    return relational.first_of_each(tagged, ["source", "doc_id"], [F.desc("priority")]).select("source", "doc_id", "kind", "priority")
+
+
+def page_entities(spark, sf):
+    """Pages as script files, read by the definition operators."""
+    return definitions.entities(table(spark, sf, "pages").select(F.col("url").alias("relative_path"), F.lit("javascript").alias("language"), F.col("html").alias("text")))
+
+
+@query("SELECT url AS relative_path, CAST(length(html) - length(replace(html, chr(10), '')) + 1 AS BIGINT) AS line_count, CAST(strlen(html) AS BIGINT) AS size FROM pages")
+def parsed_modules(spark, sf):
+    return page_entities(spark, sf)["modules"].select("relative_path", big(F.col("line_count")).alias("line_count"), big(F.col("size")).alias("size"))
+
+
+@query(None)
+def cached_analysis(spark, sf):
+    """All pages analysed through the cache of the even ones; the deterministic completer answers."""
+    from .plans import analysis
+
+    pages = table(spark, sf, "pages")
+    targets = pages.select(F.lit("module").alias("target_type"), F.col("page_id").cast("string").alias("target_name"), F.col("url").alias("path"), F.col("html").alias("code"), F.concat(F.lit("Explain "), "url").alias("prompt"))
+    cache = pages.select(F.lit("module").alias("target_type"), F.col("page_id").cast("string").alias("target_name"), F.col("url").alias("path"), T.code_hash(F.when(F.contains("url", F.lit("https")), F.col("html")).otherwise(F.lit("old"))).alias("code_hash"), F.lit("{}").alias("result"), F.lit(False).alias("manually_corrected"), F.lit(None).cast("timestamp").alias("updated"))
+    results, _ = analysis.analysed(targets, cache, analysis.deterministic)
+    return results.select("target_name", "path", "result", "from_cache")
