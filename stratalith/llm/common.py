@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -57,6 +60,15 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers stay alive for later stages, beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def numbered(word_lists: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, mix64, slices, small_batches
+from .common import id_text, mix64, release_memory, slices, small_batches
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 800
@@ -155,7 +155,7 @@ def best_temperature(logits: np.ndarray, truth: np.ndarray) -> float:
 def fit(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Train on the rows of ``docs`` (doc_id, text, lang) for which ``learnable`` holds."""
     small_batches(docs.sparkSession)
-    usable = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = docs.select("doc_id", "text", "lang").where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counted = id_text(usable).mapInArrow(frequency_rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequency = {r.bucket: r.n for r in counted.collect()}  # at most BUCKETS + 1 rows
     total = frequency.pop(-1, 0)
@@ -196,6 +196,7 @@ def accepted_rows(shared, least: float):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = [shared.value.predict(t or "") for t in texts]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+        release_memory()
 
     return build
 

@@ -145,7 +145,7 @@ def estimated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def intersections(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (a, b, set_a, set_b) the linked pairs (a, b), on full sets."""
     for batch in batches:
-        ok = []
+        ok: list[bool] = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
             both = np.concatenate([x, y])

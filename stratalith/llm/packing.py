@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, slices, small_batches, stored
+from .common import id_text, release_memory, slices, small_batches, stored
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -204,6 +204,8 @@ def piece_rows(path: str, capacity: int, end_id: int):
             arrays = [pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(piece, pa.int32())]
             arrays += [pa.array(x, pa.int64()) for x in (start, length, crc, np.full(len(doc), task), place)]
             yield pa.RecordBatch.from_arrays(arrays, PIECE_NAMES)
+        code.forget()
+        release_memory()
 
     return build
 

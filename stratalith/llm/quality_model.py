@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, name: str = "qual
     spark = docs.sparkSession
     small_batches(spark)
     vectors = Vectors.of(corpus_sums(docs))
-    known = labels.where(learnable & F.col(name).isin(0, 1)).groupBy("doc_id").agg(F.max(name).cast("long").alias("y"))
+    known = labels.select("doc_id", name).where(learnable & F.col(name).isin(0, 1)).groupBy("doc_id").agg(F.max(name).cast("long").alias("y"))
     known = known.withColumn("use", F.when(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0, 1).otherwise(0))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     of_label = Window.partitionBy("y").orderBy(*order)
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, name: str = "qual
     second = known.where("use = 1").orderBy(*order).limit(CALIBRATION)
     chosen = first.unionByName(second).select(F.col("doc_id").alias("__id"), (F.col("y") * 2 + F.col("use")).alias("tag"))
     shared = spark.sparkContext.broadcast(vectors)
-    picked = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("__id")).select("tag", docs["text"])
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("tag", "text")
     rows = picked.mapInArrow(sampled_rows(shared), "tag long, x binary").limit(2 * PER_LABEL + CALIBRATION).collect()
     data = sorted((r.tag, bytes(r.x)) for r in rows)
     if not data:

@@ -64,7 +64,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return rows.select(
-        "doc_id", *[number(r.kind) for r in secrets.RULES if r.base], F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
+        "row.doc_id", *[number(r.kind) for r in secrets.RULES if r.base], F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
     )
 
 

@@ -169,18 +169,19 @@ SPANS = "array<struct<start:int,number:int,kind:string,end:int>>"
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``spans``: all secrets of the text, by start, then in the order of the rules."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = stored(candidates(postings(keyed, trigrams_of(rules)), rules).select(F.col("doc_id").alias("__id"), F.col("rules").alias("__rules")), "candidates")
+    """(row, spans): each row of ``docs`` as a struct, and all secrets of its text, by start, then in the order of the rules."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    keyed = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "row.text")
+    found = stored(candidates(postings(keyed, trigrams_of(rules)), rules), "candidates")
     side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("shuffle_hash")
     always = sum(1 << k for k, r in enumerate(rules) if not trigram_query(r.pattern))
-    ids = docs["doc_id"].cast("long")
-    joined = docs.join(side, ids == F.col("__id"), "left")
-    known = F.when(ids.isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("__rules", F.lit(0)).bitwiseOR(F.lit(always)))
-    text = F.coalesce(docs["text"], F.lit(""))
+    ids = F.col("row.doc_id").cast("long")
+    joined = rows.withColumn("id", ids).join(side, F.col("id") == F.col("doc_id"), "left")
+    known = F.when(F.col("id").isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("rules", F.lit(0)).bitwiseOR(F.lit(always)))
+    text = F.coalesce("row.text", F.lit(""))
     none = F.array().cast(SPANS)
     parts = [F.when(known.bitwiseAND(F.lit(1 << k)) != 0, spans_of(r, k, text)).otherwise(none) for k, r in enumerate(rules)]
-    return joined.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*parts)).alias("spans"))
+    return joined.select("row", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -203,10 +204,14 @@ def redacted_text(text: Column, spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with their secrets replaced, all columns kept; ``n_chars``, if there, follows the new text."""
-    found = scanned(docs)
-    changed = F.size("spans") > 0
-    new = found.withColumn("__text", redacted_text(F.col("text"), F.col("spans")))
-    columns = {"text": F.col("__text")}
-    if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return new.withColumns(columns).select(*docs.columns)
+    new = scanned(docs).withColumn("clean", redacted_text(F.col("row.text"), F.col("spans")))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("clean").alias(name)
+        own = F.col("row").getField(name)
+        if name == "n_chars":
+            own = F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema[name].dataType)).otherwise(own)
+        return own.alias(name)
+
+    return new.select(*map(column, docs.columns))

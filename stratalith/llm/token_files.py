@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, shared_dir, slices, small_batches
+from .common import id_text, release_memory, shared_dir, slices, small_batches
 from .tokens import encoder
 
 END_ID = 0
@@ -146,6 +146,8 @@ def raw_rows(path: str, end_id: int):
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names(RAW))
             place += n
+        code.forget()
+        release_memory()
 
     return build
 

@@ -43,7 +43,7 @@ def kind_of(code: int) -> int:
 KINDS = np.array([kind_of(c) for c in range(LAST_PLAIN + 2)], np.uint8)
 LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(LAST_PLAIN + 2)], np.uint32)
 #: Distinct chunks that a worker remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 
 
 class Encoder:
@@ -69,8 +69,7 @@ class Encoder:
         keys = left * n + right
         order = np.argsort(keys, kind="stable")
         self.n, self.keys, self.ranks, self.into = n, keys[order], order, into
-        self.cache = Numbered()
-        self.tokens, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.forget()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or a large number."""
@@ -170,11 +169,15 @@ class Encoder:
             return self.chunks(text)
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
+    def forget(self) -> None:
+        """Drop what was learned of chunks."""
+        self.cache = Numbered()
+        self.tokens, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) of the texts one after another, and the bounds of each text's."""
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache = Numbered()
-            self.tokens, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+            self.forget()
         known = len(self.cache)
         parts, cuts = [], [0]
         for t in texts:

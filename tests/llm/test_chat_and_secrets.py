@@ -70,7 +70,7 @@ SECRETS = [
 def test_secret_cases_and_odd_rows(spark):
     rows = [(i, t) for i, t in enumerate(SECRETS)] + [(None, SECRETS[2]), (0, "key token=zzzzzzz"), (0, None)]
     df = spark.createDataFrame([(*r, "en", "a", 5) for r in rows], "doc_id long, text string, lang string, rules string, n_chars long")
-    got = secrets.scanned(df).withColumn("listed", secrets.listed(F.col("spans"))).collect()
+    got = secrets.scanned(df).select("row.*", "spans").withColumn("listed", secrets.listed(F.col("spans"))).collect()
     base = ("assign", "access", "hex")
     found = sorted((r.doc_id or -1, r.text or "", ",".join(s for s in r.listed.split(",") if s.split(":")[0] in base)) for r in got)
     assert found == sorted((i or -1, t or "", ",".join(brute_secrets(t))) for i, t in rows)
