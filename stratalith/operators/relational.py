@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import globally_ranked
+
 
 def contains_word(column: str, word: str | None) -> Column:
     """Case-insensitive LIKE with the word anywhere; ``%`` and ``_`` in it are wildcards. No word, no condition."""
@@ -58,9 +60,11 @@ def tagged_union(parts: dict[str, DataFrame], tag: str = "kind") -> DataFrame:
 
 
 def top_fraction(rows: DataFrame, order: list[Column], share: float = 0.6, least: int = 5) -> DataFrame:
-    """The first ``share`` of the rows, ``least`` at least: the bound is counted first, then one bounded sort."""
-    total = rows.count()
-    return rows.orderBy(*order).limit(max(least, int(total * share)))
+    """The first ``share`` of the rows, ``least`` at least; the rank is distributed, as the share may be large."""
+    ranked = globally_ranked(rows, order)
+    total = ranked.agg(F.count("*").alias("__total"))
+    kept = ranked.join(F.broadcast(total), F.col("rank") <= F.greatest(F.lit(least), F.floor(F.col("__total") * share)))  # one row
+    return kept.drop("rank", "__total")
 
 
 def not_selected(rows: DataFrame, forced: DataFrame, keys: list[str]) -> DataFrame:
