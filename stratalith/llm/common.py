@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text that one slice of a batch holds at most (a single longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
@@ -137,3 +138,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_text(docs: DataFrame) -> DataFrame:
     """Only the two columns that most operators need, whatever else the table has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def bounded_sample(rows: DataFrame, number: int, group: str, seed: int = 0) -> DataFrame:
+    """At most ``number`` rows of each value of ``group`` (of which there are few), those with the least hashes of doc_id.
+
+    The groups' sizes give each a bound on the hash that about four times as many rows pass; only these are ranked, so
+    what meets in a group's task does not grow with the table.
+    """
+    sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    place = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)) / F.lit(float(2**63))
+    hashed = rows.withColumn("__u", place).join(F.broadcast(sizes), F.col(group) == F.col("__g"))
+    few = hashed.where(F.col("__u") * F.col("__n") <= 4 * number)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("__u", "doc_id"))
+    return few.withColumn("__r", rank).where(F.col("__r") <= number).drop("__u", "__g", "__n", "__r")

@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import id_text, mix64, release_memory, slices, small_batches
+from .common import bounded_sample, id_text, mix64, release_memory, slices, small_batches
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 800
@@ -162,8 +161,7 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) ->
     idf = np.full(BUCKETS, np.log1p(total) + 1)
     for b, n in frequency.items():
         idf[b] = np.log((1 + total) / (1 + n)) + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
+    chosen = bounded_sample(usable.select("doc_id", "lang"), per_language, "lang").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
     picked = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
     rows = picked.mapInArrow(feature_rows, "lang string, buckets binary, counts binary").limit(per_language * max(1, chosen.select("__lang").distinct().count())).collect()
     data = sorted((r.lang, bytes(r.buckets), bytes(r.counts)) for r in rows)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, small_batches
+from .common import bounded_sample, id_text, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 3000
@@ -198,8 +198,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Trees:
     """Trees from a bounded sample of the documents that hold an ``@`` or a number."""
     small_batches(docs.sparkSession)
     rows = id_text(docs)
-    some = rows.where(F.col("text").rlike(r"@|[0-9]{2}") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"))
-    chosen = some.orderBy(F.xxhash64("__id"), "__id").limit(train_docs)
+    some = rows.where(F.col("text").rlike(r"@|[0-9]{2}") & F.col("doc_id").isNotNull()).select("doc_id", F.lit(0).alias("all"))
+    chosen = bounded_sample(some, train_docs, "all").select(F.col("doc_id").alias("__id"))
     data = rows.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(example_rows, "x binary, y boolean").limit(50 * train_docs).collect()
     if not data:
         return Trees()

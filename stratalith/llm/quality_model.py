@@ -26,9 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import id_text, mix64, numbered, slices, small_batches, stored
+from .common import bounded_sample, id_text, mix64, numbered, slices, small_batches, stored
 
 BUCKETS, DIMS, ONES, REACH = 1 << 13, 64, 4, 2
 FAN_IN = 32
@@ -229,10 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, name: str = "qual
     vectors = Vectors.of(corpus_sums(docs))
     known = labels.select("doc_id", name).where(learnable & F.col(name).isin(0, 1)).groupBy("doc_id").agg(F.max(name).cast("long").alias("y"))
     known = known.withColumn("use", F.when(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0, 1).otherwise(0))
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    of_label = Window.partitionBy("y").orderBy(*order)
-    first = known.where("use = 0").withColumn("r", F.row_number().over(of_label)).where(F.col("r") <= PER_LABEL).drop("r")
-    second = known.where("use = 1").orderBy(*order).limit(CALIBRATION)
+    first = bounded_sample(known.where("use = 0"), PER_LABEL, "y")
+    second = bounded_sample(known.where("use = 1").withColumn("all", F.lit(0)), CALIBRATION, "all").drop("all")
     chosen = first.unionByName(second).select(F.col("doc_id").alias("__id"), (F.col("y") * 2 + F.col("use")).alias("tag"))
     shared = spark.sparkContext.broadcast(vectors)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("tag", "text")
