@@ -39,7 +39,7 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57
 
 INDEX = "block string, term binary, n long, positions binary"
 INDEX_NAMES = ["block", "term", "n", "positions"]
-RESULT = "block string, place long, doc_id long, n_words long, hits binary, items array<string>"
+RESULT = "block string, place long, doc_id long, digest binary, n_words long, hits binary, items array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -56,6 +56,7 @@ def posting_rows(vocabulary: dict[bytes, int] | None):
         for number, (ids, texts) in enumerate(slices(batches, BLOCK_BYTES)):
             known: dict[bytes, int] = vocabulary if vocabulary is not None else {}
             parts, base, starts, lengths = [], 0, [], []
+            digests = [None if t is None else hashlib.md5(t).digest() for t in texts]
             for t in texts:
                 words = words_of(t or b"")
                 if vocabulary is None:
@@ -78,7 +79,7 @@ def posting_rows(vocabulary: dict[bytes, int] | None):
             block = f"{task}-{number}"
             present = [names[of[c]] for c in cuts]
             directory = pa.array(ids, pa.int64())
-            head = pa.RecordBatch.from_arrays([directory, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], ["doc_id", "start", "n"])
+            head = pa.RecordBatch.from_arrays([directory, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "start", "n", "digest"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as writer:
                 writer.write_batch(head)
@@ -197,7 +198,7 @@ def block_hits(plan, slop: int):
             hits[d] = np.flatnonzero(np.diff(covered[starts[d] : starts[d] + n_words[d]], prepend=0, append=0)).astype(np.uint32).tobytes()
             sets[d] = sorted(its)
         ids = directory["doc_id"].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-        return pd.DataFrame({"block": head.block, "place": np.arange(len(starts)), "doc_id": ids, "n_words": n_words, "hits": hits, "items": sets})
+        return pd.DataFrame({"block": head.block, "place": np.arange(len(starts)), "doc_id": ids, "digest": directory["digest"].to_pylist(), "n_words": n_words, "hits": hits, "items": sets})
 
     return evaluate
 
@@ -249,8 +250,8 @@ def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside matched windows), items (sorted ids), contaminated."""
+def judged(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Per row of ``docs``: the columns of ``contamination`` and the MD5 digest of the text that they were found in."""
     chunks = benchmark_chunks(benchmark, width, chunk_bytes)
     windows = next(chunks)
     second = next(chunks, None)
@@ -264,11 +265,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     from pyspark.sql.functions import pandas_udf
 
     n_hit = pandas_udf(covered_words, "long")
-    return found.select("doc_id", "n_words", n_hit("hits").alias("n_hit"), "items").withColumn("contaminated", F.col("n_hit") > 0)
+    return found.select("doc_id", "digest", "n_words", n_hit("hits").alias("n_hit"), "items").withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit (words inside matched windows), items (sorted ids), contaminated."""
+    return judged(docs, benchmark, width, slop, chunk_bytes).drop("digest")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents without a benchmark passage, all columns as they are. A doc_id goes if any row of it has a hit;
-    rows with a null id stay only if no row with a null id has a hit."""
-    bad = contamination(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents without a benchmark passage, all columns as they are. Each row is judged by its own text, whatever
+    other rows share its doc_id or have a null one too."""
+    bad = judged(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("digest").alias("__digest")).distinct()
+    digest = F.unhex(F.md5(docs["text"].cast("string").cast("binary")))
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]) & (digest == bad["__digest"]), "left_anti")
