@@ -34,7 +34,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), marks_as_text=False)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

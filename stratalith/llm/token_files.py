@@ -129,13 +129,13 @@ class Code:
         return out.T.reshape(-1)[:n_ids]
 
 
-def raw_rows(path: str, end_id: int):
+def raw_rows(path: str, end_id: int, marks_as_text: bool = True):
     """A mapper from sorted (doc_id, text) to their ids, numbered within the partition."""
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, code, place = TaskContext.get().partitionId(), encoder(path), 0
+        part, code, place = TaskContext.get().partitionId(), encoder(path, marks_as_text), 0
         kind = "<u2" if code.n <= 1 << 16 else "<u4"
         tail = np.array([end_id], kind).tobytes()
         for ids, texts in slices(batches):
@@ -214,14 +214,14 @@ def decoded_rows(shared):
     return build
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, max_bits: int = MAX_BITS) -> None:
-    """Write the blocks to ``path``/blocks and the code lengths to ``path``/codebook."""
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, max_bits: int = MAX_BITS, marks_as_text: bool = True) -> None:
+    """Write the blocks to ``path``/blocks and the code lengths to ``path``/codebook. ``marks_as_text`` is the encoder's."""
     spark = docs.sparkSession
     small_batches(spark)
-    vocabulary = encoder(tokenizer_path).n
+    vocabulary = encoder(tokenizer_path, marks_as_text).n
     raw_path = f"{path}/raw"
     ordered = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    ordered.mapInArrow(raw_rows(tokenizer_path, end_id), RAW).write.option("compression", "zstd").parquet(raw_path)
+    ordered.mapInArrow(raw_rows(tokenizer_path, end_id, marks_as_text), RAW).write.option("compression", "zstd").parquet(raw_path)
     raw = spark.read.schema(RAW).parquet(raw_path)
     counted = raw.select("ids").mapInArrow(count_rows(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocabulary, np.int64)
@@ -266,9 +266,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_id", (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer_path: str, path: str | None = None, marks_as_text: bool = True) -> DataFrame:
     """Write, then read back."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, tokenizer_path, path)
+    write_token_files(docs, tokenizer_path, path, marks_as_text=marks_as_text)
     return read_token_files(spark, path)

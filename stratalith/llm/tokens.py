@@ -4,7 +4,9 @@ The two vocabularies of the operators (``tokenizers`` JSON files of byte pair en
 encoded independently. Each slice of texts is cut at white space, every distinct chunk gets its ids once, and the ids of
 the texts are put together by index arithmetic. Chunks of plain Latin letters, digits and signs are merged here for
 thousands of chunks at once, with the merge table of the file; every other chunk goes to the tokenizers library itself.
-The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` with ``encode_special_tokens``.
+The ids are those of the plain call ``Tokenizer.encode(text, add_special_tokens=False)``: texts are cut at the file's
+added tokens first, each of which is one id. With ``marks_as_text`` they are those of ``encode_special_tokens``, where an
+added token's content is text like any other.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ LETTER, DIGIT, SIGN, ODD = range(4)
 def kind_of(code: int) -> int:
     """What a character is for the patterns."""
     c = chr(code)
-    if code > LAST_PLAIN or c in "'\u0130" or c.isspace() and c not in " \n":
+    if code > LAST_PLAIN or c in "'\u0130\u023a\u023e" or c.isspace() and c not in " \n":  # lower case of other widths
         return ODD
     return LETTER if c.isalpha() else DIGIT if unicodedata.category(c)[0] == "N" else SIGN
 
@@ -49,13 +51,18 @@ CACHE_CHUNKS = 300_000
 class Encoder:
     """One tokenizers file: ``ids(texts)`` gives all ids and the bounds of each text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, marks_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = marks_as_text
+        added = [] if marks_as_text else spec.get("added_tokens") or []
+        if any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: added tokens are taken as they are in the text only")
+        self.marks = {a["content"] for a in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")").split
         model = spec["model"]
         vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.word_end = model["end_of_word_suffix"] or ""
@@ -64,7 +71,7 @@ class Encoder:
         alphabet = byte_alphabet()
         self.byte_ids = np.array([vocab[alphabet[b]] for b in range(256)], np.int64)
         self.end_ids = np.array([vocab[alphabet[b] + self.word_end] for b in range(256)], np.int64)
-        n = len(vocab)
+        n = max([len(vocab), *(a["id"] + 1 for a in added)])
         left, right, into = (np.array(x, np.int64) for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in merges), strict=True))
         keys = left * n + right
         order = np.argsort(keys, kind="stable")
@@ -128,6 +135,8 @@ class Encoder:
         kind = KINDS[np.minimum(code, len(KINDS) - 1)]
         odd = np.concatenate([[0], np.cumsum(kind == ODD)])
         plain = (odd[ends] == odd[ends - size]) & (size <= LONGEST)
+        for mark in self.marks:  # only ever a chunk of its own
+            plain[[i for i in np.flatnonzero(size == len(mark)).tolist() if chunks[i] == mark]] = False
         code, kind = code[np.repeat(plain, size)], kind[np.repeat(plain, size)]
         if self.words_only:
             code = LOWER[code]
@@ -162,7 +171,9 @@ class Encoder:
         return both[spans(place, counts)], counts
 
     def split(self, text: str) -> list[str]:
-        """The text's chunks, of which every piece of the vocabulary's pattern lies in one."""
+        """The text's chunks, of which every piece of the vocabulary's pattern lies in one; an added token is a chunk."""
+        if any(m in text for m in self.marks):
+            return [c for part in self.cut(text) for c in ([part] if part in self.marks else self.split(part))]
         if self.words_only:
             return self.chunks(text) if any(c in text for c in SEPARATORS) else text.split()
         if any(c in text for c in ODD_SPACES) or any(c in text for c in TWO_SPACES) and ODD_RUN.search(text):
@@ -220,6 +231,6 @@ def byte_alphabet() -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, marks_as_text: bool = False) -> Encoder:
     """One encoder a worker process and file."""
-    return Encoder(path)
+    return Encoder(path, marks_as_text)
