@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import dotted, mermaid_id, module_of, simple_name
+from .storage import stored
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -90,12 +91,15 @@ def call_index(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth) by breadth-first frontiers: each round joins the frontier with the edges and drops what is
-    known, so every node is expanded once per start."""
+    known, so every node is expanded once per start. Rounds are stored, and end early if nothing new is found."""
+    edges = stored(edges.select("src", "dst"), "edges")
     known = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).cast("bigint").alias("depth"))
     frontier = known
     for d in range(1, depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = step.join(known, ["start", "node"], "left_anti").withColumn("depth", F.lit(d).cast("bigint"))
+        frontier = stored(step.join(known, ["start", "node"], "left_anti").withColumn("depth", F.lit(d).cast("bigint")), "frontier")
+        if frontier.isEmpty():
+            break
         known = known.unionByName(frontier)
     return known
 
@@ -120,6 +124,58 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
     return found
 
 
+def greatest_before(edges: DataFrame) -> DataFrame:
+    """(node, greatest): the greatest node from which each node can be reached, itself included."""
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    found = stored(ends.select("node", F.col("node").alias("greatest"), F.lit(True).alias("new")), "greatest")
+    while not found.where("new").isEmpty():
+        told = found.where("new").join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("greatest").alias("told"))
+        new = F.coalesce(F.col("told") > F.col("greatest"), F.lit(False))
+        found = stored(found.drop("new").join(told, "node", "left").select("node", F.when(new, F.col("told")).otherwise(F.col("greatest")).alias("greatest"), new.alias("new")), "greatest")
+    return found.select("node", "greatest")
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """The distinct edges within strongly connected components, without loops.
+
+    An edge goes if its ends differ in the greatest node before or after them. Once no edge goes, the greatest node of each
+    connected part reaches all of it and is reached from all of it.
+    """
+    left = stored(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    n = left.count()
+    while n:
+        before, after = greatest_before(left), greatest_before(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = before.join(after.withColumnRenamed("greatest", "after"), "node").select("node", F.struct("greatest", "after").alias("at"))
+        src, dst = both.select(F.col("node").alias("src"), F.col("at").alias("src_at")), both.select(F.col("node").alias("dst"), F.col("at").alias("dst_at"))
+        left = stored(left.join(src, "src").join(dst, "dst").where("src_at = dst_at").select("src", "dst"), "edges")
+        last, n = n, left.count()
+        if n == last:
+            break
+    return left
+
+
+def all_cycles(edges: DataFrame, longest: int) -> DataFrame:
+    """(path, length, truncated) of all simple cycles, each once, from its least node on.
+
+    The search ends by itself when no path can grow. If paths are left at ``longest`` nodes, each of their starts gives one
+    row (its node alone, no length) with ``truncated``: it may have longer cycles.
+    """
+    alive = on_cycles(edges)
+    paths = alive.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
+    ends = alive.select(F.col("src").alias("last"), F.col("dst").alias("next"))
+    found = None
+    for length in range(2, longest + 1):
+        paths = stored(paths, "paths")
+        closed = paths.join(ends, "last").where("next = start").select("path", F.lit(length).cast("bigint").alias("length"), F.lit(False).alias("truncated"))
+        found = closed if found is None else found.unionByName(closed)
+        grown = paths.join(ends, "last").where("next > start").where(~F.array_contains("path", F.col("next")))
+        paths = grown.select("start", F.col("next").alias("last"), F.array_append("path", F.col("next")).alias("path"))
+        if paths.isEmpty():
+            return found
+    cut = paths.select("start").distinct().select(F.array("start").alias("path"), F.lit(None).cast("bigint").alias("length"), F.lit(True).alias("truncated"))
+    return found.unionByName(cut)
+
+
 def graph_view(edges: DataFrame, word: str | None, most: int = 200) -> DataFrame:
     """The first edges of which an end contains the word (case counts)."""
     chosen = edges if not word else edges.where(F.contains("src", F.lit(word)) | F.contains("dst", F.lit(word)))

@@ -344,6 +344,18 @@ def cycles_bounded(spark, sf):
     return graph.cycles(part_edges(spark, sf), 3).select(F.array_join("path", ">").alias("path"), "length")
 
 
+@query(None)
+def call_chain_all(spark, sf):
+    """Chains from every function, as deep as the reference's default; recursive SQL walks every path and is too slow."""
+    return graph.reachable(part_edges(spark, sf), part_functions(spark, sf).select("id"), 10)
+
+
+@query(None)
+def cycles_all(spark, sf):
+    """Cycles of up to 10 nodes, with the starts that may have longer ones: their number grows exponentially."""
+    return graph.all_cycles(part_edges(spark, sf), 10).select(F.array_join("path", ">").alias("path"), "length", "truncated")
+
+
 @query("WITH i AS (SELECT DISTINCT url AS path, unnest(regexp_extract_all(lower(html), 'href=\"/([a-z]{4,})\"', 1)) AS module FROM pages), m AS (SELECT DISTINCT url AS depends_on, replace(url, '/', '.') AS dotted FROM pages), n AS (SELECT DISTINCT module FROM i WHERE module <> ''), k AS (SELECT module, depends_on FROM n JOIN m ON contains(dotted, n.module) OR contains(n.module, dotted)) SELECT DISTINCT path, depends_on FROM i JOIN k USING (module)")
 def module_dependencies(spark, sf):
     pages = table(spark, sf, "pages")
