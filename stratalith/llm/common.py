@@ -19,12 +19,17 @@ from pyspark.sql.window import Window
 
 #: Bytes of text that one slice of a batch holds at most (a single longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
+#: Rows of one Arrow batch.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a new local one (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where driver and executors are one process
+    (tests) may it be unset; a local folder is taken then."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,11 +48,19 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | No
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch brings to a Python worker; long texts make 10,000 rows too many."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Bound what one Arrow batch brings to a Python worker; long texts make 10,000 rows too many. Plans read the settings
+    when they run, so they stay; smaller ones of the caller's are kept."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def decoded(text: bytes | None) -> str:
+    """The characters of a text; null is empty, and bytes that are no UTF-8 become replacement characters."""
+    return (text or b"").decode("utf-8", "replace")
+
+
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[list, list[bytes | None]]]:
     """(ids, UTF-8 texts or None) of batches with the columns (id, text), in slices of about ``limit`` bytes."""
     ids, texts, size = [], [], 0
@@ -140,15 +153,21 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def bounded_sample(rows: DataFrame, number: int, group: str, seed: int = 0) -> DataFrame:
-    """At most ``number`` rows of each value of ``group`` (of which there are few), those with the least hashes of doc_id.
+def bounded_sample(rows: DataFrame, number: int, group: str, keys: tuple[str, ...] = ("doc_id",), seed: int = 0) -> DataFrame:
+    """At most ``number`` distinct rows (keys, group) of each value of ``group`` (of which there are few), those with the
+    least hashes of ``keys``.
 
-    The groups' sizes give each a bound on the hash that about four times as many rows pass; only these are ranked, so
-    what meets in a group's task does not grow with the table.
+    The groups' sizes give each a bound on the hash that about four times as many rows pass; only these are made
+    distinct and ranked, so what meets in a group's task does not grow with the table.
     """
-    sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
-    place = F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)) / F.lit(float(2**63))
-    hashed = rows.withColumn("__u", place).join(F.broadcast(sizes), F.col(group) == F.col("__g"))
-    few = hashed.where(F.col("__u") * F.col("__n") <= 4 * number)
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("__u", "doc_id"))
-    return few.withColumn("__r", rank).where(F.col("__r") <= number).drop("__u", "__g", "__n", "__r")
+    sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.approx_count_distinct(F.xxhash64(*keys), 0.02).alias("__n"))
+    place = F.xxhash64(*keys, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)) / F.lit(float(2**63))
+    hashed = rows.select(*keys, group).withColumn("__u", place).join(F.broadcast(sizes), F.col(group) == F.col("__g"))
+    few = hashed.where(F.col("__u") * F.col("__n") <= 4 * number).select(*keys, group, "__u").distinct()
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("__u", *keys))
+    return few.withColumn("__r", rank).where(F.col("__r") <= number).drop("__u", "__r")
+
+
+def text_digest(text: str = "text"):
+    """A 64-bit hash of a text, by which rows that share a doc_id are told apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))

@@ -2,13 +2,15 @@
 
 1. Document frequencies of hashed character n-grams (1 to 3 letters, words apart by a blank, all else as a blank) are
    counted over all documents that may be learned from; their number is bounded by ``BUCKETS``.
-2. A bounded sample (``PER_LANGUAGE`` documents of each language, by a hash of the id) trains the weights with
+2. A bounded sample (``PER_LANGUAGE`` distinct documents of each language, by a hash of id and text) trains the weights with
    follow-the-regularised-leader (FTRL-proximal, per coordinate) under an elastic net (L1 and L2).
 3. A fifth of the sample is kept out of the training and sets the temperature of the softmax.
 4. Every whole text is scored with the broadcast weights (``BUCKETS`` x languages).
 
 Defined results: a null text or one without a letter is ``und`` with score 0; rows without a language teach nothing; with
-no learnable row at all everything is ``und``; repeated rows and null ids give one row each; further columns are ignored.
+no learnable row at all everything is ``und``; bytes that are no UTF-8 are no letters; repeated rows and null ids give one
+row each; further columns are ignored. A text is counted in pieces of ``PIECE_CHARS`` characters, so the memory beside
+the text itself is bounded.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, id_text, mix64, release_memory, slices, small_batches
+from .common import bounded_sample, decoded, id_text, mix64, release_memory, slices, small_batches, text_digest
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 800
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.01
 UNKNOWN = "und"
+#: Characters of a text that are counted at once.
+PIECE_CHARS = 1 << 20
 
 _LETTER: list[np.ndarray] = []
 
@@ -39,22 +43,40 @@ def letters() -> np.ndarray:
     return _LETTER[0]
 
 
+def normal_pieces(text: str) -> Iterator[np.ndarray]:
+    """The code points of the text in lower case, letters only, with one blank after each run of them; piece by piece."""
+    after_letter = False
+    for at in range(0, len(text), PIECE_CHARS):
+        code = np.frombuffer(text[at : at + PIECE_CHARS].lower().encode("utf-32-le", "replace"), np.uint32)
+        letter = letters()[code]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= after_letter
+        after_letter = bool(letter[-1])
+        yield np.where(letter, code, np.uint32(32))[keep]
+
+
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of the text's n-grams and how often each occurs; empty if it has no letter."""
-    code = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    letter = letters()[code]
-    if not letter.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = np.where(letter, code, 32)
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # one blank after a word
-    code = np.concatenate([[32], code[keep], [32]]).astype(np.uint64)
-    pair = code[:-1] * np.uint64(0x110000) + code[1:]
-    triple = pair[:-1] * np.uint64(0x110000) + code[2:]
-    hashed = mix64(np.concatenate([code, pair + np.uint64(1 << 48), triple]))
-    total = np.bincount((hashed >> np.uint64(49)).astype(np.int64), minlength=BUCKETS)
-    used = np.flatnonzero(total)
-    return used, total[used]
+    total, seen = np.zeros(BUCKETS, np.int64), False
+    last = np.array([32], np.uint64)  # the code points before the piece that its n-grams reach
+    new = 1  # of which so many are not counted yet
+    pieces = normal_pieces(text)
+    while True:
+        piece = next(pieces, None)
+        if piece is None and not seen:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        seen = seen or bool((piece != 32).any())
+        more = np.array([32], np.uint64) if piece is None else piece.astype(np.uint64)
+        code, old = np.concatenate([last, more]), len(last) - new
+        pair = code[:-1] * np.uint64(0x110000) + code[1:]
+        triple = pair[:-1] * np.uint64(0x110000) + code[2:]
+        hashed = mix64(np.concatenate([code[old:], pair[max(old - 1, 0) :] + np.uint64(1 << 48), triple[max(old - 2, 0) :]]))
+        total += np.bincount((hashed >> np.uint64(49)).astype(np.int64), minlength=BUCKETS)
+        if piece is None:
+            used = np.flatnonzero(total)
+            return used, total[used]
+        last, new = code[-2:], 0
 
 
 def frequency_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +84,7 @@ def frequency_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     total, n = np.zeros(BUCKETS, np.int64), 0
     for _, texts in slices(batches):
         for t in texts:
-            total[gram_counts((t or b"").decode())[0]] += 1
+            total[gram_counts(decoded(t))[0]] += 1
             n += 1
     used = np.flatnonzero(total)
     if n:
@@ -72,7 +94,7 @@ def frequency_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, buckets, counts) of (lang, text)."""
     for langs, texts in slices(batches):
-        found = [gram_counts((t or b"").decode()) for t in texts]
+        found = [gram_counts(decoded(t)) for t in texts]
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([b.astype("<u4").tobytes() for b, _ in found], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary())], ["lang", "buckets", "counts"])
 
 
@@ -154,16 +176,19 @@ def best_temperature(logits: np.ndarray, truth: np.ndarray) -> float:
 def fit(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Train on the rows of ``docs`` (doc_id, text, lang) for which ``learnable`` holds."""
     small_batches(docs.sparkSession)
-    usable = docs.select("doc_id", "text", "lang").where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counted = id_text(usable).mapInArrow(frequency_rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequency = {r.bucket: r.n for r in counted.collect()}  # at most BUCKETS + 1 rows
     total = frequency.pop(-1, 0)
     idf = np.full(BUCKETS, np.log1p(total) + 1)
     for b, n in frequency.items():
         idf[b] = np.log((1 + total) / (1 + n)) + 1
-    chosen = bounded_sample(usable.select("doc_id", "lang"), per_language, "lang").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
-    picked = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
-    rows = picked.mapInArrow(feature_rows, "lang string, buckets binary, counts binary").limit(per_language * max(1, chosen.select("__lang").distinct().count())).collect()
+    keyed = usable.select("doc_id", text_digest().alias("digest"), "lang", "text")
+    chosen = bounded_sample(keyed.select("doc_id", "digest", "lang"), per_language, "lang", ("doc_id", "digest"))
+    chosen = chosen.select(*[F.col(c).alias(f"__{c}") for c in chosen.columns])
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("digest") == F.col("__digest")) & (F.col("lang") == F.col("__lang"))
+    picked = keyed.join(F.broadcast(chosen), same, "left_semi").dropDuplicates(["doc_id", "digest", "lang"]).select("lang", "text")
+    rows = picked.mapInArrow(feature_rows, "lang string, buckets binary, counts binary").collect()  # ``per_language`` of each
     data = sorted((r.lang, bytes(r.buckets), bytes(r.counts)) for r in rows)
     turns = np.random.default_rng(3).permutation(len(data))
     return train([(data[i][0], np.frombuffer(data[i][1], "<u4").astype(np.int64), np.frombuffer(data[i][2], "<u4")) for i in turns], idf)
@@ -174,7 +199,7 @@ def predicted_rows(shared):
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in slices(batches):
-            found = [shared.value.predict((t or b"").decode()) for t in texts]
+            found = [shared.value.predict(decoded(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return build
@@ -191,8 +216,8 @@ def accepted_rows(shared, least: float):
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = [shared.value.predict(t or "") for t in texts]
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
+            found = [shared.value.predict(decoded(t)) for t in texts]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
         release_memory()
 

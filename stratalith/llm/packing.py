@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, release_memory, slices, small_batches, stored
+from .common import decoded, id_text, release_memory, slices, small_batches, stored
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -186,7 +186,7 @@ def piece_rows(path: str, capacity: int, end_id: int):
         task, code = TaskContext.get().partitionId(), encoder(path)
         seen = np.zeros(capacity + 1, np.int64)
         for ids, texts in slices(batches):
-            tokens, at = code.ids([(t or b"").decode() for t in texts])
+            tokens, at = code.ids([decoded(t) for t in texts])
             n = np.diff(at) + 1
             number = -(-n // capacity)
             doc = np.repeat(np.arange(len(ids)), number)

@@ -1,22 +1,28 @@
 """Operator 10, personal data: base formats plus candidates that gradient-boosted trees select.
 
 1. The base kinds (email, ip, card, phone) are found by their formats and checks; these spans always stay.
-2. High-recall generators propose overlapping candidates of each kind: anything around an ``@``, dotted and spaced runs of
-   digits of many lengths.
-3. Boosted trees over format and context features score the candidates. They learn from a bounded sample of documents
-   (``TRAIN_DOCS``): a candidate that covers a base span of its kind and no more than a sign beside it is an example,
-   all others are counter-examples. Features that only restate the base checks are left out.
-4. Per kind, the threshold is the least score whose precision on the part of the sample kept out of the training is at
-   least ``PRECISION``; a kind with fewer than ``LEAST_HELD`` kept-out examples adds nothing. Selected candidates that
-   overlap no base span are added.
-
-Defined results: a null text is an empty one; repeated rows and null ids give one row each; further columns are ignored;
-an empty table gives no rows. Offsets are code points, ends exclusive.
+2. High-recall generators propose overlapping candidates of each kind: whatever surrounds an ``@`` or a written ``at``, and
+   all runs of up to ``WINDOW`` groups of digits with signs between them.
+3. Boosted trees over format and context features score the candidates. No labelled spans exist, so they learn from
+   planted ones: values of each kind in forms that the base formats don't cover (``name (at) host (dot) org``, national
+   phone forms, cards grouped by dots or slashes, defanged addresses) and look-alikes (dates, versions, references,
+   numbers that fail their checksum) are set into places of a bounded sample of documents (``TRAIN_DOCS``). The sample's
+   own candidates that no base span explains (``OWN_CANDIDATES`` a document at most) are further counter-examples.
+4. A quarter of the examples is kept out: it calibrates each kind's scores (a logistic curve over the margin) and gives the
+   kind's threshold, the least probability from which on the precision is at least ``PRECISION``.
+5. Candidates above their threshold that overlap no base span are added, of overlapping ones that with the highest
+   probability.
+
+Defined results: a null text is an empty one; bytes that are no UTF-8 count as one replacement character each; repeated
+rows and null ids give one row each; further columns are ignored; an empty table gives no rows. Offsets are code points,
+ends exclusive. Everything is linear in the text but for a sort of its spans.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -25,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, id_text, slices, small_batches
+from .common import bounded_sample, decoded, id_text, slices, small_batches, text_digest
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 3000
-PRECISION, LEAST_HELD = 0.98, 30
-TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
+#: Documents of the training sample, candidates of each that count as counter-examples, planted examples.
+TRAIN_DOCS, OWN_CANDIDATES, PLANTED = 3000, 20, 4000
+PRECISION = 0.98
+TREES, DEPTH, RATE, BINS = 40, 4, 0.2, 32
+#: Groups of digits, parted by blanks, of one candidate at most.
+WINDOW = 5
 
 #: Possessive forms of the base patterns: where they can't give back, giving back couldn't lead to a match.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
@@ -40,9 +49,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
-LOOSE_MAIL = re.compile(r"[^\s@<>,;]{1,64}@[^\s@<>,;]{1,128}")
-LOOSE_DIGITS = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])++")
-CONTEXT = re.compile(r"mail|phone|tel|call|fax|card|visa|pay|ip\b|host|server|contact", re.IGNORECASE)
+#: The generators: a sign or word for ``at``, a host with signs or words for its dots, runs of digits.
+AT = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|(?<=\s)at(?=\s)", re.IGNORECASE)
+DOT = r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s|\.)"
+HOST = re.compile(rf"\s?[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++", re.IGNORECASE)
+DIGITS = re.compile(r"[+(]?[0-9](?:[ ().\-/_\[\]]{0,3}+[0-9])++")
+CONTEXT = [re.compile(x, re.IGNORECASE) for x in (r"mail|contact|write", r"\bip\b|host|server|address", r"card|visa|master|pay|credit", r"phone|tel|call|fax|mobile|cell")]
+OTHER = re.compile(r"order|ref|isbn|version|\bv$|invoice|\bid\b|serial|date|page|chapter|total|[$\u20ac%#]", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -84,20 +97,63 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def union(spans: Iterable[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that sorted spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if starts and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def free(stretches: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Whether no stretch overlaps a..b."""
+    k = bisect_left(stretches[0], b) - 1
+    return k < 0 or stretches[1][k] <= a
+
+
+def mail_candidates(text: str) -> Iterator[tuple[int, int, int]]:
+    """From each ``at`` outwards; a scan to the left ends at the last one, so all of them are linear together."""
+    done = 0
+    for m in AT.finditer(text):
+        host = HOST.match(text, m.end())
+        if host:
+            end = start = m.start() - (m.start() > done and text[m.start() - 1].isspace())
+            while start > done and LOCAL.match(text, start - 1):
+                start -= 1
+            if start < end:
+                yield start, 0, host.end()
+        done = m.end()
+
+
+def digit_candidates(text: str) -> Iterator[tuple[int, int, int]]:
+    """Windows of groups of digits, for each kind whose number of digits fits."""
+    for m in DIGITS.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
+        base, s = m.start(), m[0]
+        groups = [(g.start(), g.end()) for g in re.finditer(r"\S+", s)]
+        sizes = [len(NOT_DIGIT.sub("", s[a:b])) for a, b in groups]
+        for i in range(len(groups)):
+            digits = 0
+            for j in range(i, min(i + WINDOW, len(groups))):
+                digits += sizes[j]
+                a, b = base + groups[i][0], base + groups[j][1]
+                if i == j and s[groups[i][0] : groups[j][1]].count(".") + s[groups[i][0] : groups[j][1]].count("-") >= 3 and digits <= 12:
+                    yield a, 1, b
+                if 12 <= digits <= 19:
+                    yield a, 2, b
+                if 7 <= digits <= 15:
+                    yield a, 3, b
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end): what might be personal data; kinds overlap."""
-    out = [(m.start(), 0, m.end()) for m in LOOSE_MAIL.finditer(text)] if "@" in text else []
-    for m in LOOSE_DIGITS.finditer(text):
-        n = m.end() - m.start()
-        if n >= 7:
-            digits = len(NOT_DIGIT.sub("", m[0]))
-            if 3 <= m[0].count(".") <= 5:
-                out.append((m.start(), 1, m.end()))
-            if 11 <= digits <= 20:
-                out.append((m.start(), 2, m.end()))
-            if 7 <= digits <= 16:
-                out.append((m.start(), 3, m.end()))
-    return out
+    """(start, kind, end): what might be personal data; candidates overlap."""
+    return [*mail_candidates(text), *digit_candidates(text)]
 
 
 def features(text: str, span: tuple[int, int, int]) -> list[float]:
@@ -105,13 +161,21 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
     a, kind, b = span
     s = text[a:b]
     before, after = text[max(0, a - 30) : a], text[b : b + 10]
-    digits = sum(c.isdigit() for c in s)
-    groups = [len(g) for g in re.findall("[0-9]+", s[:200])] or [0]
-    host = s.rpartition("@")[2]
+    groups = re.findall("[0-9]+", s[:200]) or [""]
+    sizes = [len(g) for g in groups]
+    digits = NOT_DIGIT.sub("", s)
+    signs = NOT_DIGIT.split(s)[0] == "" and s[0]
+    between = re.findall("[^0-9A-Za-z]+", s)
+    at = AT.search(s) if kind == 0 else None
+    host = s[at.end() :] if at else ""
+    tail = re.split(DOT, host, flags=re.IGNORECASE)[-1] if host else ""
     return [
-        kind, b - a, digits, digits / (b - a), len(groups), max(groups), min(groups), s.count("."), s.count("-"), s.count(" "), s.count("(") - s.count(")"),
-        s[0] == "+", s[0] == "(", host.count("."), len(host.rpartition(".")[2]), s[-1].isalnum(), before[-1:].isalnum(), before[-1:] in ".-/_=", after[:1].isalnum(), after[:1] in ".-/_=",
-        bool(CONTEXT.search(before)), sum(c.isupper() for c in s) / (b - a), before[-1:] == "\n" or not before,
+        kind, b - a, len(digits), len(groups), max(sizes), min(sizes), sizes[0], sizes[-1], len(set(between)), max(map(len, between), default=0),
+        s.count("."), s.count("-"), s.count(" "), s.count("/"), s.count("_"), s.count("["), s.count("(") - s.count(")"), s.count("("), signs == "+", signs == "(", digits[:1] == "0", digits[:2] == "00",
+        kind == 2 and luhn(digits), len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups), any(len(g) > 1 and g[0] == "0" for g in groups),
+        0 if not at else 1 if at[0] == "@" else 3 if at[0].lower() == "at" else 2, host[:1].isspace(), "dot" in host.lower(), len(tail), tail.isalpha(), at.start() if at else 0, any(c.isdigit() for c in s[: at.start()]) if at else 0, at is not None and ("(" in host or "[" in host or "{" in host),
+        before[-1:].isalnum(), before[-1:] in ".-/_=:#$", after[:1].isalnum(), after[:1] in "-/_=%:", before.rstrip()[-1:].isdigit(), after.lstrip()[:1].isdigit(),
+        bool(CONTEXT[kind].search(before)), bool(OTHER.search(before[-14:])), sum(c.isupper() for c in s) / (b - a),
     ]
 
 
@@ -122,6 +186,7 @@ class Trees:
     edges: list[np.ndarray] = field(default_factory=list)
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     start: float = 0.0
+    curves: list[tuple[float, float]] = field(default_factory=lambda: [(1.0, 0.0)] * len(KINDS))
     thresholds: list[float] = field(default_factory=lambda: [2.0] * len(KINDS))
 
     def binned(self, x: np.ndarray) -> np.ndarray:
@@ -136,8 +201,10 @@ class Trees:
             out += leaf[node - (2**DEPTH - 1)]
         return out
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.margin(self.binned(x)))) if self.trees else np.zeros(len(x))
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """The calibrated probability of each candidate; the first feature is its kind."""
+        curve = np.array(self.curves)[x[:, 0].astype(np.int64)]
+        return 1 / (1 + np.exp(-np.clip(curve[:, 0] * self.margin(self.binned(x)) + curve[:, 1], -40, 40)))
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> Trees:
@@ -169,61 +236,170 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     return model
 
 
-def set_thresholds(model: Trees, x: np.ndarray, y: np.ndarray) -> None:
-    """Per kind the least score from which on the precision holds."""
-    s = model.scores(x)
+def logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the least log loss of margins (Newton steps, slightly regularised)."""
+    w = np.array([1.0, 0.0])
+    z = np.stack([margin, np.ones(len(margin))], axis=1)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        gradient = z.T @ (p - y) + 1e-2 * (w - [1, 0])
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(hessian, gradient), -1, 1)
+    return float(max(w[0], 1e-3)), float(w[1])
+
+
+def calibrate(model: Trees, x: np.ndarray, y: np.ndarray) -> None:
+    """Per kind the curve, and the least probability from which on the precision holds."""
+    margin = model.margin(model.binned(x)) if len(x) else np.zeros(0)
     for k in range(len(KINDS)):
         rows = np.flatnonzero(x[:, 0] == k)
-        order = rows[np.argsort(-s[rows], kind="stable")]
-        right = np.cumsum(y[order])
-        last = np.append(s[order][1:] != s[order][:-1], True) if len(order) else np.zeros(0, bool)
-        good = np.flatnonzero(last & (right >= PRECISION * np.arange(1, len(order) + 1)) & (right >= LEAST_HELD))
-        model.thresholds[k] = float(s[order[good[-1]]]) if len(good) else 2.0
+        if not len(rows):
+            continue
+        model.curves[k] = logistic_curve(margin[rows], y[rows])
+        p = model.probabilities(x[rows])
+        order = np.argsort(-p, kind="stable")
+        right = np.cumsum(y[rows][order])
+        last = np.append(p[order][1:] != p[order][:-1], True)
+        good = np.flatnonzero(last & (right >= PRECISION * np.arange(1, len(order) + 1)) & (right > 0))
+        model.thresholds[k] = float(p[order[good[-1]]]) if len(good) else 2.0
+
+
+# Planted examples.
+
+
+def checked(rng, n: int) -> str:
+    """n random digits of which the last is their checksum."""
+    body = str(rng.integers(3, 7)) + "".join(map(str, rng.integers(0, 10, n - 2)))
+    return next(body + str(d) for d in range(10) if luhn(body + str(d)))
+
+
+def digits_of(rng, n: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, n)))
+
+
+def word_of(rng) -> str:
+    return "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
+
+
+def grouped(s: str, sizes: list[int], sign: str) -> str:
+    cuts = np.cumsum([0, *sizes])
+    return sign.join(s[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def planted(rng, kind: int) -> str:
+    """A value of the kind in a form that its base format doesn't cover."""
+    pick = lambda *options: options[rng.integers(len(options))]
+    if kind == 0:
+        local = word_of(rng) + pick("", ".", "_") + pick(word_of(rng), digits_of(rng, 2))
+        host = [word_of(rng), pick("com", "org", "net", "edu", "de", "fr", "io", "example")]
+        host = [word_of(rng), *host] if rng.random() < 0.3 else host
+        at, dot = pick((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" @ ", "."), ("(at)", "."), (" AT ", " DOT "), (" [at] ", " [dot] "), (" {at} ", "."), ("(at)", "(dot)"))
+        return local + at + dot.join(host)
+    if kind == 1:
+        return pick("[.]", "(.)", "[.]", "-").join(str(x) for x in rng.integers(1, 255, 4))
+    if kind == 2:
+        sizes = pick([4, 4, 4, 4], [4, 4, 4, 4], [4, 6, 5])
+        return grouped(checked(rng, sum(sizes)), sizes, pick(".", "/", "_", " - ", "."))
+    a, b, c = digits_of(rng, 3), str(rng.integers(200, 1000)), digits_of(rng, 4)
+    two, four = str(rng.integers(10, 100)), digits_of(rng, 4)
+    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{two} {four} {c}", f"00{two} {rng.integers(10, 100)} {four} {c}", f"(0{two}) {four} {c}", f"1-{a}-{b}-{c}", f"({a}) {b} {c}", f"0{two}/{four}{c[:3]}")
+
+
+def look_alike(rng) -> str:
+    """What resembles personal data and is none."""
+    pick = lambda *options: options[rng.integers(len(options))]
+    date = f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"
+    failing = lambda n: next(x for x in iter(lambda: digits_of(rng, n), "") if not luhn(x))
+    return pick(
+        digits_of(rng, rng.integers(7, 21)), failing(16), grouped(failing(16), [4, 4, 4, 4], pick(".", "/", "_", " ", "-")), f"{digits_of(rng, 1)}.{digits_of(rng, rng.integers(5, 12))}",
+        ".".join(str(x) for x in rng.integers(0, 40, rng.integers(3, 7))), date, f"{date} {rng.integers(0, 24)}.{rng.integers(10, 60)}", f"{rng.integers(1, 29)}/{rng.integers(1, 13)}/{rng.integers(1900, 2100)} - {rng.integers(1, 29)}/{rng.integers(1, 13)}/{rng.integers(1900, 2100)}",
+        f"ISBN 978-{digits_of(rng, 1)}-{digits_of(rng, 2)}-{digits_of(rng, 6)}-{digits_of(rng, 1)}", f"{digits_of(rng, 3)} {digits_of(rng, 3)} {digits_of(rng, 3)}", f"order {digits_of(rng, 4)}-{digits_of(rng, 4)}-{digits_of(rng, 2)}",
+        "[.]".join(str(x) for x in rng.integers(200, 999, 4)), "-".join(str(x) for x in rng.integers(256, 3000, 4)), f"{word_of(rng)} at {word_of(rng)}.{word_of(rng)}", f"{word_of(rng)} at {word_of(rng)} {word_of(rng)} dot {word_of(rng)}", f"{word_of(rng)} at {rng.integers(1, 13)}.{rng.integers(10, 60)}",
+        f"{word_of(rng)[:4]}{digits_of(rng, 12)}{word_of(rng)}", f"@{word_of(rng)} {word_of(rng)}.{word_of(rng)}", f"{digits_of(rng, 5)}-{digits_of(rng, 4)}", f"{digits_of(rng, 4)}-{digits_of(rng, 4)}",
+    )
+
+
+def planted_examples(contexts: list[tuple[str, str]], number: int = PLANTED) -> tuple[list[list[float]], list[float]]:
+    """Features and labels of the candidates around ``number`` planted values and look-alikes, in turn."""
+    rng = np.random.default_rng(11)
+    cues = (("mail ", "write to ", ""), ("host ", "ip ", ""), ("card ", "visa ", ""), ("tel ", "call ", "phone: ", ""))
+    xs, ys = [], []
+    for i in range(number if contexts else 0):
+        before, after = contexts[i % len(contexts)]
+        kind = (i // 2) % len(KINDS) if i % 2 else None
+        value = look_alike(rng) if kind is None else planted(rng, kind)
+        cue = cues[kind][rng.integers(len(cues[kind]))] if kind is not None and rng.random() < 0.4 else ""
+        at = len(before) + 1 + len(cue)
+        text = f"{before} {cue}{value}{('', '.', ',')[rng.integers(3)]} {after}"
+        stretches = union(base_spans(text))
+        for c in candidates(text):
+            inside = c[0] < at + len(value) and at < c[2]
+            if inside and free(stretches, c[0], c[2]):
+                xs.append(features(text, c))
+                ys.append(float(kind == c[1] and c[0] == at and c[2] == at + len(value)))
+    return xs, ys
+
+
+EXAMPLES = "place long, before string, after string, x binary"
 
 
 def example_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, y) of the candidates of (doc_id, text)."""
-    for _, texts in slices(batches):
-        xs, ys = [], []
-        for t in texts:
-            text = (t or b"").decode()
-            base = base_spans(text)
-            for c in candidates(text):
-                xs.append(np.array(features(text, c), np.float32).tobytes())
-                ys.append(any(k == c[1] and c[0] <= a and b <= c[2] and (c[2] - c[0]) - (b - a) <= 1 for a, k, b in base))
-        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.bool_())], ["x", "y"])
+    """EXAMPLES of (digest, text): a place between two words, and some of the candidates that no base span overlaps."""
+    for digests, texts in slices(batches):
+        rows: list[tuple] = []
+        for digest, t in zip(digests, texts, strict=True):
+            text = decoded(t)
+            cut = text.find(" ", zlib.crc32(t or b"") % (len(text) + 1))
+            cut = len(text) if cut < 0 else cut
+            stretches = union(base_spans(text))
+            own = [c for c in candidates(text) if free(stretches, c[0], c[2])]
+            own = sorted(own, key=lambda c: zlib.crc32(b"%d,%d,%d" % c))[:OWN_CANDIDATES]
+            x = np.array([features(text, c) for c in own], np.float32)
+            rows.append((digest, text[max(0, cut - 40) : cut], text[cut + 1 : cut + 41], x.tobytes()))
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["place", "before", "after", "x"])
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Trees:
-    """Trees from a bounded sample of the documents that hold an ``@`` or a number."""
+    """Trees from planted examples in a bounded sample of documents and from its own candidates. The driver holds
+    ``train_docs`` rows of at most ``OWN_CANDIDATES`` feature rows each."""
     small_batches(docs.sparkSession)
-    rows = id_text(docs)
-    some = rows.where(F.col("text").rlike(r"@|[0-9]{2}") & F.col("doc_id").isNotNull()).select("doc_id", F.lit(0).alias("all"))
-    chosen = bounded_sample(some, train_docs, "all").select(F.col("doc_id").alias("__id"))
-    data = rows.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("__id"), "left_semi").mapInArrow(example_rows, "x binary, y boolean").limit(50 * train_docs).collect()
-    if not data:
+    rows = id_text(docs).where("text IS NOT NULL").select(text_digest().alias("digest"), F.lit(0).alias("all"), "text")
+    chosen = bounded_sample(rows.select("digest", "all"), train_docs, "all", ("digest",)).select(F.col("digest").alias("__digest"))
+    picked = rows.join(F.broadcast(chosen), F.col("digest") == F.col("__digest"), "left_semi").select("digest", "text").dropDuplicates(["digest"])
+    found = sorted(((r.place, r.before, r.after, bytes(r.x)) for r in picked.mapInArrow(example_rows, EXAMPLES).collect()))
+    xs, ys = planted_examples([(b, a) for _, b, a, _ in found])
+    if not xs:
         return Trees()
-    data = sorted((bytes(r.x), r.y) for r in data)
-    x = np.array([np.frombuffer(a, np.float32) for a, _ in data]).astype(np.float64)
-    y = np.array([b for _, b in data], np.float64)
+    own = np.frombuffer(b"".join(x for *_, x in found), np.float32).reshape(-1, len(xs[0]))
+    x = np.concatenate([np.array(xs, np.float32), own]).astype(np.float64)
+    y = np.concatenate([ys, np.zeros(len(own))])
     held = np.random.default_rng(5).random(len(y)) < 0.25
-    if not (0 < y[~held].sum() < (~held).sum()):
-        return Trees()
     model = boost(x[~held], y[~held])
-    set_thresholds(model, x[held], y[held])
+    calibrate(model, x[held], y[held])
     return model
 
 
 def found_spans(texts: list[str], model: Trees) -> list[tuple[list, list]]:
     """For each text its base spans and all spans."""
-    base = [base_spans(t) for t in texts]
-    proposed = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if model.trees and model.thresholds[c[1]] <= 1]
-    proposed = [(i, c) for i, c in proposed if not any(a < c[2] and c[0] < b for a, _, b in base[i])]
+    base = [sorted(base_spans(t)) for t in texts]
+    proposed = []
+    for i, t in enumerate(texts if model.trees else ()):
+        stretches = union(base[i])
+        proposed += [(i, c) for c in candidates(t) if free(stretches, c[0], c[2])]
     more: dict[int, list] = {}
     if proposed:
-        s = model.scores(np.array([features(texts[i], c) for i, c in proposed], np.float64))
-        for (i, c), p in zip(proposed, s.tolist(), strict=True):
-            if p >= model.thresholds[c[1]]:
+        x = np.array([features(texts[i], c) for i, c in proposed], np.float64)
+        p = model.probabilities(x)
+        good = np.flatnonzero(p >= np.array(model.thresholds)[x[:, 0].astype(np.int64)])
+        taken: dict[int, tuple[list[int], list[int]]] = {}
+        for k in sorted(good.tolist(), key=lambda k: (-p[k], proposed[k])):
+            i, c = proposed[k]
+            stretches = taken.setdefault(i, ([], []))
+            if free(stretches, c[0], c[2]):
+                at = bisect_right(stretches[0], c[0])
+                stretches[0].insert(at, c[0])
+                stretches[1].insert(at, c[2])
                 more.setdefault(i, []).append(c)
     return [(b, sorted(b + more.get(i, []))) for i, b in enumerate(base)]
 
@@ -237,7 +413,7 @@ def found_rows(shared):
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raw in slices(batches):
-            texts = [(t or b"").decode() for t in raw]
+            texts = [decoded(t) for t in raw]
             found = found_spans(texts, shared.value)
             named = [[[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in x] for x in pair] for pair in found]
             clean = [redacted(t, spans) for t, (_, spans) in zip(texts, found, strict=True)]

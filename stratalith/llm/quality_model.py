@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, id_text, mix64, numbered, slices, small_batches, stored
+from .common import bounded_sample, id_text, mix64, numbered, slices, small_batches, stored, text_digest
 
 BUCKETS, DIMS, ONES, REACH = 1 << 13, 64, 4, 2
 FAN_IN = 32
@@ -228,12 +228,13 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, name: str = "qual
     vectors = Vectors.of(corpus_sums(docs))
     known = labels.select("doc_id", name).where(learnable & F.col(name).isin(0, 1)).groupBy("doc_id").agg(F.max(name).cast("long").alias("y"))
     known = known.withColumn("use", F.when(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0, 1).otherwise(0))
-    first = bounded_sample(known.where("use = 0"), PER_LABEL, "y")
-    second = bounded_sample(known.where("use = 1").withColumn("all", F.lit(0)), CALIBRATION, "all").drop("all")
+    first = bounded_sample(known.where("use = 0"), PER_LABEL, "y").withColumn("use", F.lit(0))
+    second = bounded_sample(known.where("use = 1").withColumn("all", F.lit(0)), CALIBRATION, "all").drop("all").withColumn("use", F.lit(1)).join(known.select("doc_id", "y"), "doc_id")
     chosen = first.unionByName(second).select(F.col("doc_id").alias("__id"), (F.col("y") * 2 + F.col("use")).alias("tag"))
     shared = spark.sparkContext.broadcast(vectors)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("tag", "text")
-    rows = picked.mapInArrow(sampled_rows(shared), "tag long, x binary").limit(2 * PER_LABEL + CALIBRATION).collect()
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    picked = picked.groupBy("doc_id", "tag").agg(F.min_by("text", text_digest()).alias("text")).select("tag", "text")  # of repeated ids one text
+    rows = picked.mapInArrow(sampled_rows(shared), "tag long, x binary").collect()  # 2 * PER_LABEL + CALIBRATION at most
     data = sorted((r.tag, bytes(r.x)) for r in rows)
     if not data:
         return vectors, None

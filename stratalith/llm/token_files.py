@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, release_memory, shared_dir, slices, small_batches
+from .common import decoded, id_text, release_memory, shared_dir, slices, small_batches
 from .tokens import encoder
 
 END_ID = 0
@@ -139,7 +139,7 @@ def raw_rows(path: str, end_id: int, marks_as_text: bool = True):
         kind = "<u2" if code.n <= 1 << 16 else "<u4"
         tail = np.array([end_id], kind).tobytes()
         for ids, texts in slices(batches):
-            tokens, at = code.ids([(t or b"").decode() for t in texts])
+            tokens, at = code.ids([decoded(t) for t in texts])
             data, step = tokens.astype(kind).tobytes(), np.dtype(kind).itemsize
             cuts = (at * step).tolist()
             rows = [data[a:b] + tail for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -126,4 +126,4 @@ def test_boosting_separates():
     x = rng.normal(size=(3000, 4))
     y = ((x[:, 0] > 0.3) & (x[:, 2] < 0.5)).astype(float)
     model = personal_data.boost(x[:2000], y[:2000])
-    assert ((model.scores(x[2000:]) > 0.5) == y[2000:]).mean() > 0.97
+    assert ((model.margin(model.binned(x[2000:])) > 0) == y[2000:]).mean() > 0.97
