@@ -1,15 +1,20 @@
 """Operator 9, secret scans, in DataFrame expressions only: a trigram inverted index in front of the rules.
 
-1. From each rule's regular expression a Boolean trigram query is derived (an AND of ORs of ANDs of trigrams that any
+1. The index holds a posting (trigram, key) for every distinct trigram of every text in lower case, sorted by trigram within
+   each file, so that looking up a list reads the pages that hold it. It depends on no rule and serves any set of rules.
+   A key is a 64-bit hash of doc_id and text; that two rows share one only makes a candidate more.
+2. From each rule's regular expression a Boolean trigram query is derived (an AND of ORs of ANDs of trigrams that any
    match must hold, in lower case); a rule without mandatory trigrams gets none and scans every text.
-2. Postings (trigram, doc_id) of the trigrams that the queries ask for are stored as a table, sorted by trigram.
-3. A query intersects and unites the postings by document: the bits of a document's trigrams are put together and the
-   Boolean expression is evaluated on them. What is left are the candidates of each rule.
-4. Only candidates are matched with the rule itself; matches get their places from the pieces between them.
-
-Defined results: a null text is an empty one; rows with one doc_id share their postings (a candidate is verified in each
-row by its own text); rows with a null id are verified without the index; further columns are ignored; an empty table
-gives no rows. Offsets are code points, ends exclusive.
+3. The lists that the queries name are looked up and intersected or united by key, all rules in one pass: each posting
+   sets its trigram's bit for its key, and the queries are evaluated on the bits. What is left are the candidates.
+4. Only candidates are matched with the rule itself; matches get their places from the lengths of the pieces between them.
+
+Defined results: a null text is an empty one; repeated rows, rows that share a doc_id and rows with a null id are each
+judged by their own text; further columns are ignored; an empty table gives no rows. Bytes that are no UTF-8 count as the
+JVM decodes them. Offsets are code points, ends exclusive. Arrays of matches are folded in blocks, so that 100,000 matches
+in one text are no matter; the index takes long texts in chunks.
+
+The patterns are taken apart by the parser of Python's own ``re`` module, which is not a documented interface of it.
 """
 
 from __future__ import annotations
@@ -24,8 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: A table of at most so many candidates may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes of candidates (``CANDIDATE_BYTES`` a row) that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES, CANDIDATE_BYTES = 8 << 20, 32
+#: Characters of a text that one array of trigrams takes, and of a piece that a place is cut from.
+CHUNK, PIECE = 1 << 16, 1 << 13
+#: Elements that one growing array is folded from.
+BLOCK = 128
 #: Trigrams that one long holds as bits.
 WORD = 60
 
@@ -112,24 +121,33 @@ def trigrams_of(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted({g for r in rules for clause in trigram_query(r.pattern) for alternative in clause for g in alternative})
 
 
-def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """Store the index: (gram, doc_id), one row per text and trigram of ``grams`` in it."""
-    low = docs.select("doc_id", F.lower("text").alias("low")).where("doc_id IS NOT NULL AND low IS NOT NULL")
-    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
-    rows = low.select(F.explode(found).alias("gram"), "doc_id")
-    return stored(rows.sortWithinPartitions("gram", "doc_id"), "trigrams")
+def row_key() -> Column:
+    """The key of a row (doc_id, text) in the index; rows without a text need none and get any."""
+    return F.when(F.col("text").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "text"))
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """Store the index of (doc_id, text): (gram, key), one row per chunk of a text and trigram in it."""
+    low = docs.where("text IS NOT NULL").select(row_key().alias("key"), F.lower("text").alias("low"))
+    cut = F.lit(f"(?s)(.{{1,{CHUNK}}})(?=(.{{0,2}}))")  # the next two characters belong to a chunk's last trigrams
+    chunks = F.zip_with(F.regexp_extract_all("low", cut, F.lit(1)), F.regexp_extract_all("low", cut, F.lit(2)), lambda a, b: F.concat(a, b))
+    chunks = F.when(F.length("low") <= CHUNK, F.array("low")).otherwise(chunks)
+    grams = F.array_distinct(F.regexp_extract_all("chunk", F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    rows = low.select("key", F.explode(chunks).alias("chunk")).select(F.explode(grams).alias("gram"), "key")
+    return stored(rows.sortWithinPartitions("gram"), "trigrams")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, rules): the bits of the rules whose queries a document's trigrams satisfy."""
+    """(key, rules): the bits of the rules whose queries the lists of their trigrams satisfy for a key."""
     grams = trigrams_of(rules)
     words = range(-(-len(grams) // WORD))
 
     def looked_up(values) -> Column:
         return F.element_at(F.create_map(*[x for g, v in zip(grams, values, strict=True) for x in (F.lit(g), F.lit(v).cast("long"))]), F.col("gram"))
 
-    placed = index.select("doc_id", looked_up(k // WORD for k in range(len(grams))).alias("word"), looked_up(1 << k % WORD for k in range(len(grams))).alias("bit"))
-    together = placed.groupBy("doc_id").agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"bits{w}") for w in words])
+    lists = index.where(F.col("gram").isin(grams))
+    placed = lists.select("key", looked_up(k // WORD for k in range(len(grams))).alias("word"), looked_up(1 << k % WORD for k in range(len(grams))).alias("bit"))
+    together = placed.groupBy("key").agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"bits{w}") for w in words])
 
     def holds(alternative: frozenset[str]) -> Column:
         masks = dict.fromkeys(words, 0)
@@ -143,26 +161,52 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if query := trigram_query(rule.pattern):
             met = reduce(Column.__and__, (reduce(Column.__or__, map(holds, clause)) for clause in query))
             total = total.bitwiseOR(F.when(met, F.lit(1 << k)).otherwise(F.lit(0)))
-    return together.select("doc_id", total.alias("rules")).where("rules != 0")
+    return together.select("key", total.alias("rules")).where("rules != 0")
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def before_each(values: Column, fold) -> Column:
+    """The fold (from 0) of all values before each one. Blocks are folded first, so no array grows beyond a block's or
+    the blocks' number."""
+    none = F.array().cast("array<int>")
+
+    def block(v: Column, k: Column) -> Column:
+        return F.slice(v, k * BLOCK + 1, F.lit(BLOCK))
+
+    def so_far(v: Column, start: Column) -> Column:
+        return F.aggregate(v, F.struct(start.alias("at"), none.alias("out")), lambda acc, x: F.struct(fold(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def whole(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda k: F.aggregate(block(v, k), F.lit(0), fold))
+        starts = F.transform(so_far(totals, F.lit(0)), lambda at, k: F.struct(at.alias("at"), k.alias("k")))
+        return F.flatten(F.transform(starts, lambda s: so_far(block(v, s["k"]), s["at"])))
+
+    return bound(values, whole)
 
 
 def spans_of(rule: Rule, number: int, text: Column) -> Column:
     """The rule's spans in a text as structs (start, number, kind, end)."""
     pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    decisive = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    gaps = F.split(text, rule.pattern, -1)
-    rows = F.arrays_zip(whole.alias("whole"), decisive.alias("decisive"), gaps.alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
+    lengths = lambda texts: F.transform(texts, F.length)
+    whole = lengths(F.regexp_extract_all(text, pattern, F.lit(0)))
+    decisive = lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group)))
+    gaps = lengths(F.split(text, rule.pattern, -1))
 
-    def step(acc: Column, r: Column) -> Column:
-        at = acc["at"] + F.length(r["gap"])
-        end = at + F.coalesce(F.length(r["whole"]), F.lit(0))
-        span = F.struct(at.alias("start"), F.lit(number).alias("number"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        good = F.length(r["decisive"]) >= rule.least
-        return F.struct(end.alias("at"), F.when(F.coalesce(good, F.lit(False)), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+    def places(m: Column) -> Column:
+        gap = F.slice(m["gap"], F.lit(1), F.size(m["whole"]))
+        before = before_each(F.zip_with(gap, m["whole"], lambda g, w: g + w), lambda a, x: a + x)
+        rows = F.arrays_zip(before.alias("before"), gap.alias("gap"), m["whole"].alias("whole"), m["decisive"].alias("decisive"))
+        good = F.filter(rows, lambda r: r["decisive"] >= rule.least)
+        start = lambda r: r["before"] + r["gap"]
+        return F.transform(good, lambda r: F.struct(start(r).alias("start"), F.lit(number).alias("number"), F.lit(rule.kind).alias("kind"), (start(r) + r["whole"]).alias("end")))
 
-    return F.when(F.regexp_like(text, pattern), F.aggregate(rows, start, step)["found"]).otherwise(F.array().cast(SPANS))
+    matched = F.struct(whole.alias("whole"), decisive.alias("decisive"), gaps.alias("gap"))
+    return F.when(F.regexp_like(text, pattern), bound(matched, places)).otherwise(F.array().cast(SPANS))
 
 
 SPANS = "array<struct<start:int,number:int,kind:string,end:int>>"
@@ -171,14 +215,14 @@ SPANS = "array<struct<start:int,number:int,kind:string,end:int>>"
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(row, spans): each row of ``docs`` as a struct, and all secrets of its text, by start, then in the order of the rules."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    keyed = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "row.text")
-    found = stored(candidates(postings(keyed, trigrams_of(rules)), rules), "candidates")
-    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("shuffle_hash")
+    keyed = rows.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    found = stored(candidates(postings(keyed.select("doc_id", "text")), rules), "candidates")
+    small = found.count() * CANDIDATE_BYTES <= BROADCAST_BYTES
+    keyed = keyed.select("row", "text", row_key().alias("at"))
+    joined = keyed.join(F.broadcast(found) if small else found, F.col("at") == F.col("key"), "left")
     always = sum(1 << k for k, r in enumerate(rules) if not trigram_query(r.pattern))
-    ids = F.col("row.doc_id").cast("long")
-    joined = rows.withColumn("id", ids).join(side, F.col("id") == F.col("doc_id"), "left")
-    known = F.when(F.col("id").isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("rules", F.lit(0)).bitwiseOR(F.lit(always)))
-    text = F.coalesce("row.text", F.lit(""))
+    known = F.coalesce("rules", F.lit(0)).bitwiseOR(F.lit(always))
+    text = F.coalesce("text", F.lit(""))
     none = F.array().cast(SPANS)
     parts = [F.when(known.bitwiseAND(F.lit(1 << k)) != 0, spans_of(r, k, text)).otherwise(none) for k, r in enumerate(rules)]
     return joined.select("row", F.array_sort(F.concat(*parts)).alias("spans"))
@@ -191,15 +235,22 @@ def listed(spans: Column) -> Column:
 
 def redacted_text(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by its first kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        """The characters from a to b, from the pieces of ``PIECE`` characters that hold them."""
+        part = lambda k: F.substr(F.get(pieces, k), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0)))
+        held = F.sequence(F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int"))
+        return F.when(b > a, F.array_join(F.transform(held, part), "")).otherwise("")
+
+    def whole(m: Column) -> Column:
+        done = before_each(F.transform(m["spans"], lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        rows = F.filter(F.arrays_zip(done.alias("done"), m["spans"].alias("span")), lambda r: r["span"]["start"] >= r["done"])
+        said = F.transform(rows, lambda r: F.concat(between(m["pieces"], r["done"], r["span"]["start"]), F.lit("["), F.upper(r["span"]["kind"]), F.lit("]")))
+        last = F.array_max(F.transform(m["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(said, ""), between(m["pieces"], last, m["size"]))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, bound(F.struct(pieces.alias("pieces"), spans.alias("spans"), F.length(text).alias("size")), whole)).otherwise(text)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
