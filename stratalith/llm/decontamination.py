@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, small_batches, stored
+from .common import id_text, numbered, slices, small_batches, stored
 
 WINDOW = 10
 BLOCK_BYTES = 6 << 20
@@ -46,60 +47,38 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def posting_rows(vocabulary: dict[bytes, int] | None):
-    """A mapper from (doc_id, text) to index rows; with a vocabulary, only its terms get lists."""
-
-    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        for number, (ids, texts) in enumerate(slices(batches, BLOCK_BYTES)):
-            known: dict[bytes, int] = vocabulary if vocabulary is not None else {}
-            parts, base, starts, lengths = [], 0, [], []
-            digests = [None if t is None else hashlib.md5(t).digest() for t in texts]
-            for t in texts:
-                words = words_of(t or b"")
-                if vocabulary is None:
-                    for w in words:
-                        known.setdefault(w, len(known))
-                    found = [known[w] for w in words]
-                else:
-                    found = [known.get(w, -1) for w in words]
-                parts.append(np.array([*found, -1], np.int64))  # the gap
-                starts.append(base)
-                lengths.append(len(words))
-                base += len(words) + 1
-            terms = np.concatenate(parts)
-            places = np.flatnonzero(terms >= 0)
-            order = places[np.argsort(terms[places], kind="stable")]
-            of = terms[order]
-            cuts = np.flatnonzero(np.diff(of, prepend=-1))
-            names = list(known)
-            lists = np.split(order, cuts[1:]) if len(order) else []
-            block = f"{task}-{number}"
-            present = [names[of[c]] for c in cuts]
-            directory = pa.array(ids, pa.int64())
-            head = pa.RecordBatch.from_arrays([directory, pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "start", "n", "digest"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, head.schema) as writer:
-                writer.write_batch(head)
-            rows = [
-                [block] * (len(present) + 1),
-                [None, *present],
-                [len(ids), *map(len, lists)],
-                [sink.getvalue().to_pybytes(), *(np.diff(x, prepend=0).astype(np.uint32).tobytes() for x in lists)],
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary())], INDEX_NAMES)
-
-    return build
-
-
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None) -> DataFrame:
-    """Store the index of ``docs``. ``vocabulary``, if given, is the closed set of terms that will be asked for: lists
-    of other terms are left out. The rows with a null term hold each block's document directory."""
+def posting_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows of (doc_id, text): a block's directory, then its lists."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
+    for number, (ids, texts) in enumerate(slices(batches, BLOCK_BYTES)):
+        block = f"{task}-{number}"
+        terms, bounds, names = numbered(words_of(t or b"") for t in texts)
+        n_words = np.diff(bounds)
+        starts = bounds[:-1] + np.arange(len(texts))  # a gap after each document
+        places = np.arange(len(terms)) + np.repeat(np.arange(len(texts)), n_words)
+        order = np.argsort(terms, kind="stable")
+        places = places[order]
+        cuts = np.flatnonzero(np.diff(terms[order], prepend=-1))
+        steps = np.diff(places, prepend=0)
+        steps[cuts] = places[cuts]
+        ends = np.append(cuts, len(terms))
+        digests = [None if t is None else hashlib.md5(t).digest() for t in texts]
+        head = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts), pa.array(n_words), pa.array(digests, pa.binary())], ["doc_id", "start", "n", "digest"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, head.schema) as writer:
+            writer.write_batch(head)
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], pa.binary()), pa.array([len(ids)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], INDEX_NAMES)
+        lists = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(steps.astype("<u4"))])
+        yield pa.RecordBatch.from_arrays([pa.repeat(block, len(names)), pa.array(names, pa.binary()), pa.array(np.diff(ends)), lists], INDEX_NAMES)
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """Store the index of ``docs`` with the lists of all terms, so that it serves any benchmark. The rows with a null term
+    hold each block's document directory."""
     small_batches(docs.sparkSession)
-    known = None if vocabulary is None else {w: i for i, w in enumerate(sorted(vocabulary))}
-    return stored(id_text(docs).mapInArrow(posting_rows(known), INDEX), "postings")
+    return stored(id_text(docs).mapInArrow(posting_rows, INDEX), "postings")
 
 
 @dataclass
@@ -216,13 +195,23 @@ def phrase_hits(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
 
 
 def benchmark_chunks(benchmark: DataFrame, width: int, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Windows]:
-    """The benchmark's windows, in chunks whose text is bounded; the driver holds one chunk at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-2 * total // chunk_bytes) if total > chunk_bytes else 1)
-    for k in range(parts):
-        chunk = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield Windows.of(((r.item_id, r.text) for r in chunk.toLocalIterator()), width)
+    """The benchmark's windows, in chunks of at most about ``chunk_bytes`` of text; the driver holds one chunk and one item
+    at a time. Equal rows count once; an item longer than a chunk is cut, the parts overlapping by a window."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    rows: list[tuple] = []
+    size = 0
+    for r in items.toLocalIterator():
+        words = words_of((r.text or "").encode())
+        most = max(width, chunk_bytes // 16)
+        for at in range(0, max(1, len(words) - width + 1), most):
+            part = b" ".join(words[at : at + most + width - 1]).decode()
+            rows.append((r.item_id, part))
+            size += len(part)
+            if size >= chunk_bytes:
+                yield Windows.of(rows, width)
+                rows, size = [], 0
+    if rows or not size:
+        yield Windows.of(rows, width)
 
 
 def merge_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -252,16 +241,9 @@ def items_digest(items: list[str]) -> str:
 
 def judged(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row of ``docs``: the columns of ``contamination`` and the MD5 digest of the text that they were found in."""
-    chunks = benchmark_chunks(benchmark, width, chunk_bytes)
-    windows = next(chunks)
-    second = next(chunks, None)
-    closed = {w for t in windows.terms for w in t} if second is None else None
-    index = build_index(docs, closed)
-    found = phrase_hits(index, windows, slop)
-    if second is not None:
-        for more in (second, *chunks):
-            found = found.unionByName(phrase_hits(index, more, slop))
-        found = found.groupBy("block", "place").applyInPandas(merge_chunks, RESULT)
+    index = build_index(docs)
+    parts = [stored(phrase_hits(index, windows, slop), "hits") for windows in benchmark_chunks(benchmark, width, chunk_bytes)]
+    found = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy("block", "place").applyInPandas(merge_chunks, RESULT)
     from pyspark.sql.functions import pandas_udf
 
     n_hit = pandas_udf(covered_words, "long")

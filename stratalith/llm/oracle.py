@@ -16,8 +16,20 @@ s AS (SELECT doc_id, unnest(places) AS i FROM g),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM s) GROUP BY 1),
 m AS (SELECT v.doc_id, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(n, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters FROM v LEFT JOIN c ON c.doc_id = v.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT ({' OR '.join(f'({r.fails})' for r in quality_rules.RULES)}) AS kept FROM m
 """
+LEDGER_SQL, RULES_SQL = RULES_SQL, RULES_SQL + f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT ({' OR '.join(f'({r.fails})' for r in quality_rules.RULES)}) AS kept FROM m
+"""
+
+
+def _policy(p: quality_rules.Policy) -> str:
+    """The rows of one policy: a rule fails alone if it is the only one of the policy that a document fails."""
+    rules = {r.name: f"CAST(({r.fails}) AS INT)" for r in quality_rules.RULES if r.name in p.rules}
+    total = " + ".join(rules.values())
+    parts = [f"SELECT '{p.version}' AS policy, '{name}' AS rule, CAST(sum({fails}) AS BIGINT) AS failing, CAST(sum(CASE WHEN {total} = 1 THEN {fails} ELSE 0 END) AS BIGINT) AS failing_alone, count(*) AS documents FROM m" for name, fails in rules.items()]
+    return " UNION ALL ".join(parts)
+
+
+ABLATIONS_SQL = LEDGER_SQL + " UNION ALL ".join(map(_policy, quality_rules.POLICIES))
 
 CONTAMINATION_SQL = rf"""
 WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -76,4 +88,5 @@ ORACLE_SQL = {
     "op5_minhash_near_dedup": NEAR_SQL,
     "op7_chat_formatting": CHAT_SQL,
     "op9_secret_scans": SECRETS_SQL,
+    "rule_ablations": ABLATIONS_SQL,
 }

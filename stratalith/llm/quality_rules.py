@@ -5,7 +5,8 @@ that a new policy (another mask) or an ablation (what one rule alone removes) is
 never reads a text again.
 
 Defined results: a null text has no words (all measurements 0, bit TOO_FEW_WORDS set); repeated rows and null ids
-give one row each; further columns are ignored.
+give one row each; bytes that are no UTF-8 are no space, symbol or letter, and count as characters unless they look like
+the rest of one; further columns are ignored; an empty table gives an empty ledger. A text is one row and held whole.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, numbered, slices, small_batches, window_hashes
+from .common import id_text, numbered, slices, small_batches, stored, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
+#: All bytes of a code point but the first; capitals.
+FURTHER, UPPER = bytes(range(0x80, 0xC0)), b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 REPEAT_WORDS = 8
 
 LEDGER = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_upper long, n_letters long"
@@ -65,22 +68,17 @@ POLICIES = (BASE, Policy("v1", ("too_few_words", "repeated_windows", "symbols"))
 
 def measurements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ledger's measurements of each text, from (doc_id, text)."""
-    space = np.zeros(256, bool)
-    space[list(SPACES)] = True
-    symbol = np.zeros(256, bool)
-    symbol[list(SYMBOLS)] = True
+    def number(texts: list[bytes], without: bytes) -> np.ndarray:
+        """The bytes of each text that are not of ``without``."""
+        return np.fromiter((len(t.translate(None, without)) for t in texts), np.int64, len(texts))
+
     for ids, texts in slices(batches):
         texts = [t or b"" for t in texts]
-        at = np.cumsum([0, *map(len, texts)])
-        data = np.frombuffer(b"".join(texts), np.uint8)
-
-        def per_doc(flags: np.ndarray, at: np.ndarray = at) -> np.ndarray:
-            return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[at])
-
-        n_symbols = per_doc(symbol[data])
-        word_chars = per_doc(~space[data] & ((data & 0xC0) != 0x80))
-        n_upper = per_doc((data >= 65) & (data <= 90))
-        n_letters = n_upper + per_doc((data >= 97) & (data <= 122))
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        n_symbols = size - number(texts, SYMBOLS)
+        word_chars = number(texts, SPACES + FURTHER)
+        n_upper = size - number(texts, UPPER)
+        n_letters = size - number(texts, UPPER + UPPER.lower())
         words, bounds, _ = numbered(t.split() for t in texts)
         n_words = np.diff(bounds)
         repeated = repeated_words(words, bounds)
@@ -127,9 +125,10 @@ def failure_bits() -> Column:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements and ``failed`` (one bit per rule) of every document."""
+    """Store doc_id, the measurements and ``failed`` (one bit per rule) of every document: policies and ablations, of now
+    or later, read this table and no text."""
     small_batches(docs.sparkSession)
-    return id_text(docs).mapInArrow(measurements, LEDGER).withColumn("failed", failure_bits())
+    return stored(id_text(docs).mapInArrow(measurements, LEDGER).withColumn("failed", failure_bits()), "ledger")
 
 
 def judged(book: DataFrame, policy: Policy) -> DataFrame:

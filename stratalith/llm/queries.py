@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +92,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *map(number, personal_data.KINDS), F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of the policy and each of its rules: documents that fail it, and that fail nothing else of it."""
+    book = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    rows = reduce(DataFrame.unionByName, [quality_rules.ablations(book, p) for p in quality_rules.POLICIES])
+    return rows.select("policy", "rule", "failing", "failing_alone", "documents")
+
+
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 with proximity matches: all words of a window within two places of theirs."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2)
+    return found.select("doc_id", "n_words", "n_hit", F.array_join("items", ",").alias("items"), "contaminated")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -101,4 +116,6 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secret_scans": op9_secret_scans,
     "op10_personal_data": op10_personal_data,
+    "rule_ablations": rule_ablations,
+    "benchmark_proximity": benchmark_proximity,
 }
