@@ -14,6 +14,10 @@
 A link of similarity 0.75 shares no band key with a probability of about (1 - 0.75 ** 4) ** 32 = 5e-6, and a true pair
 falls below the estimate's margin of six standard deviations with less than 1e-8.
 
+Keys that many rows share (a pivot, a band, a shingle, the set of a much copied text) are dealt to several tasks (``dealt``);
+the edges of a component's hub are left to the skew handling of adaptive execution. A text is one row and held whole by a
+task, with some 60 bytes a word.
+
 Defined results: null and empty texts have no shingles, are linked with nothing and stay; rows with one doc_id are one
 node; rows with a null id are linked with nothing, stay, and have a null component; further columns are ignored.
 """
@@ -22,11 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,8 +45,10 @@ BANDS = BUCKETS // ROWS
 #: Chance collisions of two registers of equal content size and r mantissa bits: this constant / 2 ** r a bucket (HyperMinHash paper).
 COLLISIONS = 0.169919487159739093975315012348
 SIGMAS = 6.0
-#: A table of pairs or ids of at most so many rows may be broadcast.
+#: A table of pairs or ids (at most four numbers a row) of at most so many rows may be broadcast: some 6 MB.
 BROADCAST_ROWS = 200_000
+#: Rows of one key that one task joins; of shingles, whose rows are small, so many.
+PER_TASK, SHINGLES_PER_TASK = 1000, 50_000
 #: Pivots of a group in the first round of a mixed group, from its main component and from the others each; then all.
 PIVOTS = 8
 
@@ -159,22 +166,49 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def crowded(rows: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """Store (h0, h1, ..., parts) of the keys with more than ``most`` (PER_TASK) rows: the number of parts to deal them to."""
+    most = most or PER_TASK
+    counted = rows.groupBy(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
+    return stored(counted.withColumn("__parts", F.ceil(F.col("__n") / most).cast("int")).drop("__n"), "crowded")
+
+
+def dealt(many: DataFrame, keys: list[str], other: DataFrame, other_keys: list[str], hot: DataFrame, also: str = "true", how: str = "inner") -> DataFrame:
+    """``many`` joined with ``other`` by their keys. The rows of the crowded keys ``hot`` (of ``many``) are dealt to their
+    parts, each of which gets a copy of the key's rows of ``other``, so that no task has all rows of a key."""
+    same = [F.col(a) == F.col(b) for a, b in zip(keys, other_keys, strict=True)]
+    number = hot.count()
+    if not number:
+        return many.join(other, reduce(Column.__and__, same, F.expr(also)), how)
+    hot = maybe_broadcast(hot, number)
+    parts = F.coalesce("__parts", F.lit(1))
+
+    def parted(df: DataFrame, names: list[str], part: Column, name: str) -> DataFrame:
+        met = df.join(hot, reduce(Column.__and__, [F.col(k) == F.col(f"__h{i}") for i, k in enumerate(names)]), "left")
+        return met.select(*df.columns, part.alias(name))
+
+    many = parted(many, keys, F.pmod(F.xxhash64(*many.columns), parts), "__part")
+    other = parted(other, other_keys, F.explode(F.sequence(F.lit(0), parts - 1)), "__copy")
+    return many.join(other, reduce(Column.__and__, [*same, F.col("__part") == F.col("__copy")], F.expr(also)), how).drop("__part", "__copy")
+
+
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that the sketches do not rule out."""
     side = classes.select("rep", "n_shingles", "sketch")
     a, b = (side.select(*[F.col(c).alias(f"{c}_{x}") for c in side.columns]) for x in "ab")
-    joined = pairs.join(a, F.col("a") == F.col("rep_a")).join(b, F.col("b") == F.col("rep_b"))
+    with_a = dealt(pairs, ["a"], a, ["rep_a"], crowded(pairs, ["a"]))
+    joined = dealt(with_a, ["b"], b, ["rep_b"], crowded(pairs, ["b"]))
     return joined.select("a", "b", "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b").mapInArrow(estimated, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of which the full sets reach the threshold. Each a's set goes to the places of its b's."""
-    of_a = pairs.groupBy("a").agg(F.collect_set("b").alias("bs"))  # as many as it has pivots
-    small = of_a.count()
-    left = sets.join(maybe_broadcast(of_a, small), sets["doc_id"] == of_a["a"]).select("a", F.explode("bs").alias("b"), F.col("shingles").alias("set_a"))
+    number = pairs.count()  # two ids each: the bound of what is broadcast
+    of_a = sets.select(F.col("doc_id").alias("rep_a"), F.col("shingles").alias("set_a"))
+    left = of_a.join(F.broadcast(pairs), F.col("rep_a") == F.col("a")) if number <= BROADCAST_ROWS else dealt(pairs, ["a"], of_a, ["rep_a"], crowded(pairs, ["a"]))
     wanted = pairs.select(F.col("b").alias("__b")).distinct()
-    right = sets.join(maybe_broadcast(wanted, small), F.col("doc_id") == F.col("__b"), "left_semi").select(F.col("doc_id").alias("rep_b"), F.col("shingles").alias("set_b"))
-    joined = left.join(right, F.col("b") == F.col("rep_b"))
+    right = sets.join(maybe_broadcast(wanted, number), F.col("doc_id") == F.col("__b"), "left_semi").select(F.col("doc_id").alias("rep_b"), F.col("shingles").alias("set_b"))
+    joined = dealt(left.select("a", "b", "set_a"), ["b"], right, ["rep_b"], crowded(pairs, ["b"]))
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(intersections, "a long, b long").distinct()
 
 
@@ -221,9 +255,9 @@ def common_shingles(open_groups: DataFrame, sets: DataFrame) -> DataFrame:
     hard = open_groups.select(F.col("rep").alias("__rep"), F.col("component").alias("__component")).distinct()
     own = sets.join(maybe_broadcast(hard, hard.count()), F.col("doc_id") == F.col("__rep"))
     rows = stored(own.select("__rep", "__component", "shingles").mapInArrow(shingle_rows, "rep long, component long, shingle long"), "shingles")
-    shared = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
+    shared = rows.groupBy(F.col("shingle").alias("__shared")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("__shared")
     part = F.pmod("shingle", F.lit(PARTS))
-    parts = rows.join(shared, "shingle", "left_semi").groupBy("rep").agg(*[F.count(F.when(part == k, 1)).alias(f"h{k}") for k in range(PARTS)])
+    parts = dealt(rows, ["shingle"], shared, ["__shared"], crowded(rows, ["shingle"], SHINGLES_PER_TASK)).groupBy("rep").agg(*[F.count(F.when(part == k, 1)).alias(f"h{k}") for k in range(PARTS)])
     n = own.groupBy("__rep").agg(F.count("*").alias("sets"), F.max("n").alias("n"))
     bound = n.join(parts, F.col("__rep") == F.col("rep"), "left")
     single = F.col("sets") == 1
@@ -281,7 +315,8 @@ def facing(members: DataFrame, number: int | None) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("band", "key", "outside").orderBy(F.xxhash64("rep"), "rep"))
         pivots = members.withColumn("outside", outside).withColumn("r", rank).where(F.col("r") <= number)
     pivots = pivots.select(F.col("band").alias("pband"), F.col("key").alias("pkey"), F.col("rep").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"), *[F.col(f"h{k}").alias(f"ph{k}") for k in range(PARTS)])
-    met = members.where(outside).join(pivots, (F.col("band") == F.col("pband")) & (F.col("key") == F.col("pkey")) & F.expr(POSSIBLE))
+    mine = members.where(outside)
+    met = dealt(mine, ["band", "key"], pivots, ["pband", "pkey"], crowded(mine, ["band", "key"]), POSSIBLE)
     return met.select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b"))
 
 
@@ -305,15 +340,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(named.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     found = class_links(classes, docs)
     of_class = classes.select("set_hash", "rep").join(found, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    joined = sketches.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
+    rows = sketches.select("doc_id", "n_shingles", "set_hash")
+    some = rows.where("set_hash IS NOT NULL")  # the empty texts need no class, however many they are
+    joined = dealt(some, ["set_hash"], of_class.withColumnRenamed("set_hash", "__class"), ["__class"], crowded(some, ["set_hash"]), how="left").drop("__class")
+    joined = joined.unionByName(rows.where("set_hash IS NULL").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each component (of rows with one doc_id, one), all columns as they are."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-    if not repeated_ids(left):
-        return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+    """The documents that stay, one of each component, all columns as they are: the one with the least doc_id (null last),
+    of rows that share it the one with the least digest of its text. Texts without words stay.
+
+    If ids are repeated or null, rows get numbers in that order first, so that each is judged by its own text.
+    """
+    if not repeated_ids(docs) and docs.where("doc_id IS NULL").isEmpty():
+        return kept_rows(docs, docs["doc_id"].cast("long"))
+    order = [F.col("doc_id").cast("long").asc_nulls_last(), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))]
+    numbered_rows = stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return kept_rows(numbered_rows, numbered_rows["__row"]).drop("__row")
+
+
+def kept_rows(docs: DataFrame, number: Column) -> DataFrame:
+    """The rows whose ``number`` (distinct, not null) is the least of their component."""
+    judged = near_duplicates(docs.select(number.alias("doc_id"), "text"))
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, number == gone["__gone"], "left_anti")

@@ -78,3 +78,31 @@ def test_registers_hold_least_hash_of_bucket():
         bits = f"{min(rest) >> 4:053b}"
         zeros = len(bits) - len(bits.lstrip("0"))
         assert got[bucket] == 1 + (zeros << 10) + int((bits[zeros + 1 :] + "0" * 60)[:10], 2)
+
+
+def test_crowded_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "PER_TASK", 2)
+    monkeypatch.setattr(near_duplicates, "SHINGLES_PER_TASK", 3)
+    monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", 1)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = []
+    for n in range(120):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 3, 6])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((n, " ".join(words) if n % 10 else ""))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(df).collect()}
+    assert got == brute_components(rows)
+    many = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 0), (3, 0), (None, 5)], "k long, v long")
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    joined = near_duplicates.dealt(many, ["k"], one, ["id"], near_duplicates.crowded(many, ["k"]), how="left").select("k", "v", "x").collect()
+    assert sorted(map(str, map(tuple, joined))) == sorted(map(str, [(1, i, "a") for i in range(9)] + [(2, 0, "b"), (3, 0, None), (None, 5, None)]))
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, long, "x"), (5, long, "x"), (5, "an own text of some words here", "x"), (None, long, "x"), (None, "a b c d e f", "x"), (None, "a b c d e f", "x"), (7, "", "x"), (7, None, "x"), (3, long, "x")]
+    stay = near_duplicates.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, n string")).collect()
+    assert sorted(map(str, map(tuple, stay))) == sorted(map(str, [(3, long, "x"), (5, "an own text of some words here", "x"), (None, "a b c d e f", "x"), (7, "", "x"), (7, None, "x")]))

@@ -43,3 +43,20 @@ def test_empty_table(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         docs = common.stored(stage(spark, docs, sf), name)
     assert docs.count() == 0
+
+
+def test_odd_documents_through_all_stages(spark, sf, odd_documents):
+    """Nulls, empty and long texts, repeated rows, null ids, a clashing column: rows without a letter go with the first
+    stage, repeated texts and secrets with theirs, and every row that stays is packed."""
+    known = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(900, "token = abcdefghij and some more words of a text", "x"), (None, "token = abcdefghij and some more words of a text", "x")], odd_documents.schema)
+    docs = known.withColumn("__bad", known.lang).unionByName(odd_documents.unionByName(extra), allowMissingColumns=True)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf), name)
+        assert docs.columns == names
+    rows = docs.collect()
+    assert all(r.text and any(c.isalpha() for c in r.text) for r in rows)
+    assert sum("some more words" in r.text for r in rows) == 1 and not any("abcdefghij" in r.text for r in rows)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
