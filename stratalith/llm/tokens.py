@@ -14,8 +14,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 
@@ -44,8 +45,8 @@ def kind_of(code: int) -> int:
 
 KINDS = np.array([kind_of(c) for c in range(LAST_PLAIN + 2)], np.uint8)
 LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(LAST_PLAIN + 2)], np.uint32)
-#: Distinct chunks that a worker remembers.
-CACHE_CHUNKS = 300_000
+#: Distinct chunks that a worker knows at once, and that it goes on with when it forgets the rest.
+CACHE_CHUNKS, KEPT_CHUNKS = 600_000, 150_000
 
 
 class Encoder:
@@ -76,7 +77,8 @@ class Encoder:
         keys = left * n + right
         order = np.argsort(keys, kind="stable")
         self.n, self.keys, self.ranks, self.into = n, keys[order], order, into
-        self.forget()
+        self.cache = Numbered()
+        self.tokens, self.at, self.used = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or a large number."""
@@ -180,10 +182,16 @@ class Encoder:
             return self.chunks(text)
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
-    def forget(self) -> None:
-        """Drop what was learned of chunks."""
-        self.cache = Numbered()
-        self.tokens, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    def forget(self, keep: int = KEPT_CHUNKS) -> None:
+        """Drop what was learned of chunks, but for the ``keep`` most frequent ones that occurred more than once."""
+        names = list(self.cache)
+        order = np.argsort(-self.used, kind="stable")[:keep]
+        order = order[self.used[order] > 1]
+        size = np.diff(self.at)[order]
+        self.tokens = self.tokens[spans(self.at[order], size)]
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        self.used = self.used[order] // 2
+        self.cache = Numbered(names[i] for i in order.tolist())
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) of the texts one after another, and the bounds of each text's."""
@@ -196,10 +204,11 @@ class Encoder:
             parts.append(np.fromiter(map(self.cache.__getitem__, found), np.int64, len(found)))
             cuts.append(cuts[-1] + len(found))
         if len(self.cache) > known:
-            flat, lengths = self.chunk_ids(list(self.cache)[known:])
+            flat, lengths = self.chunk_ids(list(islice(self.cache, known, None)))
             self.tokens = np.concatenate([self.tokens, flat])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
         chunk = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.used = np.bincount(chunk, minlength=len(self.cache)) + np.pad(self.used, (0, len(self.cache) - len(self.used)))
         size = (self.at[1:] - self.at[:-1])[chunk]
         ends = np.concatenate([[0], np.cumsum(size)])
         return self.tokens[spans(self.at[chunk], size)], ends[np.array(cuts)]
@@ -214,9 +223,9 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Numbered(dict):
     """A dictionary that gives each new key the next number."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self._next = count().__next__
+    def __init__(self, keys: Iterable[str] = ()) -> None:
+        super().__init__((key, n) for n, key in enumerate(keys))
+        self._next = count(len(self)).__next__
 
     def __missing__(self, key: str) -> int:
         self[key] = n = self._next()
