@@ -34,6 +34,31 @@ def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("bigint")
 
 
+def rough_tokens(text: Column) -> Column:
+    """Four tokens for every five characters: the bound that batches are filled by where no tokenizer is at hand."""
+    return F.floor(F.coalesce(F.length(text), F.lit(0)) * F.lit(0.8)).cast("bigint")
+
+
+def question_words(question: Column) -> Column:
+    """The words between white space that are longer than a character."""
+    return F.filter(F.split(F.trim(question), r"\s+"), lambda w: F.length(w) > 1)
+
+
+def docstring(literal: Column) -> Column:
+    """A string literal without its quotes."""
+    return F.regexp_replace(literal, r"""^[rRuUbBfF]{0,2}["']+|["']+$""", "")
+
+
+def display(text: Column, width: int) -> Column:
+    """A column of a fixed width: cut or padded."""
+    return F.rpad(F.substring(F.coalesce(text, F.lit("")), 1, width), width, " ")
+
+
+def json_text(value: Column) -> Column:
+    """An array, map or struct as JSON; null as an empty array."""
+    return F.coalesce(F.to_json(value), F.lit("[]"))
+
+
 def keywords(text: Column) -> Column:
     """Distinct identifiers of more than two characters that aren't stop words, in order of appearance."""
     stop = F.array(*map(F.lit, STOP_WORDS))

@@ -14,7 +14,7 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Edges (src, dst) of calls (caller, callee name) to functions (id, pos).
 
     A name with one function is that function; else the first one of the caller's module; else the first three. The join
-    is on the simple name; a frequent name's choices are ranked per (caller, name), so no name meets in one task.
+    is on the simple name, with one row of choices a name; a frequent name's calls are split by adaptive execution.
     """
     named = functions.select("id", "pos", simple_name(F.col("id")).alias("name"), module_of(F.col("id")).alias("module"))
     of_name = named.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("only"))
@@ -28,26 +28,28 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return found.select("src", F.explode(targets).alias("dst")).distinct()
 
 
-def trigrams(text: str) -> Column:
-    """The distinct substrings of three characters."""
+def grams(text: str, size: int) -> Column:
+    """The distinct substrings of ``size`` characters."""
     n = F.length(text)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    places = F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1)))
+    return F.when(n >= size, F.array_distinct(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
 def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     """(part, whole) where the whole contains the part, both distinct and not null.
 
-    A part of three characters or more meets only the wholes with its rarest trigram; the shorter parts, of which there
-    are few, meet all (a broadcast of those parts).
+    A part of three characters or more meets only the wholes with its rarest trigram; a shorter part is a gram itself.
     """
-    grams = wholes.select("whole", F.explode(trigrams("whole")).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    asked = parts.where(F.length("part") >= 3).select("part", F.explode(trigrams("part")).alias("gram")).join(counts, "gram", "left")
+    listed = wholes.select("whole", F.explode(grams("whole", 3)).alias("gram"))
+    counts = listed.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = parts.where(F.length("part") >= 3).select("part", F.explode(grams("part", 3)).alias("gram")).join(counts, "gram", "left")
     # A part with a trigram that no whole has can't be contained; its least count is then 0 and finds nothing.
     anchor = asked.groupBy("part").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
-    long = anchor.join(grams, "gram").where(F.contains("whole", F.col("part"))).select("part", "whole")
-    short = parts.where(F.length("part") < 3).join(wholes, F.contains("whole", F.col("part"))).select("part", "whole")
-    return long.unionByName(short)
+    found = anchor.join(listed, "gram").where(F.contains("whole", F.col("part"))).select("part", "whole")
+    for size in (1, 2):
+        short = parts.where(F.length("part") == size)
+        found = found.unionByName(wholes.select(F.explode(grams("whole", size)).alias("part"), "whole").join(short, "part"))
+    return found
 
 
 def module_dependencies(imports: DataFrame, modules: DataFrame) -> DataFrame:
@@ -62,9 +64,15 @@ def module_dependencies(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return imports.select("path", "module").distinct().join(pairs, "module").select("path", "depends_on").distinct()
 
 
+def depended_by(dependencies: DataFrame) -> DataFrame:
+    """(path, depended_by): the inverse of (path, depends_on)."""
+    return dependencies.select(F.col("depends_on").alias("path"), F.col("path").alias("depended_by")).distinct()
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, n_in, n_out of every node."""
-    ends = edges.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    end = lambda c, i, o: F.struct(F.col(c).alias("id"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = edges.select(F.explode(F.array(end("dst", 1, 0), end("src", 0, 1))).alias("e")).select("e.*")
     counted = ends.groupBy("id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
     return nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("n_in", F.lit(0)).cast("bigint").alias("n_in"), F.coalesce("n_out", F.lit(0)).cast("bigint").alias("n_out"))
 
@@ -182,6 +190,27 @@ def graph_view(edges: DataFrame, word: str | None, most: int = 200) -> DataFrame
     return chosen.orderBy("src", "dst").limit(most)
 
 
+def view_nodes(view: DataFrame, most: int = 100) -> DataFrame:
+    """The first nodes of a bounded view."""
+    return view.select(F.explode(F.array("src", "dst")).alias("id")).distinct().orderBy("id").limit(most)
+
+
+def architecture(modules: DataFrame, module_edges: DataFrame, most: int = 10) -> DataFrame:
+    """(section, place, value): the numbers of modules and dependencies, then the modules that most others use (``core``), that
+    use most others (``entry``) and that stand alone (``independent``), the first ``most`` of each."""
+    degree = degrees(modules.select("id"), module_edges)
+    totals = degree.agg(F.count("*").alias("m"), F.sum("n_in").alias("e")).select(F.explode(F.array(F.struct(F.lit("modules").alias("section"), F.col("m").cast("string").alias("value")), F.struct(F.lit("dependencies").alias("section"), F.coalesce("e", F.lit(0)).cast("string").alias("value")))).alias("x")).select("x.section", F.lit(1).cast("bigint").alias("place"), "x.value")
+
+    def part(section: str, rows: DataFrame, order: list[Column]) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(*order)).cast("bigint")  # of at most ``most`` rows
+        return rows.orderBy(*order).limit(most).select(F.lit(section).alias("section"), place.alias("place"), F.col("id").alias("value"))
+
+    core = part("core", degree.where("n_in > 0"), [F.desc("n_in"), F.col("id")])
+    entry = part("entry", degree.where("n_out > 0"), [F.desc("n_out"), F.col("id")])
+    alone = part("independent", degree.where("n_in = 0 AND n_out = 0"), [F.col("id")])
+    return totals.unionByName(core).unionByName(entry).unionByName(alone)
+
+
 def mermaid(edges: DataFrame) -> DataFrame:
     """One text: the edges as a flow chart (for a bounded view of a graph)."""
     line = F.concat(F.lit("    "), mermaid_id(F.col("src")), F.lit(" --> "), mermaid_id(F.col("dst")))

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .storage import globally_ranked
+from .storage import globally_ranked, stored
 
 
 def contains_word(column: str, word: str | None) -> Column:
@@ -87,39 +90,121 @@ def within_budget(rows: DataFrame, keys: list[str], order: list[Column], cost: s
 
 
 def score_gap(rows: DataFrame, keys: list[str], order: list[Column], score: str, ratio: float) -> DataFrame:
-    """The first row of each key with ``clear``: whether its score beats the second's by the ratio."""
+    """The first row of each key with ``clear``: whether its score beats the second's by the ratio. Only each task's first
+    two rows of a key are shuffled."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    second = F.lead(score).over(window)
-    ranked = rows.withColumn("second", second).withColumn("__rank", F.row_number().over(window)).where("__rank = 1").drop("__rank")
+    two = first_of_each(rows, keys, order, 2)
+    ranked = two.withColumn("second", F.lead(score).over(window)).withColumn("__rank", F.row_number().over(window)).where("__rank = 1").drop("__rank")
     return ranked.withColumn("clear", F.col("second").isNull() | (F.col(score) > ratio * F.col("second")))
 
 
 def fixed_batches(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    """Rows of each key with ``batch``: runs of ``size`` in order."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("batch", F.floor((place - 1) / size).cast("bigint"))
+    """Rows of each key with ``batch``: runs of ``size`` in order. Ranks are distributed, so a key may have any number of
+    rows."""
+    ranked = globally_ranked(rows, [F.col(c) for c in [*keys, *order]])
+    first = ranked.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min("rank").alias("__first"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    joined = ranked.join(first, same)
+    return joined.select(*rows.columns, F.floor((F.col("rank") - F.col("__first")) / size).cast("bigint").alias("batch"))
+
+
+#: Rows of a stretch of the total order that one task cuts into batches.
+STRETCH = 50_000
 
 
 def greedy_batches(rows: DataFrame, keys: list[str], order: list[str], cost: str, most: int, budget: int) -> DataFrame:
-    """Rows of each key with ``batch``: a batch ends before the row that would exceed the number or the budget.
+    """Rows (keys, order, cost) of each key with ``batch``: a batch ends before the row that would exceed the number or the
+    budget. A key may have any number of rows.
 
-    The fold keeps three numbers per row, over the key's sorted (order, cost) pairs; keys must be bounded groups (a
-    project's functions), as the order makes each batch depend on all before it.
+    The rows of all keys stand in one total order, cut into stretches. Where a batch can end depends on where it began, but
+    a stretch can only be entered at one of its first ``most`` rows: each stretch tells where each entrance leads (and how
+    many batches begin on the way), a walk over these small tables finds every stretch's true entrance, and then the
+    stretches are cut independently.
     """
-    item = F.struct(*order, F.col(cost).cast("bigint").alias("cost"))
-    state = F.expr("named_struct('batch', 0L, 'n', 0L, 'spent', 0L, 'done', array_repeat(0L, 0))")
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["n"] >= most) | (acc["spent"] + x["cost"] > budget))
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        n = F.when(full, F.lit(1).cast("bigint")).otherwise(acc["n"] + 1)
-        spent = F.when(full, x["cost"]).otherwise(acc["spent"] + x["cost"])
-        return F.struct(batch.alias("batch"), n.alias("n"), spent.alias("spent"), F.array_append(acc["done"], batch).alias("done"))
-
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    placed = grouped.withColumn("batches", F.aggregate("items", state, step)["done"])
-    zipped = placed.select(*keys, F.explode(F.arrays_zip("items", "batches")).alias("z"))
-    return zipped.select(*keys, "z.items.*", F.col("z.batches").alias("batch"))
+    plain = rows.select(*keys, *order, F.col(cost).cast("bigint").alias("cost"))
+    ranked = globally_ranked(plain, [F.col(c) for c in [*keys, *order, "cost"]])
+    before = F.struct(*keys)
+    first = ranked.groupBy(before.alias("__key")).agg(F.min("rank").alias("__first"))
+    placed = ranked.join(first, before.eqNullSafe(F.col("__key"))).withColumn("__opens", F.col("rank") == F.col("__first")).drop("__key", "__first")
+    placed = stored(placed.withColumn("__at", F.floor((F.col("rank") - 1) / STRETCH)), "placed")
+    # The rows of the next stretch that a last batch can reach into.
+    ahead = placed.where((F.col("rank") - 1) % STRETCH < most).withColumn("__at", F.col("__at") - 1)
+    both = placed.withColumn("__own", F.lit(True)).unionByName(ahead.withColumn("__own", F.lit(False)))
+
+    def ends(pdf: pd.DataFrame) -> np.ndarray:
+        """For each row of a stretch and what is ahead the place after a batch that begins there."""
+        n = len(pdf)
+        total = np.concatenate([[0], np.cumsum(pdf["cost"].to_numpy(np.int64))])
+        end = np.searchsorted(total, total[:-1] + budget, side="right") - 1
+        opens = np.append(np.flatnonzero(pdf["__opens"].to_numpy(bool)), n)
+        following = opens[np.searchsorted(opens, np.arange(n), side="right")]
+        return np.minimum(np.minimum(np.maximum(end, np.arange(n) + 1), np.arange(n) + most), following)
+
+    def doors(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        end, own = ends(pdf), int(pdf["__own"].sum())
+        leads, number = np.arange(len(end) + 1), np.zeros(len(end) + 1, np.int64)
+        for i in range(own - 1, -1, -1):
+            leads[i], number[i] = leads[end[i]], number[end[i]] + 1
+        enter = np.arange(min(most, own))
+        return pd.DataFrame({"at": pdf["__at"].iloc[0], "enter": enter, "leave": leads[enter] - own, "number": number[enter]})
+
+    table = both.groupBy("__at").applyInPandas(doors, "at long, enter long, leave long, number long")
+    steps: dict[int, dict[int, tuple[int, int]]] = {}
+    for r in table.collect():  # ``most`` rows for every STRETCH rows
+        steps.setdefault(r["at"], {})[r["enter"]] = (r["leave"], r["number"])
+    entrance, entered = 0, []
+    for at in sorted(a for a in steps if a >= 0):
+        entered.append((at, entrance))
+        entrance = steps[at].get(entrance, (0, 0))[0]  # the last stretch may be used up by the batch before
+    true = plain.sparkSession.createDataFrame(entered, "__at long, __enter long")
+    schema = StructType([*plain.schema.fields, StructField("rank", LongType()), StructField("__starts", BooleanType())])
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        end, own = ends(pdf), int(pdf["__own"].sum())
+        starts, i = np.zeros(len(end), bool), int(pdf["__enter"].iloc[0])
+        while i < own:
+            starts[i] = True
+            i = end[i]
+        return pdf.assign(__starts=starts)[pdf["__own"].to_numpy(bool)][schema.names]
+
+    marked = both.join(F.broadcast(true), "__at").groupBy("__at").applyInPandas(cut, schema)  # a row for every stretch
+    # Batches of a key are numbered by the starts before a row: those of its stretch and of all earlier ones.
+    marked = stored(marked.withColumn("__at", F.floor((F.col("rank") - 1) / STRETCH)), "marked")
+    inside = F.sum(F.col("__starts").cast("long")).over(Window.partitionBy("__at").orderBy("rank"))
+    sums = marked.groupBy(F.col("__at").alias("__s")).agg(F.sum(F.col("__starts").cast("long")).alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for every stretch
+    numbered = marked.withColumn("__k", inside).join(F.broadcast(sums.select("__s", earlier.alias("__before"))), F.col("__at") == F.col("__s")).withColumn("__k", F.col("__k") + F.col("__before"))
+    least = numbered.groupBy(F.struct(*keys).alias("__key")).agg(F.min("__k").alias("__least"))
+    return numbered.join(least, F.struct(*keys).eqNullSafe(F.col("__key"))).select(*plain.columns, (F.col("__k") - F.col("__least")).alias("batch"))
+
+
+def batch_averages(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, items, batches, mean: how the rows of ``batch`` fill their batches."""
+    sizes = batches.groupBy(*keys, "batch").agg(F.count("*").alias("n"))
+    return sizes.groupBy(*keys).agg(F.sum("n").alias("items"), F.count("*").alias("batches"), F.avg("n").alias("mean"))
+
+
+def progress(batches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, batch, processed, total: how many rows are done after each batch; there are few batches a key by then."""
+    sizes = batches.groupBy(*keys, "batch").agg(F.count("*").alias("n"))
+    done = F.sum("n").over(Window.partitionBy(*keys).orderBy("batch"))
+    return sizes.select(*keys, "batch", done.alias("processed"), F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
+
+
+def last_wins(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """One row of each key: the values of its last row, with ``first``, the place of its first."""
+    rest = [c for c in rows.columns if c not in keys]
+    grouped = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("__row"), F.min(place).alias("first"))
+    return grouped.select(*keys, "__row.*", "first")
+
+
+def stated(rows: DataFrame, found: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows with the values that ``found`` (keys, values) has for them; the others as they are."""
+    new = found.select(*keys, *[F.col(v).alias(f"__{v}") for v in values], F.lit(True).alias("__found"))
+    joined = rows.join(new, keys, "left")
+    return joined.select(*[F.when(F.col("__found"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns])
 
 
 def last_of_conversation(rows: DataFrame, key: str, order: str, number: int = 6) -> DataFrame:

@@ -9,11 +9,13 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import incremental, relational
@@ -58,13 +60,125 @@ def batch_prompts(rows: DataFrame, keys: list[str], order: list[str], text: str,
     return placed.groupBy(*keys, "batch").agg(listed.alias("items")).withColumn("prompt", F.array_join(F.col("items.said"), "\n---\n"))
 
 
-def assigned(rows: DataFrame, answers: DataFrame, name: str, place: str) -> DataFrame:
-    """Rows with ``summary`` from answers (key, summary, place): by the exact name, else the lower-case one, else the place."""
-    exact = answers.select(F.col("key").alias("__k1"), F.col("summary").alias("__s1")).dropDuplicates(["__k1"])
-    lower = answers.groupBy(F.lower("key").alias("__k2")).agg(F.min("summary").alias("__s2"))
-    placed = answers.select(F.col("place").alias("__k3"), F.col("summary").alias("__s3")).dropDuplicates(["__k3"])
-    joined = rows.join(exact, F.col(name) == F.col("__k1"), "left").join(lower, F.lower(name) == F.col("__k2"), "left").join(placed, F.col(place) == F.col("__k3"), "left")
-    return joined.withColumn("summary", F.coalesce("__s1", "__s2", "__s3", F.concat(name, F.lit(" (no summary)")))).drop("__k1", "__s1", "__k2", "__s2", "__k3", "__s3")
+def class_prompts(classes: DataFrame, methods: DataFrame, keys: list[str], most: int = 15) -> DataFrame:
+    """keys, prompt: each class's name, bases and first method signatures. classes: keys, name, bases; methods: keys, place,
+    name, parameters (structs with a name, five of which are shown)."""
+    said = F.concat("name", F.lit("("), F.array_join(F.transform(F.slice("parameters", 1, 5), lambda p: p["name"]), ", "), F.lit(")"))
+    listed = methods.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", said.alias("said")))).alias("methods"))
+    joined = classes.join(listed, keys, "left")
+    shown = F.array_join(F.slice(F.col("methods.said"), 1, most), "; ")
+    inherits = F.when(F.size("bases") > 0, F.concat(F.lit("Inherits: "), F.array_join("bases", ", ")))
+    number = F.coalesce(F.size("methods"), F.lit(0))
+    number = F.when(F.col("methods").isNull(), 0).otherwise(number)
+    return joined.select(*keys, F.concat_ws("\n", F.lit("Explain this class in one sentence, as JSON with the key summary."), "name", F.concat(F.lit("Methods: "), number), F.when(number > 0, shown), inherits).alias("prompt"))
+
+
+def module_prompts(modules: DataFrame, classes: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
+    """path, prompt: each module's first 15 classes, 10 functions and 10 imports (all: path, place, name)."""
+    rows = modules.select("path")
+    for kind, df, most in (("classes", classes, 15), ("functions", functions, 10), ("imports", imports, 10)):
+        first = relational.first_of_each(df.select("path", "place", "name"), ["path"], [F.col("place"), F.col("name")], most)
+        listed = first.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), ", ").alias(kind))
+        rows = relational.with_count(rows, "path", df, "path", f"n_{kind}").join(listed, "path", "left")
+    lines = [F.concat(F.lit(f"{kind}: "), F.col(f"n_{kind}"), F.when(F.col(kind).isNotNull(), F.concat(F.lit(" - "), kind)).otherwise("")) for kind in ("classes", "functions", "imports")]
+    return rows.select("path", F.concat_ws("\n", F.lit("Explain this module in one sentence, as JSON with the key summary."), "path", *lines).alias("prompt"))
+
+
+def one_text(rows: DataFrame, order: list[Column], line: Column, most: int, head: str) -> DataFrame:
+    """prompt: a heading and the lines of the first ``most`` rows in order."""
+    first = rows.orderBy(*order).limit(most).select(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("o"), line.alias("line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n")
+    return first.agg(F.concat(F.lit(head + "\n"), joined).alias("prompt"))
+
+
+def architecture_prompt(modules: DataFrame, most: int = 20) -> DataFrame:
+    """One prompt on modules (path, n_classes, n_functions)."""
+    line = F.concat(F.lit("- "), "path", F.lit(": "), "n_classes", F.lit(" classes, "), "n_functions", F.lit(" functions"))
+    return one_text(modules, [F.col("path")], line, most, "Describe the architecture of a project with these modules.")
+
+
+def business_prompt(modules: DataFrame, most: int = 15) -> DataFrame:
+    """One prompt on the summaries of the first modules (path, summary) that have one."""
+    first = modules.orderBy("path").limit(most).where("summary <> ''")
+    return one_text(first, [F.col("path")], F.concat(F.lit("## "), "path", F.lit("\n"), "summary"), most, "Describe the business logic of a project with these modules.")
+
+
+def assigned(rows: DataFrame, answers: DataFrame, name: str, place: str, within: list[str] = (), path: bool = False) -> DataFrame:
+    """Rows with ``summary`` from answers (within, key, summary, place) of their own batch (``within``): by the exact name, else
+    the lower-case one, else (``path``) a key that the name contains or that contains its file name, else the place."""
+    named = lambda df, p: df.select(*[F.col(c).alias(f"__{p}{c}") for c in within], F.col("key").alias(f"__{p}"), F.col("summary").alias(f"__s{p}"))
+    same = lambda p: [F.col(c).eqNullSafe(F.col(f"__{p}{c}")) for c in within]
+    both = lambda *conditions: reduce(Column.__and__, conditions)
+    best = answers.groupBy(*within, "key").agg(F.min_by("summary", "place").alias("summary"))
+    lower = answers.groupBy(*within, F.lower("key").alias("key")).agg(F.min_by("summary", "place").alias("summary"))
+    placed = answers.groupBy(*within, F.col("place").alias("key")).agg(F.min("summary").alias("summary"))
+    joined = rows.join(named(best, "1"), both(*same("1"), F.col(name) == F.col("__1")), "left").join(named(lower, "2"), both(*same("2"), F.lower(name) == F.col("__2")), "left")
+    joined = joined.join(named(placed, "3"), both(*same("3"), F.col(place) == F.col("__3")), "left")
+    found = ["__s1", "__s2"]
+    if path:  # a batch has a handful of answers
+        listed = answers.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("place", "key", "summary"))).alias("summary"), F.lit(0).alias("key"))
+        joined = joined.join(named(listed, "4"), both(F.lit(True), *same("4")), "left") if within else joined.join(F.broadcast(named(listed, "4")), how="cross")  # one row
+        part = F.filter("__s4", lambda a: F.contains(F.col(name), a["key"]) | F.contains(a["key"], T.base_name(F.col(name))))
+        joined = joined.withColumn("__s5", F.get(part, F.lit(0))["summary"])
+        found.append("__s5")
+    summary = F.coalesce(*found, "__s3", F.concat(name, F.lit(" (no summary)")))
+    return joined.select(*[c for c in rows.columns if c != "summary"], summary.alias("summary"))
+
+
+def explained(rows: DataFrame, name: str, text: str, order: list[str], completer: Completer, most: int, budget: int) -> DataFrame:
+    """Rows with ``summary``: batches of prompts, their answers (JSON from names to summaries), assigned within each batch.
+
+    A row's key must be unique over ``order``; a failing batch gives default summaries.
+    """
+    costed = rows.select(*order, F.col(name).alias("__name"), F.col(text).alias("__text")).withColumn("__project", F.lit(0)).withColumn("cost", T.token_estimate(F.col("__text")) + 50)
+    placed = relational.greedy_batches(costed, ["__project"], [*order, "__name", "__text"], "cost", most, budget)
+    placed = placed.withColumn("__place", F.row_number().over(Window.partitionBy("batch").orderBy(*order)).cast("int"))
+    listed = F.array_sort(F.collect_list(F.struct("__place", "__text")))
+    prompts = placed.groupBy("batch").agg(F.array_join(F.transform(listed, lambda x: x["__text"]), "\n---\n").alias("prompt"))
+    said = T.lenient_json(F.col("answer"))
+    answers = completed(prompts, "prompt", completer).select("batch", F.posexplode(F.map_entries(said)).alias("at", "e"))
+    answers = answers.select("batch", (F.col("at") + 1).alias("place"), F.col("e.key").alias("key"), F.col("e.value").alias("summary"))
+    done = assigned(placed.select("batch", *order, "__name", "__place"), answers, "__name", "__place", ["batch"])
+    return rows.drop("summary").join(done.select(*order, "summary"), order, "left")
+
+
+def analysed_project(functions: DataFrame, classes: DataFrame, modules: DataFrame, completer: Completer) -> dict[str, DataFrame]:
+    """The whole run: functions (path, name, start_line, prompt; those that need no explanation have none), classes and modules
+    (path, name, start_line, prompt) in batches of 15, 8 and 5, then the architecture and business texts on the modules."""
+    worth = functions.where("prompt IS NOT NULL")
+    told = explained(worth, "name", "prompt", ["path", "start_line"], completer, 15, 4000)
+    out = {"functions": functions.where("prompt IS NULL").unionByName(told, allowMissingColumns=True)}
+    out["classes"] = explained(classes, "name", "prompt", ["path", "start_line"], completer, 8, 8000)
+    out["modules"] = explained(modules, "path", "prompt", ["path"], completer, 5, 1 << 40)
+    counts = {k: df.groupBy("path").agg(F.count("*").alias(k)) for k, df in (("n_classes", classes), ("n_functions", functions))}
+    sized = modules.select("path").join(counts["n_classes"], "path", "left").join(counts["n_functions"], "path", "left").na.fill(0)
+    out["architecture"] = completed(architecture_prompt(sized), "prompt", completer)
+    out["business"] = completed(business_prompt(out["modules"].select("path", "summary")), "prompt", completer)
+    return out
+
+
+def cached_text(metadata: DataFrame, key: str, prompt: DataFrame, completer: Completer, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(value, from_cache) of a text that metadata (key, value, updated) keeps under a key, and the metadata after it: the
+    business analysis of a project is asked for once."""
+    kept = metadata.where(F.col("key") == key).select("value", F.lit(True).alias("from_cache"))
+    if not force and not kept.isEmpty():
+        return kept, metadata
+    new = completed(prompt, "prompt", completer).select(F.col("answer").alias("value"), F.lit(False).alias("from_cache"))
+    row = new.select(F.lit(key).alias("key"), "value", F.current_timestamp().alias("updated"))
+    return new, incremental.upsert(metadata, row, ["key"], "updated")
+
+
+def class_relations(classes: DataFrame, most_bases: int = 3, most_subclasses: int = 5) -> DataFrame:
+    """(path, name, relation, place, other, other_path) of classes (path, name, pos, bases): each of a class's first bases with
+    the first class of that name, and the first classes of each module that name it as a base."""
+    named = relational.first_of_each(classes.select(F.col("name").alias("other"), F.col("path").alias("other_path"), "pos"), ["other"], [F.col("pos"), F.col("other_path")]).drop("pos")
+    listed = classes.select("path", "name", "pos", F.posexplode(F.slice("bases", 1, most_bases)).alias("place", "other"))
+    bases = listed.join(named, "other").select("path", "name", F.lit("base").alias("relation"), F.col("place").cast("bigint").alias("place"), "other", "other_path")
+    using = classes.select(F.col("name").alias("other"), F.col("path").alias("other_path"), "pos", F.explode(F.array_distinct("bases")).alias("name"))
+    first = relational.first_of_each(using, ["name", "other_path"], [F.col("pos"), F.col("other")], most_subclasses)
+    rank = F.row_number().over(Window.partitionBy("name", "other_path").orderBy("pos", "other")) - 1
+    subs = first.withColumn("place", rank.cast("bigint")).join(classes.select("path", "name"), "name")
+    return bases.unionByName(subs.select("path", "name", F.lit("subclass").alias("relation"), "place", "other", "other_path"))
 
 
 def analysed(targets: DataFrame, cache: DataFrame, completer: Completer, force: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -89,15 +203,18 @@ def analysed(targets: DataFrame, cache: DataFrame, completer: Completer, force:
 PRIORITY = {"target": 100, "callee": 85, "caller": 75, "base": 70, "sibling": 65}
 
 
-def context(functions: DataFrame, edges: DataFrame, target: str, found: DataFrame, most: int = 20) -> DataFrame:
-    """(id, kind, priority, content): the target, what it calls, what calls it, its class's other functions, and search
-    results (id, content, score) at half their score; each id once, the first ``most`` by priority."""
+def context(functions: DataFrame, edges: DataFrame, target: str, found: DataFrame, most: int = 20, bases: DataFrame | None = None) -> DataFrame:
+    """(id, kind, priority, content): the target, what it calls, what calls it, its class's other functions, the bases of its
+    class (class_id, id, content), and search results (id, content, score) at half their score; each id once, the first
+    ``most`` by priority."""
     rows = functions.select("id", "class_id", "content")
     own = rows.where(F.col("id") == target)
     callees = edges.where(F.col("src") == target).select(F.col("dst").alias("id")).distinct()
     callers = edges.where(F.col("dst") == target).select(F.col("src").alias("id")).distinct()
     siblings = rows.join(own.select("class_id"), "class_id", "left_semi").where(F.col("id") != target).orderBy("id").limit(12)
     parts = {"target": own, "callee": rows.join(callees, "id", "left_semi").orderBy("id").limit(10), "caller": rows.join(callers, "id", "left_semi").orderBy("id").limit(6), "sibling": siblings}
+    if bases is not None:
+        parts["base"] = bases.join(own.select("class_id"), "class_id", "left_semi").select("id", "content").orderBy("id").limit(3)
     tagged = relational.tagged_union({k: df.select("id", "content", F.lit(float(PRIORITY[k])).alias("priority")) for k, df in parts.items()})
     more = found.select("id", "content", (F.col("score") * 0.5).alias("priority")).withColumn("kind", F.lit("search"))
     best = relational.first_of_each(tagged.unionByName(more), ["id"], [F.desc("priority"), F.col("kind")])

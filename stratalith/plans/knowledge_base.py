@@ -1,13 +1,11 @@
 """A project's knowledge base: Parquet tables in one folder per project, built and updated by whole-table plans.
 
-Each write goes to a new version folder and then moves the table's pointer, a one-row table, so that readers see whole
-states and a failed job leaves the old one.
+Each write goes to a new version folder; the latest one whose job was committed is the table's state, so that readers see
+whole states and a failed job leaves the old one. One build runs at a time.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,27 +24,40 @@ class KnowledgeBase:
     def path(self, name: str) -> str:
         return f"{self.root}/{self.project}/{name}"
 
-    def exists(self, name: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/current/_SUCCESS")
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+    def versions(self, name: str) -> list[str]:
+        """The complete versions of a table, the latest last: those whose job was committed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/v-*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return sorted(s.getPath().getParent().getName() for s in found)
 
     def read(self, name: str) -> DataFrame:
         """The present state of a table, empty if it was never written; missing columns are null (migration)."""
         schema = self.spark.createDataFrame([], TABLES[name]).schema
-        if not self.exists(name):
+        versions = self.versions(name)
+        if not versions:
             return self.spark.createDataFrame([], schema)
-        version = self.spark.read.parquet(f"{self.path(name)}/current").first().version
-        rows = self.spark.read.parquet(f"{self.path(name)}/{version}")
+        rows = self.spark.read.parquet(f"{self.path(name)}/{versions[-1]}")
         return self.spark.createDataFrame([], schema).unionByName(rows, allowMissingColumns=True).select(*schema.names)
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
-        version = f"v-{uuid.uuid4().hex}"
+        """Write the next version; the one before stays for readers that have begun, older ones go."""
+        versions = self.versions(name)
+        version = f"v-{int(versions[-1][2:]) + 1 if versions else 1:08d}"
         columns = self.spark.createDataFrame([], TABLES[name]).schema
         known = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in columns]
-        rows.select(*known).write.parquet(f"{self.path(name)}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.path(name)}/current")
+        rows.select(*known).write.mode("overwrite").parquet(f"{self.path(name)}/{version}")  # what a failed job left goes
+        for old in versions[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{old}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return self.read(name)
 
+    def file(self, path: str) -> DataFrame:
+        """The cached file of a path: as it is, with other separators, or by its name."""
+        return files.resolved(self.read("files"), path)
+
+    def module(self, path: str, root: str = "") -> DataFrame:
+        return files.module_at(self.read("modules"), path, root)
+
     def upsert(self, name: str, new: DataFrame, keys: list[str], version: str = "updated") -> DataFrame:
         return self.write(name, incremental.upsert(self.read(name), new, keys, version))
 
@@ -125,9 +136,9 @@ def snippets(modules: DataFrame, classes: DataFrame, functions: DataFrame) -> Da
     return rows.withColumn("pos", F.col("start_line").cast("bigint"))
 
 
-def projects(spark: SparkSession, root: str) -> list[str]:
-    """The projects under a root, the latest first."""
+def projects(spark: SparkSession, root: str, hint: str = "") -> list[str]:
+    """The projects under a root whose name contains the hint (in any case), the latest first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [(s.getModificationTime(), s.getPath().getName()) for s in system.listStatus(path) if s.isDirectory()]
-    return [name for _, name in sorted(found, reverse=True)]
+    return [name for _, name in sorted(found, reverse=True) if hint.lower() in name.lower()]

@@ -77,9 +77,9 @@ def null_rejecting_left_join(spark, sf):
     return joined.where(relational.all_of(F.col("o_orderstatus") == "F", relational.contains_word("c_mktsegment", "auto"), None)).select("c_custkey", "o_orderkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+@query("SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE o_orderkey IS NULL")
 def module_level_only(spark, sf):
-    joined = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    joined = table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left")
     return joined.where(F.col("o_orderkey").isNull()).select("c_custkey", "c_name")
 
 
@@ -449,9 +449,10 @@ def json_extract(spark, sf):
     return table(spark, sf, "events").select("event_id", big(F.get_json_object("props", "$.k")).alias("k"))
 
 
-@query("SELECT c_custkey, left(c_name, 4) || repeat('*', length(c_name) - 8) || right(c_name, 4) AS masked FROM customer WHERE length(c_name) > 8")
+@query("SELECT c_custkey, CASE WHEN coalesce(length(k), 0) = 0 THEN 'not configured' WHEN length(k) > 8 THEN left(k, 4) || repeat('*', length(k) - 8) || right(k, 4) ELSE '***' || right(k, 1) END AS masked FROM (SELECT c_custkey, CASE WHEN c_custkey % 13 > 0 THEN left(c_name, CAST(c_custkey % 20 AS INT)) END AS k FROM customer)")
 def key_masking(spark, sf):
-    return table(spark, sf, "customer").where(F.length("c_name") > 8).select("c_custkey", T.masked_key(F.col("c_name")).alias("masked"))
+    key = F.when(F.col("c_custkey") % 13 > 0, F.substr("c_name", F.lit(1), (F.col("c_custkey") % 20).cast("int")))
+    return table(spark, sf, "customer").select("c_custkey", T.masked_key(key).alias("masked"))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
@@ -475,10 +476,10 @@ def report_overview(spark, sf):
 # Sources and scalar functions.
 
 
-@query("SELECT doc_id, CAST(i AS BIGINT) AS line, string_split(text, chr(10))[i] AS code FROM (SELECT doc_id, text, unnest(range(1, least(len(string_split(text, chr(10))), 5000) + 1)) AS i FROM documents)")
+@query("SELECT doc_id, CAST(i AS BIGINT) AS line, string_split(text, chr(10))[i] AS code FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
 def source_lines(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return files.numbered_lines(docs, 5000).select("doc_id", big(F.col("line")).alias("line"), "code")
+    return files.numbered_lines(docs).select("doc_id", big(F.col("line")).alias("line"), "code")
 
 
 @query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS code FROM documents")
@@ -513,9 +514,11 @@ def camel_split(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.array_join(T.camel_parts(F.col("c_name")), " ").alias("parts"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
 def lenient_json(spark, sf):
-    answer = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" as asked."))
+    """The bare text, a fenced block, the outermost braces, and an answer without any."""
+    kind, props = F.col("event_id") % 4, F.col("props")
+    answer = F.when(kind == 0, props).when(kind == 1, F.concat(F.lit("So:\n```json\n"), props, F.lit("\n```\n"))).when(kind == 2, F.concat(F.lit("Here it is: "), props, F.lit(" as asked."))).otherwise("none")
     return table(spark, sf, "events").select("event_id", big(T.lenient_json(answer)["k"]).alias("k"))
 
 
@@ -555,7 +558,7 @@ def parsed_modules(spark, sf):
     return page_entities(spark, sf)["modules"].select("relative_path", big(F.col("line_count")).alias("line_count"), big(F.col("size")).alias("size"))
 
 
-@query(None)
+@query("""SELECT CAST(page_id AS VARCHAR) AS target_name, url AS path, CASE WHEN contains(url, 'https') THEN '{}' ELSE '{"summary":"' || md5('Explain ' || url) || '"}' END AS result, contains(url, 'https') AS from_cache FROM pages""")
 def cached_analysis(spark, sf):
     """All pages analysed through the cache of the even ones; the deterministic completer answers."""
     from .plans import analysis

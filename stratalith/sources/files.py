@@ -19,9 +19,27 @@ MAX_FILE_BYTES = 5 * 1024 * 1024
 # Languages by file name ending.
 EXTENSIONS = {".py": "python", ".java": "java", ".cs": "csharp", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript"}
 
-#: Folders and files that hold no source of the project's own; callers may give other lists.
-EXCLUDED_DIRS = [".git", ".svn", "__pycache__", "node_modules", "venv", ".venv", "build", "dist", "target", "bin", "obj", ".idea", ".vscode", "vendor", "coverage", "logs", "tmp"]
-EXCLUDED_FILES = ["*.min.js", "*.bundle.js", "*.chunk.js", "*.d.ts", "*.test.js", "*.test.ts", "*.spec.js", "*.spec.ts", "*.config.js", "*.config.ts", "*polyfill*.js"]
+# Folders that hold no source of the project's own; callers may give other lists.
+EXCLUDED_DIRS = """
+.git .svn .hg .bzr node_modules __pycache__ .pytest_cache .mypy_cache venv env .venv site-packages dist-packages
+dist build target bin obj out output Debug Release x64 x86 bin64 vendor third_party third-party 3rdparty packages Packages
+package lib libs libraries external extern deps dependencies .gradle .idea .settings .classpath .project gen generated pkg
+go/pkg nuget .nuget bower_components jspm_packages .next .nuxt .output .svelte-kit .astro __tests__ test tests __mocks__
+__fixtures__ .storybook storybook-static .cypress cypress .playwright playwright public static assets types @types typings
+examples example demo docs Pods .bundle vendor/bundle cache .cache tmp temp logs .vscode .vs
+""".split()
+
+# Files that are built, tests, settings, media or documents.
+EXCLUDED_FILES = """
+*.pyc *.pyo *.pyd *.so *.dll *.dylib *.exe *.bin *.class *.jar *.war *.ear *.obj *.o *.a *.lib *.pdb *.exe.config
+*.min.js *.min.css *.map *.bundle.js *.chunk.js *.chunk.css runtime*.js vendor*.js
+*.d.ts *.test.js *.test.ts *.test.tsx *.test.jsx *.spec.js *.spec.ts *.spec.tsx *.spec.jsx *.e2e.js *.e2e.ts *.cy.js *.cy.ts
+webpack*.js vite*.js rollup*.js esbuild*.js babel.config.js .babelrc.js jest.config.js vitest.config.js vitest.config.ts
+*.config.js *.config.ts *.conf.js *.conf.ts *polyfill*.js es5-shim*.js es6-shim*.js
+*.svg *.png *.jpg *.jpeg *.gif *.ico *.pdf *.bmp *.tiff *.webp *.mp3 *.mp4 *.md *.rst *.txt *.docx *.xlsx *.pptx
+*.json *.yml *.yaml *.xml *.ini *.config *.lock package-lock.json yarn.lock pnpm-lock.yaml
+*.log *.tmp *.bak *.swp *.swo *.backup
+""".split()
 
 
 def language_of(path: Column) -> Column:
@@ -93,6 +111,28 @@ def numbered_lines(files: DataFrame, most: int | None = None) -> DataFrame:
     return files.select(*rest, F.posexplode(lines).alias("pos", "code")).select(*rest, (F.col("pos") + 1).alias("line"), "code")
 
 
+def module_at(modules: DataFrame, path: str, root: str = "") -> DataFrame:
+    """The module of an absolute path (under ``root``) or a relative one, separators as they come."""
+    wanted = path.replace("\\", "/")
+    own = F.translate("relative_path", "\\", "/")
+    return modules.where((own == wanted) | (F.concat(F.lit(root.replace("\\", "/").rstrip("/") + "/"), own) == wanted)).limit(1)
+
+
+def matches_path(path: Column, wanted: Column) -> Column:
+    """Whether a path contains the wanted one or has the same file name; no wanted path matches all."""
+    want = F.translate(wanted, "\\", "/")
+    same = F.substring_index(want, "/", -1) == F.substring_index(F.translate(path, "\\", "/"), "/", -1)
+    return F.coalesce(want, F.lit("")).eqNullSafe("") | F.contains(path, want) | same
+
+
+def resolved(files: DataFrame, path: str) -> DataFrame:
+    """The file of a path: the exact one, else one that is equal with other separators, else one with the same name."""
+    want = path.replace("\\", "/")
+    own = F.translate("relative_path", "\\", "/")
+    rank = F.when(F.col("relative_path") == path, 0).when(own == want, 1).when(F.substring_index(own, "/", -1) == want.rpartition("/")[2], 2)
+    return files.withColumn("__rank", rank).where("__rank IS NOT NULL").orderBy("__rank", "relative_path").limit(1).drop("__rank")
+
+
 def sliced(text: Column, start: Column, end: Column) -> Column:
     """Lines ``start`` to ``end`` of a text."""
     return F.array_join(F.slice(F.split(text, "\n", -1), start, F.greatest(end - start + 1, F.lit(0))), "\n")

@@ -83,7 +83,7 @@ def root(tmp_path_factory):
 def test_scan(spark, root):
     rows = {r.relative_path: r for r in files.scan(spark, root, most=200_000).collect()}
     assert {p: r.reason for p, r in rows.items()} == {
-        "src/SqlMapper.cs": None, "src/shop/order.py": None, "src/Shop.java": None, "web/app.ts": None, "latin.py": None, "web/lib.min.js": "pattern", "node_modules/x/index.js": "dir", "notes.txt": "language", "big.py": "size",
+        "src/SqlMapper.cs": None, "src/shop/order.py": None, "src/Shop.java": None, "web/app.ts": None, "latin.py": None, "web/lib.min.js": "pattern", "node_modules/x/index.js": "dir", "notes.txt": "pattern", "big.py": "size",
     }
     assert rows["web/app.ts"].language == "typescript"
     assert sum(r.files for r in files.scan_statistics(files.scan(spark, root)).collect()) == 9
