@@ -40,7 +40,7 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57
 
 INDEX = "block string, term binary, n long, positions binary"
 INDEX_NAMES = ["block", "term", "n", "positions"]
-RESULT = "block string, place long, doc_id long, digest binary, n_words long, hits binary, items array<string>"
+RESULT = "block string, place long, doc_id long, digest binary, n_words long, n_hit long, hits binary, items array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -172,12 +172,14 @@ def block_hits(plan, slop: int):
         names: dict[int, set[str]] = {}
         for d, w in zip((found // max(1, len(lengths))).tolist(), (found % max(1, len(lengths))).tolist(), strict=True):
             names.setdefault(d, set()).update(items[w])
-        hits, sets = [None] * len(starts), [[] for _ in starts]
+        hits, sets, n_hit = [None] * len(starts), [[] for _ in starts], np.zeros(len(starts), np.int64)
         for d, its in names.items():
-            hits[d] = np.flatnonzero(np.diff(covered[starts[d] : starts[d] + n_words[d]], prepend=0, append=0)).astype(np.uint32).tobytes()
+            own = covered[starts[d] : starts[d] + n_words[d]]
+            n_hit[d] = own.sum()
+            hits[d] = np.flatnonzero(np.diff(own, prepend=0, append=0)).astype(np.uint32).tobytes()
             sets[d] = sorted(its)
         ids = directory["doc_id"].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
-        return pd.DataFrame({"block": head.block, "place": np.arange(len(starts)), "doc_id": ids, "digest": directory["digest"].to_pylist(), "n_words": n_words, "hits": hits, "items": sets})
+        return pd.DataFrame({"block": head.block, "place": np.arange(len(starts)), "doc_id": ids, "digest": directory["digest"].to_pylist(), "n_words": n_words, "n_hit": n_hit, "hits": hits, "items": sets})
 
     return evaluate
 
@@ -227,16 +229,7 @@ def merge_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
             items.update(its)
     covered = (np.cumsum(edge[:-1]) > 0).astype(np.int8)
     merged = np.flatnonzero(np.diff(covered, prepend=0, append=0)).astype(np.uint32).tobytes()
-    return pdf.iloc[:1].assign(hits=[merged if items else None], items=[sorted(items)])
-
-
-def covered_words(hits: pd.Series) -> pd.Series:
-    """The number of words within the runs that ``hits`` borders."""
-    return hits.map(lambda h: 0 if h is None else int(np.diff(np.frombuffer(h, np.uint32).astype(np.int64).reshape(-1, 2)).sum())).astype("int64")
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return pdf.iloc[:1].assign(n_hit=[int(covered.sum())], hits=[merged if items else None], items=[sorted(items)])
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -244,10 +237,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int
     index = build_index(docs)
     parts = [stored(phrase_hits(index, windows, slop), "hits") for windows in benchmark_chunks(benchmark, width, chunk_bytes)]
     found = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy("block", "place").applyInPandas(merge_chunks, RESULT)
-    from pyspark.sql.functions import pandas_udf
-
-    n_hit = pandas_udf(covered_words, "long")
-    return found.select("doc_id", "digest", "n_words", n_hit("hits").alias("n_hit"), "items").withColumn("contaminated", F.col("n_hit") > 0)
+    return found.select("doc_id", "digest", "n_words", "n_hit", "items").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

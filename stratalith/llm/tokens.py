@@ -46,7 +46,7 @@ def kind_of(code: int) -> int:
 KINDS = np.array([kind_of(c) for c in range(LAST_PLAIN + 2)], np.uint8)
 LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(LAST_PLAIN + 2)], np.uint32)
 #: Distinct chunks that a worker knows at once, and that it goes on with when it forgets the rest.
-CACHE_CHUNKS, KEPT_CHUNKS = 600_000, 150_000
+CACHE_CHUNKS, KEPT_CHUNKS = 450_000, 100_000
 
 
 class Encoder:
