@@ -275,8 +275,9 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of the classes that are linked with another one."""
     spark = classes.sparkSession
     bands = classes.select("rep", "sketch").mapInArrow(band_rows, "band int, key long, rep long").select("band", "key", "rep")
-    groups = bands.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    members = stored(bands.join(groups.select("band", "key", "pivot", "size"), ["band", "key"]).select("band", "key", "rep", "pivot", "size"), "members")
+    groups = stored(bands.groupBy(F.col("band").alias("gband"), F.col("key").alias("gkey")).agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "groups")
+    large = groups.where(F.col("size") > PER_TASK).select(F.col("gband").alias("__h0"), F.col("gkey").alias("__h1"), F.ceil(F.col("size") / PER_TASK).cast("int").alias("__parts"))
+    members = stored(dealt(bands, ["band", "key"], groups, ["gband", "gkey"], large).select("band", "key", "rep", "pivot", "size"), "members")
     compared = stored(members.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     involved = members.select(F.col("rep").alias("id")).distinct()
     rows = involved.count()
@@ -325,7 +326,9 @@ def mixed_groups(members: DataFrame, where: DataFrame) -> DataFrame:
     placed = members.join(where, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("band", "key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    return stored(placed.join(mixed.select("band", "key", "main"), ["band", "key"]), "mixed")
+    mixed = mixed.select(F.col("band").alias("gband"), F.col("key").alias("gkey"), "main")
+    met = dealt(placed, ["band", "key"], mixed, ["gband", "gkey"], crowded(members, ["band", "key"]))
+    return stored(met.select(*placed.columns, "main"), "mixed")
 
 
 def repeated_ids(docs: DataFrame) -> bool:
