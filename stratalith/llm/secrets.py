@@ -19,12 +19,14 @@ The patterns are taken apart by the parser of Python's own ``re`` module, which
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as op
 from re import _parser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -33,6 +35,8 @@ from .common import stored
 BROADCAST_BYTES, CANDIDATE_BYTES = 8 << 20, 32
 #: Characters of a text that one array of trigrams takes, and of a piece that a place is cut from.
 CHUNK, PIECE = 1 << 16, 1 << 13
+#: An executor's heap over what a task of the index reads at most.
+HEAP_SHARES = 256
 #: Elements that one growing array is folded from.
 BLOCK = 128
 #: Trigrams that one long holds as bits.
@@ -126,6 +130,20 @@ def row_key() -> Column:
     return F.when(F.col("text").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "text"))
 
 
+@contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile no task reads more than a share of an executor's heap (one of ``HEAP_SHARES``) from files."""
+    name = "spark.sql.files.maxPartitionBytes"
+    number = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    before = spark.conf.get(name)
+    most = number(spark.sparkContext.getConf().get("spark.executor.memory", "1g")) // HEAP_SHARES
+    spark.conf.set(name, str(min(number(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """Store the index of (doc_id, text): (gram, key), one row per chunk of a text and trigram in it."""
     low = docs.where("text IS NOT NULL").select(row_key().alias("key"), F.lower("text").alias("low"))
@@ -134,7 +152,8 @@ def postings(docs: DataFrame) -> DataFrame:
     chunks = F.when(F.length("low") <= CHUNK, F.array("low")).otherwise(chunks)
     grams = F.array_distinct(F.regexp_extract_all("chunk", F.lit("(?s)(?=(.{3}))"), F.lit(1)))
     rows = low.select("key", F.explode(chunks).alias("chunk")).select(F.explode(grams).alias("gram"), "key")
-    return stored(rows.sortWithinPartitions("gram"), "trigrams")
+    with small_splits(docs.sparkSession):  # a task sorts some 20 times the bytes that it reads
+        return stored(rows.sortWithinPartitions("gram"), "trigrams")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -145,7 +164,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def looked_up(values) -> Column:
         return F.element_at(F.create_map(*[x for g, v in zip(grams, values, strict=True) for x in (F.lit(g), F.lit(v).cast("long"))]), F.col("gram"))
 
-    lists = index.where(F.col("gram").isin(grams))
+    lists = index.where(reduce(Column.__or__, [F.col("gram") == g for g in grams], F.lit(False)))  # Parquet takes long lists of values as a range
     placed = lists.select("key", looked_up(k // WORD for k in range(len(grams))).alias("word"), looked_up(1 << k % WORD for k in range(len(grams))).alias("bit"))
     together = placed.groupBy("key").agg(*[F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"bits{w}") for w in words])
 
