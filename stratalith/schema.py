@@ -4,8 +4,9 @@ TABLES = {
     "files": "relative_path string, language string, size bigint, modified timestamp, text string",
     "modules": "relative_path string, language string, line_count int, size int, summary string",
     "imports": "relative_path string, line int, module string, names array<string>, alias string",
-    "classes": "relative_path string, language string, name string, start_line int, end_line int, depth bigint, bases array<string>, modifiers array<string>, summary string",
-    "functions": "relative_path string, start_line int, name string, end_line int, class_name string, parameters array<string>, modifiers array<string>, return_type string, calls array<string>, content string, summary string",
+    "classes": "relative_path string, language string, name string, start_line int, end_line int, depth bigint, bases array<string>, modifiers array<string>, docstring string, summary string",
+    "functions": "relative_path string, start_line int, name string, end_line int, class_name string, parameters array<string>, modifiers array<string>, return_type string, calls array<string>, decorators array<string>, docstring string, is_private boolean, content string, summary string",
+    "variables": "relative_path string, line int, name string, type_hint string, modifiers array<string>, class_name string, is_global boolean",
     "dependencies": "path string, depends_on string",
     "edges": "src string, dst string",
     "metadata": "key string, value string, updated timestamp",

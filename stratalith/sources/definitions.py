@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .files import numbered_lines
+from ..functions.text import docstring
+from .files import numbered_lines, sliced
 
 MODIFIERS = "public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|async|synchronized|readonly|export|default|unsafe|extern|new"
 KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "using", "lock", "foreach", "function", "typeof", "await", "async", "print", "super", "def", "class", "elif", "with", "sizeof", "in", "and", "or", "not"]
@@ -31,6 +32,11 @@ IMPORT = {
     "csharp": r"^\s*using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;",
     "script": r"""(?:^\s*import\s.*?['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\))""",
 }
+#: Modifiers, type, and declarators of a field; type hint of a module's variable.
+FIELD = r"^\s*((?:(?:@\w+|public|private|protected|internal|static|final|readonly|const|volatile|transient|required|new)\s+)*)([A-Za-z_][\w.]*(?:<[^()=;]*>)?(?:\[[\s,]*\])*\??)\s+([A-Za-z_]\w*(?:\[\])*\s*(?:[=,;].*)?)$"
+GLOBAL = r"^([A-Za-z_]\w*)\s*(?::\s*([^=]+?)\s*)?=(?!=)"
+#: The string literal that a Python block begins with, after its header.
+DOCSTRING = r"""(?s)^(?>.*?:[ \t]*(?:#[^\n]*)?\n)\s*([rRuUbBfF]{0,2}(?:\"{3}.*?\"{3}|'{3}.*?'{3}|\"[^\"\n]*\"|'[^'\n]*'))"""
 
 
 def found(code: Column, pattern: str, group: int) -> Column:
@@ -84,8 +90,46 @@ def declarations(lines: DataFrame) -> DataFrame:
     return declared.withColumn("end_line", F.when(F.col("language") == "python", python_end).otherwise(brace_end)).drop("all", "opens", "closes", "blank")
 
 
+def variables(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """(relative_path, line, name, type_hint, modifiers, class_name, is_global): assignments to a plain name at the top of a
+    Python module, and each declarator of the fields in Java and C# classes, one level below the class."""
+    code = F.col("code")
+    top = lines.where("language = 'python' AND depth = 0")
+    top = top.select("relative_path", "line", found(code, GLOBAL, 1).alias("name"), found(code, GLOBAL, 2).alias("type_hint")).where("name IS NOT NULL")
+    top = top.select("*", F.array().cast("array<string>").alias("modifiers"), F.lit(None).cast("string").alias("class_name"), F.lit(True).alias("is_global"))
+    bare = F.regexp_replace(without_strings(code), r"/\*.*?\*/", "")
+    rows = lines.where("language IN ('java', 'csharp')").select("relative_path", "line", "depth", *[found(bare, FIELD, k).alias(n) for k, n in ((1, "marks"), (2, "type_hint"), (3, "rest"))])
+    rows = rows.where(F.col("rest").isNotNull() & ~F.col("type_hint").isin("return", "throw", "new", "package", "import", "using", "namespace", "class", "interface", "enum", "struct", "goto", "await", "event", "delegate", "else", "case"))
+    rows = rows.where(F.rlike("rest", F.lit("[=;]")))
+    inner = F.col("rest")  # without initialisers' brackets, innermost first
+    for _ in range(3):
+        inner = F.regexp_replace(inner, r"\([^()]*\)|\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*>", "")
+    names = F.filter(F.transform(F.split(inner, ","), lambda d: F.regexp_extract(d, r"^\s*([A-Za-z_]\w*)\s*(?:[=;({].*)?$", 1)), lambda n: n != "")
+    rows = rows.select("relative_path", "line", "depth", F.explode(names).alias("name"), "type_hint", F.filter(F.split(F.coalesce("marks", F.lit("")), r"\s+"), lambda w: (w != "") & ~F.startswith(w, F.lit("@"))).alias("modifiers"))
+    outer = classes.select(F.col("relative_path").alias("__path"), F.col("name").alias("class_name"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"), F.col("depth").alias("cd"))
+    own = (F.col("relative_path") == F.col("__path")) & (F.col("line") > F.col("cs")) & (F.col("line") <= F.col("ce")) & (F.col("depth") == F.col("cd") + 1)
+    fields = rows.join(outer, own).select("relative_path", "line", "name", "type_hint", "modifiers", "class_name", F.lit(False).alias("is_global"))
+    return top.unionByName(fields)
+
+
+def decorators(lines: DataFrame) -> DataFrame:
+    """(relative_path, start_line, decorators): the lines that begin with ``@`` before a Python declaration, in order."""
+    mark = F.startswith(F.trim("code"), F.lit("@"))
+    after = Window.partitionBy("relative_path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    rows = lines.where("language = 'python'").select("relative_path", "line", F.trim("code").alias("code"), F.min(F.when(~mark & ~F.col("blank"), F.col("line"))).over(after).alias("start_line"))
+    marked = rows.where(F.startswith("code", F.lit("@"))).groupBy("relative_path", "start_line").agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("all"))
+    return marked.select("relative_path", "start_line", F.col("all.code").alias("decorators"))
+
+
+def documented(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """With ``docstring``: the text of the literal that a Python block begins with, else null."""
+    texts = files.where("language = 'python'").select("relative_path", "text")
+    literal = found(sliced(F.col("text"), F.col("start_line"), F.col("end_line")), DOCSTRING, 1)
+    return rows.join(texts, "relative_path", "left").withColumn("docstring", docstring(literal)).drop("text")
+
+
 def entities(files: DataFrame) -> dict[str, DataFrame]:
-    """modules, classes, functions (with class and calls) and imports of source files (relative_path, language, text)."""
+    """modules, classes, functions (with class and calls), imports and variables of source files (relative_path, language, text)."""
     lines = lines_of(files)
     declared = declarations(lines)
     classes = declared.where("kind = 'class'").select("relative_path", "language", "name", F.col("line").alias("start_line"), "end_line", "depth", "bases", "modifiers")
@@ -101,10 +145,12 @@ def entities(files: DataFrame) -> dict[str, DataFrame]:
     calls = spans.select("relative_path", "start_line", "end_line", F.col("name").alias("__own")).join(said, "relative_path").where("line BETWEEN start_line AND end_line AND NOT (line = start_line AND callee = __own)")
     calls = calls.groupBy("relative_path", "start_line").agg(F.array_sort(F.collect_set("callee")).alias("calls"))
     functions = spans.join(calls, ["relative_path", "start_line"], "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
+    functions = functions.join(decorators(lines), ["relative_path", "start_line"], "left").withColumn("decorators", F.coalesce("decorators", F.array().cast("array<string>")))
+    functions = documented(functions, files).withColumn("is_private", F.array_contains("modifiers", "private") | F.rlike("name", F.lit("^_(?!_)")))
     code, language = F.col("code"), F.col("language")
     script = language.isin("javascript", "typescript")
     module = F.when(language == "python", F.coalesce(found(code, IMPORT["python"], 1), found(code, IMPORT["python"], 3))).when(language == "java", found(code, IMPORT["java"], 1)).when(language == "csharp", found(code, IMPORT["csharp"], 1)).when(script, F.coalesce(found(code, IMPORT["script"], 1), found(code, IMPORT["script"], 2)))
     names = F.when(language == "python", F.transform(F.split(F.coalesce(found(code, IMPORT["python"], 2), F.lit("")), ","), lambda x: F.trim(x))).otherwise(F.array(F.lit("")))
     imports = lines.select("relative_path", "line", module.alias("module"), F.filter(names, lambda x: x != "").alias("names"), F.when(language == "python", found(code, IMPORT["python"], 4)).alias("alias")).where("module IS NOT NULL")
     modules = files.select("relative_path", "language", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("line_count"), F.octet_length("text").alias("size"))
-    return {"modules": modules, "classes": classes, "functions": functions, "imports": imports}
+    return {"modules": modules, "classes": documented(classes, files), "functions": functions, "imports": imports, "variables": variables(lines, classes)}
