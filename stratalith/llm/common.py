@@ -35,14 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs
-    only its running tasks."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None = None, row_group: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (``row_group``: bytes of a row group) and read it back: lineage ends
+    here, and a lost executor costs only its running tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if row_group:
+        writer = writer.option("parquet.block.size", str(row_group))
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 

@@ -35,8 +35,8 @@ from .common import stored
 BROADCAST_BYTES, CANDIDATE_BYTES = 8 << 20, 32
 #: Characters of a text that one array of trigrams takes, and of a piece that a place is cut from.
 CHUNK, PIECE = 1 << 16, 1 << 13
-#: An executor's heap over what a task of the index reads at most.
-HEAP_SHARES = 256
+#: An executor's heap over what a task of the index reads at most. Such a task sorts some 25 times the bytes that it reads.
+HEAP_SHARES = 768
 #: Elements that one growing array is folded from.
 BLOCK = 128
 #: Trigrams that one long holds as bits.
@@ -130,14 +130,18 @@ def row_key() -> Column:
     return F.when(F.col("text").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "text"))
 
 
+def heap_share(spark: SparkSession) -> int:
+    """Bytes in one of ``HEAP_SHARES`` of an executor's heap."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.sparkContext.getConf().get("spark.executor.memory", "1g")) // HEAP_SHARES
+
+
 @contextmanager
 def small_splits(spark: SparkSession) -> Iterator[None]:
-    """Meanwhile no task reads more than a share of an executor's heap (one of ``HEAP_SHARES``) from files."""
+    """Meanwhile no task reads more than a share of an executor's heap from files, or one row group."""
     name = "spark.sql.files.maxPartitionBytes"
-    number = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     before = spark.conf.get(name)
-    most = number(spark.sparkContext.getConf().get("spark.executor.memory", "1g")) // HEAP_SHARES
-    spark.conf.set(name, str(min(number(before), most)))
+    number = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    spark.conf.set(name, str(min(number(before), heap_share(spark))))
     try:
         yield
     finally:
@@ -145,14 +149,17 @@ def small_splits(spark: SparkSession) -> Iterator[None]:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """Store the index of (doc_id, text): (gram, key), one row per chunk of a text and trigram in it."""
+    """Store the index of (doc_id, text): (gram, key), one row per chunk of a text and trigram in it.
+
+    A task reads whole row groups, however large the given ones are; so the texts are first written in small ones."""
     low = docs.where("text IS NOT NULL").select(row_key().alias("key"), F.lower("text").alias("low"))
+    low = stored(low, "texts", "snappy", row_group=heap_share(docs.sparkSession))
     cut = F.lit(f"(?s)(.{{1,{CHUNK}}})(?=(.{{0,2}}))")  # the next two characters belong to a chunk's last trigrams
     chunks = F.zip_with(F.regexp_extract_all("low", cut, F.lit(1)), F.regexp_extract_all("low", cut, F.lit(2)), lambda a, b: F.concat(a, b))
     chunks = F.when(F.length("low") <= CHUNK, F.array("low")).otherwise(chunks)
     grams = F.array_distinct(F.regexp_extract_all("chunk", F.lit("(?s)(?=(.{3}))"), F.lit(1)))
     rows = low.select("key", F.explode(chunks).alias("chunk")).select(F.explode(grams).alias("gram"), "key")
-    with small_splits(docs.sparkSession):  # a task sorts some 20 times the bytes that it reads
+    with small_splits(docs.sparkSession):
         return stored(rows.sortWithinPartitions("gram"), "trigrams")
 
 
