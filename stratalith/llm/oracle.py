@@ -82,11 +82,78 @@ g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.ki
 SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in secrets.RULES if r.base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY 1),
+r(node, seen) AS (SELECT a, a FROM e UNION SELECT node, b FROM r JOIN e ON seen = a),
+c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN n ON a = vec_id LEFT JOIN c ON node = vec_id
+"""
+
+
+def _way(origin: str, cost: str, edits: str, line: str = "", when: str = "") -> str:
+    """A step of the repair from one state: its ways' cost, audit and text so far, with those of this row (or null)."""
+    made = f"{{'c': {origin}.c + {cost}, 'w': {origin}.w || '{edits}', 'r': {origin}.r || {line or chr(39) * 2}}}"
+    return f"CASE WHEN {origin} IS NOT NULL{' AND ' + when if when else ''} THEN {made} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+def _user(origin: str, inserted: str = "", before: str = "") -> list[str]:
+    cost = f"{3 * len(inserted)} + CASE WHEN cut THEN 3 ELSE 0 END"
+    return [
+        _way(origin, cost, inserted + "K", f"{before}role || ':' || text || chr(10)", "NOT gone AND left(role, 1) = 'u'"),
+        _way(origin, cost + " + 3", inserted + "R", f"{before}'user:' || text || chr(10)", "NOT gone"),
+    ]
+
+
+def _assistant(origin: str, inserted: str = "", before: str = "") -> list[str]:
+    cost = f"{3 * len(inserted)} + CASE WHEN cut THEN 3 ELSE 0 END"
+    return [
+        _way(origin, cost, inserted + "K", f"{before}role || ':' || text || chr(10)", "NOT gone AND left(role, 1) = 'a'"),
+        _way(origin, cost + " + 3", inserted + "R", f"{before}'assistant:' || text || chr(10)", "NOT gone"),
+    ]
+
+
+_USER_LINE, _ASSISTANT_LINE = "'user:' || chr(10) || ", "'assistant:' || chr(10) || "
+_KEPT_SYSTEM = _way("e", "CASE WHEN cut THEN 3 ELSE 0 END", "K", "role || ':' || text || chr(10)", "NOT gone AND left(role, 1) = 's'")
+_STATES = {
+    "e": [_way("e", "4", "D")],
+    "s": [_way("s", "4", "D"), _KEPT_SYSTEM],
+    "u": [_way("u", "4", "D"), *_user("e"), *_user("s"), *_user("a"), *_user("u", "I", _ASSISTANT_LINE)],
+    "a": [_way("a", "4", "D"), *_assistant("u"), *_assistant("e", "I", _USER_LINE), *_assistant("s", "I", _USER_LINE), *_assistant("a", "I", _USER_LINE)],
+}
+_ENDS = [_way("e", "0", ""), _way("a", "0", ""), _way("u", "3", "I", "'assistant:' || chr(10)"), _way("s", "6", "II", "'user:' || chr(10) || 'assistant:' || chr(10)")]
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE b AS (SELECT list(list_reduce([i] || range(8), lambda x, k: CASE WHEN k >= 0 AND x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS codes FROM (SELECT unnest(range(256)) AS i)),
+o AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS key, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT o.*, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(name, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda x, c: xor(x >> 8, codes[(xor(x, c) & 255) + 1])), 4294967295) % 20 AS kind FROM o, b),
+d AS (SELECT key, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM d),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(role) OVER (PARTITION BY key ORDER BY i) AS before FROM p),
+q AS (SELECT key, i, role, text, blank OR again AS gone, cut FROM f),
+k AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY 1),
+z AS (SELECT {{'c': CAST(0 AS BIGINT), 'w': '', 'r': ''}} AS start),
+t(key, i, e, s, u, a) AS (SELECT key, CAST(0 AS BIGINT), start, CASE WHEN n < 0 THEN start END, CASE WHEN n < 0 THEN start END, CASE WHEN n < 0 THEN start END FROM k, z
+  UNION ALL SELECT t.key, q.i, {', '.join(_least(*ways) for ways in _STATES.values())} FROM t JOIN q ON q.key = t.key AND q.i = t.i + 1),
+x AS (SELECT t.key, {_least(*_ENDS)} AS best FROM t JOIN k ON k.key = t.key AND t.i = k.n)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.w, '') AS audit, sha256(coalesce(left(best.r, length(best.r) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT key, conv_id FROM o) y LEFT JOIN k ON k.key = y.key LEFT JOIN x ON x.key = y.key
+"""
+
 ORACLE_SQL = {
     "op1_quality_rules": RULES_SQL,
     "op2_benchmark_decontamination": CONTAMINATION_SQL,
     "op5_minhash_near_dedup": NEAR_SQL,
     "op7_chat_formatting": CHAT_SQL,
     "op9_secret_scans": SECRETS_SQL,
+    "op12_embedding_near_dedup": VECTORS_SQL,
+    "op13_conversation_repair": REPAIR_SQL,
     "rule_ablations": ABLATIONS_SQL,
 }

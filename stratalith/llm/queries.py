@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and pipeline, with SQL where it can say the same."""
+"""The queries op1 to op13 and pipeline, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, near_duplicates, packing, personal_data, quality_model, quality_rules, secrets, token_files
+from . import (
+    chat_format,
+    conversation_repair,
+    decontamination,
+    language_id,
+    near_duplicates,
+    packing,
+    personal_data,
+    projection_forest,
+    quality_model,
+    quality_rules,
+    secrets,
+    token_files,
+    whitening,
+)
 from .common import folds, table
 from .oracle import MARKS, ORACLE_SQL  # noqa: F401
 
@@ -92,6 +106,30 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *map(number, personal_data.KINDS), F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows)
+    per_component = whitening.whitened(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return per_component.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.expr("try_cast(deviation AS BIGINT)").alias("deviation"),
+        "whitened",
+        F.element_at(F.lit(model.explained.tolist()).cast("array<double>"), F.col("place") + 1).alias("explained"),
+        F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.filled(table(spark, sf_dir, "conversations"))
+    return conversation_repair.reports(conversation_repair.damaged(rows), rows)
+
+
 def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version of the policy and each of its rules: documents that fail it, and that fail nothing else of it."""
     book = quality_rules.ledger(table(spark, sf_dir, "documents"))
@@ -116,6 +154,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secret_scans": op9_secret_scans,
     "op10_personal_data": op10_personal_data,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
     "rule_ablations": rule_ablations,
     "benchmark_proximity": benchmark_proximity,
 }
