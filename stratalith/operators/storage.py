@@ -5,23 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back: its rows are the same in every later use, and a lost
-    executor costs only its running tasks. Only where driver and executors are one process (tests) may the setting be
-    missing; a local folder is taken then."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The address of a folder of its own under ``spark.checkpoint.dir``. Only where driver and executors are one process (tests)
+    may the setting be missing; a local folder is taken then."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back: its rows are the same in every later use, and a lost
+    executor costs only its running tasks."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, incremental, ranking, relational
+from ..operators import graph, incremental, ranking, relational, storage
 from ..schema import TABLES
-from ..sources import definitions, files
+from ..sources import definitions, files, tree
 
 
 class KnowledgeBase:
@@ -66,20 +66,22 @@ class KnowledgeBase:
 
         Rows of changed and vanished files go from all tables (a cascade), rows of changed and new ones are added.
         """
-        scanned = files.scan(self.spark, source_root, **options).where("reason IS NULL").select("path", "relative_path", "language", "size", "modified")
+        kept = tree.walked(self.spark, source_root, **options).where("reason IS NULL")
+        scanned = storage.stored(kept.select("relative_path", files.language_of(F.col("relative_path")).alias("language"), "size", "modified"), "scanned")
         cached = self.read("files")
         changed = incremental.unchanged_skipped(scanned, cached, "relative_path", ["size", "modified"])
         number, gone = changed.count(), cached.join(scanned, "relative_path", "left_anti").select("relative_path")
         if not number and gone.isEmpty():
             return {"changed": 0, "gone": 0}
-        contents = files.sources(self.spark, source_root, **options).join(changed.select("relative_path"), "relative_path", "left_semi")
-        fresh = self.write("files", self._replaced("files", contents, gone)).join(changed.select("relative_path"), "relative_path", "left_semi")
+        gone = storage.stored(gone, "gone")
+        fresh = storage.stored(tree.read_texts(changed, source_root), "fresh")
         found = definitions.entities(fresh)
         content = fresh.select("relative_path", "text")
         functions = found["functions"].join(content, "relative_path").withColumn("content", files.sliced(F.col("text"), F.col("start_line"), F.col("end_line"))).drop("text")
         for name, rows in (found | {"functions": functions}).items():
             self.write(name, self._replaced(name, rows, gone, fresh))
         self.link()
+        self.write("files", self._replaced("files", fresh, gone))  # last: a build that failed before is repeated by the next one
         return {"changed": number, "gone": gone.count()}
 
     def _replaced(self, name: str, rows: DataFrame, gone: DataFrame, fresh: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import graph, incremental, ranking, relational
+from .operators import graph, incremental, ranking, relational, search_index
 from .sources import definitions, files
 from .streaming import events as stream
 
@@ -234,19 +234,21 @@ def rag_search_budget(spark, sf):
 WORDS = ["ring", "widget", "red", "blue", "small", "hot", "bolt"]
 
 
-@query(f"WITH w AS (SELECT p_partkey, unnest(list_distinct(regexp_split_to_array(lower(p_name), '[^a-z0-9_]+'))) AS word FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY p_partkey) AS r FROM w WHERE list_contains({sql_list(WORDS)}, word)) SELECT word, p_partkey FROM r WHERE r <= 5")
+@query(f"WITH w AS (SELECT unnest({sql_list(WORDS)}) AS word UNION SELECT DISTINCT lower(left(n_name, 2)) FROM nation), r AS (SELECT word, p_partkey, row_number() OVER (PARTITION BY word ORDER BY p_partkey) AS r FROM part, w WHERE contains(lower(p_name), word)) SELECT word, p_partkey FROM r WHERE r <= 5")
 def keyword_context(spark, sf):
-    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
-    return ranking.keyword_hits(table(spark, sf, "part").select("p_partkey", "p_name"), words, "p_name", "p_partkey").select("word", "p_partkey")
+    """For each word the first parts whose name holds it anywhere."""
+    words = spark.createDataFrame([(w,) for w in WORDS], "word string").union(table(spark, sf, "nation").select(F.lower(F.substring("n_name", 1, 2)))).distinct()
+    return search_index.name_index(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name").hits(words, ["p_partkey"]).select("word", "p_partkey")
 
 
-@query("WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9_]+')) AS word FROM part), s AS (SELECT n_name AS key, lower(c_mktsegment) AS value FROM nation JOIN customer ON c_nationkey = n_nationkey UNION SELECT p_type, lower(split_part(p_name, ' ', 1)) FROM part) SELECT DISTINCT w.word, t.value AS concept FROM w JOIN s ON s.value = w.word JOIN s t ON t.key = s.key")
+@query(f"WITH t AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS text FROM part), w AS (SELECT id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: length(w) > 2 AND NOT list_contains([{STOP_SQL}], w)))) AS word FROM t), s AS (SELECT n_name AS key, lower(c_mktsegment) AS value FROM nation JOIN customer ON c_nationkey = n_nationkey UNION SELECT lower(left(p_type, 4)), lower(split_part(p_name, ' ', 1)) FROM part), k AS (SELECT id, key FROM t JOIN (SELECT DISTINCT key FROM s) ON contains(text, key) UNION SELECT id, key FROM w JOIN s ON value = word) SELECT DISTINCT k.id AS p_partkey, value AS concept FROM k JOIN s ON s.key = k.key")
 def semantic_expand(spark, sf):
+    """The concepts of each part's text: of keys that occur in it, and of keys one of whose values is a word of it."""
     part = table(spark, sf, "part")
-    words = part.select(F.explode(F.split(F.lower("p_name"), "[^a-z0-9_]+")).alias("word")).distinct()
+    texts = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
     segments = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("key"), F.lower("c_mktsegment").alias("value"))
-    types = part.select(F.col("p_type").alias("key"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("value"))
-    return ranking.expanded_words(words, segments.unionByName(types).distinct())
+    types = part.select(F.lower(F.substring("p_type", 1, 4)).alias("key"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("value"))
+    return ranking.expanded_texts(texts, segments.unionByName(types).distinct()).withColumnRenamed("id", "p_partkey")
 
 
 @query("WITH s AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) SELECT a.source, a.doc_id, CAST(b.n_chars AS BIGINT) AS second, b.n_chars IS NULL OR a.n_chars > 1.2 * b.n_chars AS clear FROM s a LEFT JOIN s b ON a.source = b.source AND b.r = 2 WHERE a.r = 1")

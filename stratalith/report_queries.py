@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import graph, incremental, ranking, relational
+from .operators import graph, incremental, ranking, relational, search_index
 from .plans import analysis, reports
 from .queries import EDGES_SQL, big, part_edges, part_functions, query, table
-from .sources import files
 
 SHOP = "regexp_replace(c_name, '[0-9]{3}$', '') || '/m' || c_custkey || '.py'"
 SHOP_SQL = f"""
@@ -223,14 +222,13 @@ def exact_symbol(spark, sf):
     return relational.tagged_union(parts)
 
 
-@query("WITH w AS (SELECT url AS wanted FROM pages WHERE page_id % 50 = 0), n AS (SELECT DISTINCT string_split(wanted, '/')[-1] AS base FROM w) SELECT page_id FROM pages WHERE string_split(url, '/')[-1] IN (SELECT base FROM n)")
+@query("WITH w AS (SELECT DISTINCT replace(regexp_extract(url, '/(/[^/]+)+$'), '/', '\\') AS wanted FROM pages WHERE page_id % 3 = 0 UNION SELECT DISTINCT regexp_extract(url, '[a-z]+/[0-9]') FROM pages), p AS (SELECT wanted, replace(wanted, '\\', '/') AS plain FROM w) SELECT DISTINCT wanted, url FROM pages, p WHERE plain = '' OR contains(url, plain) OR string_split(url, '/')[-1] = string_split(plain, '/')[-1]")
 def path_match(spark, sf):
-    """The pages that the path of any fiftieth page matches; only equal file names can, as no path holds another."""
-    pages = table(spark, sf, "pages").select("page_id", "url")
-    base = F.substring_index("url", "/", -1)
-    wanted = pages.where("page_id % 50 = 0").select(F.col("url").alias("wanted"), base.alias("base"))
-    joined = pages.withColumn("base", base).join(wanted, "base").where(files.matches_path(F.col("url"), F.col("wanted")))
-    return joined.select("page_id").distinct()
+    """The pages that hold a wanted path, have its file name, or whatever if it is empty."""
+    pages = table(spark, sf, "pages")
+    ends = pages.where("page_id % 3 = 0").select(F.translate(F.regexp_extract("url", "/(/[^/]+)+$", 0), "/", "\\").alias("wanted"))
+    parts = pages.select(F.regexp_extract("url", "[a-z]+/[0-9]", 0).alias("wanted"))
+    return search_index.paths_matching(pages.select(F.col("url").alias("path")), ends.union(parts)).withColumnRenamed("path", "url")
 
 
 @query("SELECT url FROM pages ORDER BY url LIMIT 50")

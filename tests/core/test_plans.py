@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from stratalith.plans import analysis, knowledge_base
@@ -33,6 +34,21 @@ def test_build_twice(spark, tmp_path):
     assert knowledge_base.projects(spark, str(tmp_path / "kb")) == ["shop"]
 
 
+def test_a_failed_build_is_repeated(spark, tmp_path, monkeypatch):
+    source = tmp_path / "source"
+    write(source, ["src/Shop.java"])
+    base = knowledge_base.KnowledgeBase(spark, str(tmp_path / "kb"), "shop")
+    link = knowledge_base.KnowledgeBase.link
+    monkeypatch.setattr(knowledge_base.KnowledgeBase, "link", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        base.build(str(source))
+    monkeypatch.setattr(knowledge_base.KnowledgeBase, "link", link)
+    assert base.build(str(source)) == {"changed": 1, "gone": 0}
+    assert base.build(str(source)) == {"changed": 0, "gone": 0}
+    one = base.overview().first()
+    assert (one.modules, one.classes, one.functions) == (1, 2, 3) and base.read("files").count() == 1
+
+
 def test_analysis_cache(spark):
     cache = spark.createDataFrame([], "target_type string, target_name string, path string, code_hash string, result string, manually_corrected boolean, updated timestamp")
     targets = spark.createDataFrame([("function", "f", "a.py", "x = 1", "p1"), ("function", "g", "a.py", "y = 1", "p2")], "target_type string, target_name string, path string, code string, prompt string")
