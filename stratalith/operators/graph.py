@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import dotted, mermaid_id, module_of, simple_name
+from . import components
 from .storage import stored
 
+#: Members by which a group of circular dependencies is shown.
+SHOWN = 20
+
 
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Edges (src, dst) of calls (caller, callee name) to functions (id, pos).
@@ -195,9 +199,11 @@ def view_nodes(view: DataFrame, most: int = 100) -> DataFrame:
     return view.select(F.explode(F.array("src", "dst")).alias("id")).distinct().orderBy("id").limit(most)
 
 
-def architecture(modules: DataFrame, module_edges: DataFrame, most: int = 10) -> DataFrame:
+def architecture(modules: DataFrame, module_edges: DataFrame, most: int = 10, circular: bool = False) -> DataFrame:
     """(section, place, value): the numbers of modules and dependencies, then the modules that most others use (``core``), that
-    use most others (``entry``) and that stand alone (``independent``), the first ``most`` of each."""
+    use most others (``entry``) and that stand alone (``independent``), the first ``most`` of each; if asked for, the number of groups
+    of modules that depend on each other in circles (``circular_groups``) and the ``most`` largest (``circular``), each by up to
+    ``SHOWN`` of its members."""
     degree = degrees(modules.select("id"), module_edges)
     totals = degree.agg(F.count("*").alias("m"), F.sum("n_in").alias("e")).select(F.explode(F.array(F.struct(F.lit("modules").alias("section"), F.col("m").cast("string").alias("value")), F.struct(F.lit("dependencies").alias("section"), F.coalesce("e", F.lit(0)).cast("string").alias("value")))).alias("x")).select("x.section", F.lit(1).cast("bigint").alias("place"), "x.value")
 
@@ -208,7 +214,16 @@ def architecture(modules: DataFrame, module_edges: DataFrame, most: int = 10) ->
     core = part("core", degree.where("n_in > 0"), [F.desc("n_in"), F.col("id")])
     entry = part("entry", degree.where("n_out > 0"), [F.desc("n_out"), F.col("id")])
     alone = part("independent", degree.where("n_in = 0 AND n_out = 0"), [F.col("id")])
-    return totals.unionByName(core).unionByName(entry).unionByName(alone)
+    rows = totals.unionByName(core).unionByName(entry).unionByName(alone)
+    if not circular:
+        return rows
+    groups = components.circular(components.strong_components(module_edges))
+    sizes = groups.groupBy("component").agg(F.max("size").alias("size"))
+    number = sizes.agg(F.count("*").alias("n")).select(F.lit("circular_groups").alias("section"), F.lit(1).cast("bigint").alias("place"), F.col("n").cast("string").alias("value"))
+    largest = sizes.orderBy(F.desc("size"), "component").limit(most).withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("bigint"))
+    shown = groups.join(F.broadcast(largest.select("component", "place")), "component").withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy("node"))).where(F.col("r") <= SHOWN)
+    named = shown.groupBy("place").agg(F.array_join(F.array_sort(F.collect_list("node")), " > ").alias("value"))
+    return rows.unionByName(number).unionByName(named.select(F.lit("circular").alias("section"), "place", "value"))
 
 
 def mermaid(edges: DataFrame) -> DataFrame:

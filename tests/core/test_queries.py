@@ -1,7 +1,7 @@
 import pytest
 
 from compare import rows_of_spark, rows_of_sql
-from stratalith import queries, report_queries, search_queries  # noqa: F401
+from stratalith import graph_queries, queries, report_queries, search_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
