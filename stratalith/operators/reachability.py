@@ -24,16 +24,18 @@ from .storage import stored
 RANKS = 4
 
 
-def least_reached(nodes: DataFrame, edges: DataFrame, rank: str) -> DataFrame:
-    """(node, least): the least ``rank`` (a struct with the node itself as ``id``) of what each node reaches, itself included."""
-    found = stored(nodes.select("node", F.col(rank).alias("least")), "least")
+def least_ends(ranked: DataFrame, ways: DataFrame) -> DataFrame:
+    """(way, node, k, least): the least rank in each order k of what each node reaches along the edges of a way, itself included, from
+    (node, ranks: structs with the node as ``id``) and edges (way, src, dst). All ways and orders go together."""
+    own = ranked.select("node", F.posexplode("ranks").alias("k", "least"))
+    found = stored(own.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), "node", "k", "least"), "least")
     while True:
-        told = edges.join(found.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("least").alias("told"))
-        one = stored(found.join(told, "node", "left").select("node", F.col("least").alias("before"), F.least("least", F.coalesce("told", "least")).alias("least")), "least")
-        jump = one.select(F.col("node").alias("at"), F.col("least").alias("far"))
-        found = stored(one.join(jump, F.col("least.id") == F.col("at")).select("node", "before", F.least("least", "far").alias("least")), "least")
+        told = ways.join(found.withColumnRenamed("node", "dst"), ["way", "dst"]).groupBy("way", F.col("src").alias("node"), "k").agg(F.min("least").alias("told"))
+        one = stored(found.join(told, ["way", "node", "k"], "left").select("way", "node", "k", F.col("least").alias("before"), F.least("least", F.coalesce("told", "least")).alias("least")), "least")
+        jump = one.select("way", "k", F.col("node").alias("at"), F.col("least").alias("far"))
+        found = stored(one.withColumn("at", F.col("least.id")).join(jump, ["way", "k", "at"]).select("way", "node", "k", "before", F.least("least", "far").alias("least")), "least")
         if found.where("before != least").isEmpty():
-            return found.select("node", "least")
+            return found.select("way", "node", "k", "least")
 
 
 @dataclass(frozen=True)
@@ -52,13 +54,13 @@ def labelled(edges: DataFrame) -> Reachability:
     ends = between.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     nodes = parts.select(F.col("component").alias("node")).distinct().join(ends, "node", "left")
     orders = [-F.coalesce("degree", F.lit(0)), *[F.xxhash64("node", F.lit(seed)) for seed in range(1, RANKS)]]
-    ranked = stored(nodes.select("node", *[F.struct(o.cast("bigint").alias("by"), F.col("node").alias("id")).alias(f"r{i}") for i, o in enumerate(orders)]), "ranked")
-    labels = ranked.select("node")
-    for name, way in (("reached", between), ("reaching", turned(between))):
-        for i in range(RANKS):
-            labels = labels.join(least_reached(ranked, way, f"r{i}").withColumnRenamed("least", f"{name}{i}"), "node")
-    columns = [F.array(*[F.col(f"{name}{i}") for i in range(RANKS)]).alias(name) for name in ("reached", "reaching")]
-    return Reachability(parts, between, stored(labels.select("node", *columns), "labels"))
+    ranked = nodes.select("node", F.array(*[F.struct(o.cast("bigint").alias("by"), F.col("node").alias("id")) for o in orders]).alias("ranks"))
+    ways = stored(between.withColumn("way", F.lit(0)).unionByName(turned(between).withColumn("way", F.lit(1))), "ways")
+    ends_of = least_ends(stored(ranked, "ranked"), ways)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("k", "least"))), lambda x: x["least"])
+    lists = ends_of.groupBy("node", "way").agg(in_order.alias("least"))  # RANKS each
+    both = [lists.where(F.col("way") == way).select("node", F.col("least").alias(name)) for way, name in enumerate(("reached", "reaching"))]
+    return Reachability(parts, between, stored(both[0].join(both[1], "node"), "labels"))
 
 
 def impossible(a: str, b: str) -> Column:
