@@ -18,7 +18,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import incremental, relational
+from ..operators import incremental, relational, storage
+from .answers import Answers
 
 Completer = Callable[[list[str]], list[str]]
 
@@ -28,8 +29,11 @@ def deterministic(prompts: list[str]) -> list[str]:
     return [json.dumps({"summary": hashlib.md5(p.encode()).hexdigest()}) for p in prompts]
 
 
-def completed(rows: DataFrame, prompt: str, completer: Completer) -> DataFrame:
-    """Rows with ``answer``; a failing batch answers with empty texts."""
+def completed(rows: DataFrame, prompt: str, completer: Completer, answers: Answers | None = None) -> DataFrame:
+    """Rows with ``answer``; a failing batch answers with empty texts. The answers are stored here, so that later actions on the
+    result ask nothing; with a table of ``answers`` no prompt is asked again in later runs either."""
+    if answers is not None:
+        return answers.told(rows, prompt, completer)
     schema = StructType([*rows.schema.fields, StructField("answer", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,7 +44,7 @@ def completed(rows: DataFrame, prompt: str, completer: Completer) -> DataFrame:
                 answers = [""] * len(pdf)
             yield pdf.assign(answer=answers)
 
-    return rows.mapInPandas(run, schema)
+    return storage.stored(rows.mapInPandas(run, schema), "answers")
 
 
 def function_prompts(functions: DataFrame, most_tokens: int = 2000) -> DataFrame:
@@ -125,7 +129,7 @@ def assigned(rows: DataFrame, answers: DataFrame, name: str, place: str, within:
     return joined.select(*[c for c in rows.columns if c != "summary"], summary.alias("summary"))
 
 
-def explained(rows: DataFrame, name: str, text: str, order: list[str], completer: Completer, most: int, budget: int) -> DataFrame:
+def explained(rows: DataFrame, name: str, text: str, order: list[str], completer: Completer, most: int, budget: int, ledger: Answers | None = None) -> DataFrame:
     """Rows with ``summary``: batches of prompts, their answers (JSON from names to summaries), assigned within each batch.
 
     A row's key must be unique over ``order``; a failing batch gives default summaries.
@@ -136,34 +140,34 @@ def explained(rows: DataFrame, name: str, text: str, order: list[str], completer
     listed = F.array_sort(F.collect_list(F.struct("__place", "__text")))
     prompts = placed.groupBy("batch").agg(F.array_join(F.transform(listed, lambda x: x["__text"]), "\n---\n").alias("prompt"))
     said = T.lenient_json(F.col("answer"))
-    answers = completed(prompts, "prompt", completer).select("batch", F.posexplode(F.map_entries(said)).alias("at", "e"))
+    answers = completed(prompts, "prompt", completer, ledger).select("batch", F.posexplode(F.map_entries(said)).alias("at", "e"))
     answers = answers.select("batch", (F.col("at") + 1).alias("place"), F.col("e.key").alias("key"), F.col("e.value").alias("summary"))
     done = assigned(placed.select("batch", *order, "__name", "__place"), answers, "__name", "__place", ["batch"])
     return rows.drop("summary").join(done.select(*order, "summary"), order, "left")
 
 
-def analysed_project(functions: DataFrame, classes: DataFrame, modules: DataFrame, completer: Completer) -> dict[str, DataFrame]:
+def analysed_project(functions: DataFrame, classes: DataFrame, modules: DataFrame, completer: Completer, answers: Answers | None = None) -> dict[str, DataFrame]:
     """The whole run: functions (path, name, start_line, prompt; those that need no explanation have none), classes and modules
     (path, name, start_line, prompt) in batches of 15, 8 and 5, then the architecture and business texts on the modules."""
     worth = functions.where("prompt IS NOT NULL")
-    told = explained(worth, "name", "prompt", ["path", "start_line"], completer, 15, 4000)
+    told = explained(worth, "name", "prompt", ["path", "start_line"], completer, 15, 4000, answers)
     out = {"functions": functions.where("prompt IS NULL").unionByName(told, allowMissingColumns=True)}
-    out["classes"] = explained(classes, "name", "prompt", ["path", "start_line"], completer, 8, 8000)
-    out["modules"] = explained(modules, "path", "prompt", ["path"], completer, 5, 1 << 40)
+    out["classes"] = explained(classes, "name", "prompt", ["path", "start_line"], completer, 8, 8000, answers)
+    out["modules"] = explained(modules, "path", "prompt", ["path"], completer, 5, 1 << 40, answers)
     counts = {k: df.groupBy("path").agg(F.count("*").alias(k)) for k, df in (("n_classes", classes), ("n_functions", functions))}
     sized = modules.select("path").join(counts["n_classes"], "path", "left").join(counts["n_functions"], "path", "left").na.fill(0)
-    out["architecture"] = completed(architecture_prompt(sized), "prompt", completer)
-    out["business"] = completed(business_prompt(out["modules"].select("path", "summary")), "prompt", completer)
+    out["architecture"] = completed(architecture_prompt(sized), "prompt", completer, answers)
+    out["business"] = completed(business_prompt(out["modules"].select("path", "summary")), "prompt", completer, answers)
     return out
 
 
-def cached_text(metadata: DataFrame, key: str, prompt: DataFrame, completer: Completer, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def cached_text(metadata: DataFrame, key: str, prompt: DataFrame, completer: Completer, force: bool = False, answers: Answers | None = None) -> tuple[DataFrame, DataFrame]:
     """(value, from_cache) of a text that metadata (key, value, updated) keeps under a key, and the metadata after it: the
     business analysis of a project is asked for once."""
     kept = metadata.where(F.col("key") == key).select("value", F.lit(True).alias("from_cache"))
     if not force and not kept.isEmpty():
         return kept, metadata
-    new = completed(prompt, "prompt", completer).select(F.col("answer").alias("value"), F.lit(False).alias("from_cache"))
+    new = completed(prompt, "prompt", completer, answers).select(F.col("answer").alias("value"), F.lit(False).alias("from_cache"))
     row = new.select(F.lit(key).alias("key"), "value", F.current_timestamp().alias("updated"))
     return new, incremental.upsert(metadata, row, ["key"], "updated")
 
@@ -181,7 +185,7 @@ def class_relations(classes: DataFrame, most_bases: int = 3, most_subclasses: in
     return bases.unionByName(subs.select("path", "name", F.lit("subclass").alias("relation"), "place", "other", "other_path"))
 
 
-def analysed(targets: DataFrame, cache: DataFrame, completer: Completer, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def analysed(targets: DataFrame, cache: DataFrame, completer: Completer, force: bool = False, answers: Answers | None = None) -> tuple[DataFrame, DataFrame]:
     """Results of targets (target_type, target_name, path, code, prompt) and the cache after them.
 
     A cached result holds if its code hash is the same or someone corrected it; ``force`` asks again. ``from_cache`` says
@@ -193,7 +197,7 @@ def analysed(targets: DataFrame, cache: DataFrame, completer: Completer, force:
     good = F.lit(not force) & F.col("__result").isNotNull() & incremental.valid(F.col("code_hash"), F.col("__hash"), F.coalesce("__corrected", F.lit(False)))
     marked = now.withColumn("from_cache", good)
     hit = marked.where("from_cache").select(*keys, "code_hash", F.col("__result").alias("result"), F.col("__corrected").alias("manually_corrected"), "from_cache")
-    missed = completed(marked.where("NOT from_cache").select(*keys, "code_hash", "prompt"), "prompt", completer)
+    missed = completed(marked.where("NOT from_cache").select(*keys, "code_hash", "prompt"), "prompt", completer, answers)
     fresh = missed.select(*keys, "code_hash", F.to_json(T.lenient_json(F.col("answer"))).alias("result"), F.lit(False).alias("manually_corrected"), F.lit(False).alias("from_cache"))
     results = hit.unionByName(fresh)
     return results, incremental.upsert(cache, results.drop("from_cache").withColumn("updated", F.current_timestamp()), keys, "updated")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import dictionary, ranking, search_index, storage
+from .plans import analysis, answers
 from .queries import CONCEPT_SQL, STOP_SQL, TAGS_SQL, part_index, query, table
 from .sources import tree
 
@@ -98,3 +99,13 @@ def index_search(spark, sf):
 def scanned_search(index, questions: list[tuple[str, ranking.Question]], number: int = 8, budget: int = 3000) -> dict[str, list]:
     """The same question by question, by scoring each snippet: what tests compare with."""
     return {qid: [(r["key"], round(r["score"], 6)) for r in ranking.search(index, q, number, budget).orderBy("rank").collect()] for qid, q in questions}
+
+
+@query("""SELECT page_id, '{"summary": "' || md5('Explain ' || html) || '"}' AS answer, n.asked, CAST(0 AS BIGINT) AS asked_again FROM pages, (SELECT count(DISTINCT html) AS asked FROM pages) n""")
+def ledger_answers(spark, sf):
+    """Each whole page explained once: the second request finds all answers in the table."""
+    ledger = answers.Answers(spark, storage.new_folder(spark, "answers"))
+    pages = table(spark, sf, "pages").select("page_id", F.concat(F.lit("Explain "), "html").alias("prompt"))
+    first, again = ledger.ensure(pages, analysis.deterministic), ledger.ensure(pages, analysis.deterministic)
+    rows = ledger.told(pages, "prompt", analysis.deterministic)
+    return rows.select("page_id", "answer", F.lit(first["asked"]).cast("bigint").alias("asked"), F.lit(again["asked"]).cast("bigint").alias("asked_again"))
