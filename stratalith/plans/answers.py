@@ -21,11 +21,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import storage
 from ..sources import tree
 
 Completer = Callable[[list[str]], list[str]]
 
 BUCKETS, BATCH = 64, 50
+#: Missing digests (some 100 bytes each) so few are broadcast, so that only their prompts are moved.
+BROADCAST_DIGESTS = 100_000
 SCHEMA = "digest string, answer string"
 
 
@@ -63,6 +66,17 @@ def put(root: str, bucket: int, rows: dict[str, str]) -> None:
         place.system.move(early, final)
 
 
+def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (digest, prompt) of a task with each digest once, so that a frequent prompt is moved once a task."""
+    seen: set[str] = set()
+    for batch in batches:
+        new = []
+        for d in batch.column(0).to_pylist():
+            new.append(d not in seen)
+            seen.add(d)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
 def asked(root: str, completer: Completer, size: int):
     """The mapper of sorted (bucket, digest, prompt) to (bucket, asked, failed): numbers of prompts of each batch."""
 
@@ -89,6 +103,7 @@ def asked(root: str, completer: Completer, size: int):
                         yield batch()
                     bucket, known = b, written(root, b)
                 if digest not in known:
+                    known.add(digest)
                     todo[digest] = prompt
                 if len(todo) >= size:
                     yield batch()
@@ -115,10 +130,17 @@ class Answers:
 
     def ensure(self, prompts: DataFrame, completer: Completer, size: int = BATCH) -> dict[str, int]:
         """Ask for each distinct ``prompt`` that has no answer; the numbers of prompts asked and failed."""
-        wanted = prompts.where("prompt IS NOT NULL").select(digest_of(F.col("prompt")).alias("digest"), "prompt").groupBy("digest").agg(F.first("prompt").alias("prompt"))
-        missing = wanted.join(self.read().select("digest"), "digest", "left_anti")
+        named = prompts.where("prompt IS NOT NULL").select(digest_of(F.col("prompt")).alias("digest"), "prompt")
+        known = self.read().select("digest")
+        missing = storage.stored(named.select("digest").distinct().join(known, "digest", "left_anti"), "missing")
+        number = missing.count()
+        if not number:
+            return {"asked": 0, "failed": 0}  # no prompt was moved
+        if number <= BROADCAST_DIGESTS:  # else tasks leave out what their buckets hold
+            named = named.join(F.broadcast(missing), "digest", "left_semi")
         bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).cast("bigint")
-        rows = missing.select(bucket.alias("bucket"), "digest", "prompt").repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "digest")
+        own = named.mapInArrow(once, "digest string, prompt string")
+        rows = own.select(bucket.alias("bucket"), "digest", "prompt").repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "digest")
         told = rows.mapInArrow(asked(self.root, completer, size), "bucket bigint, asked bigint, failed bigint").agg(F.sum("asked").alias("asked"), F.sum("failed").alias("failed")).first()
         return {"asked": told["asked"] or 0, "failed": told["failed"] or 0}
 
@@ -126,4 +148,5 @@ class Answers:
         """Rows with ``answer``: from the table, which is filled first; empty where asking failed or there is no prompt."""
         self.ensure(rows.select(F.col(prompt).alias("prompt")), completer)
         known = self.read().select(F.col("digest").alias("__digest"), F.col("answer").alias("__answer"))
-        return rows.join(known, digest_of(F.col(prompt)) == F.col("__digest"), "left").select(*rows.columns, F.coalesce("__answer", F.lit("")).alias("answer"))
+        named = rows.withColumn("__asked", digest_of(F.col(prompt)))  # by itself, so that prompts nobody reads aren't moved
+        return named.join(known, F.col("__asked") == F.col("__digest"), "left").select(*rows.columns, F.coalesce("__answer", F.lit("")).alias("answer"))
