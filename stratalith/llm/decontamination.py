@@ -4,7 +4,7 @@
 bounded size, a position counts the words of the block with a gap after each document, so that no phrase crosses two.
 ``phrase_hits`` reads the list of each query window's rarest term (by counts over the whole index), shifts it by the
 term's place in the window, and intersects it with the shifted lists of the other terms in the order of rarity. With
-``slop`` above 0 the same walk returns proximity matches: every further term within ``slop`` positions of its place.
+``slop`` above 0 the same walk returns proximity matches: every term within ``slop`` positions of its place, in one document.
 
 Blocks are independent, so a frequent term or a passage that many documents share is spread over as many blocks as
 the documents are. Benchmarks are taken in chunks of at most ``CHUNK_BYTES``; one chunk is what is broadcast.
@@ -116,27 +116,33 @@ def plan_windows(windows: Windows, counts: dict[bytes, int]) -> tuple:
     return numbers, term, offset, np.array(lengths, np.int64), items
 
 
-def matches(keys: np.ndarray, first: np.ndarray, n: np.ndarray, term: np.ndarray, offset: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(window, start) of each match in one block. keys: sorted term << 32 | position; first, n: each term's list in it."""
+def matches(keys: np.ndarray, first: np.ndarray, n: np.ndarray, term: np.ndarray, offset: np.ndarray, slop: int, starts: np.ndarray, n_words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, start, document) of each match in one block. keys: sorted term << 32 | position; first, n: each term's list in it;
+    starts, n_words: each document's positions. With ``slop`` a match begins at a word of a document, and each term is within ``slop``
+    places of its own in that document, the rarest one too: each of its places gives 2 * slop + 1 starts."""
     alive = np.flatnonzero((n[term] > 0).all(axis=1, where=term >= 0)) if len(term) else np.zeros(0, np.int64)
     sizes = n[term[alive, 0]] if len(alive) else np.zeros(0, np.int64)
     lo = 0
     while lo < len(alive):
-        hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), STEP, side="right")) + lo)
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), STEP // (2 * slop + 1), side="right")) + lo)
         w = np.repeat(alive[lo:hi], sizes[lo:hi])
         k = np.arange(len(w)) - np.repeat(np.cumsum(sizes[lo:hi]) - sizes[lo:hi], sizes[lo:hi])
-        start = (keys[first[term[w, 0]] + k] & 0xFFFFFFFF) - offset[w, 0]
-        ok = start >= 0
-        w, start = w[ok], start[ok]
+        anchor = keys[first[term[w, 0]] + k] & 0xFFFFFFFF
+        start, doc = anchor - offset[w, 0], np.searchsorted(starts, anchor, side="right") - 1
+        if slop:
+            w, doc = np.repeat(w, 2 * slop + 1), np.repeat(doc, 2 * slop + 1)
+            start = (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+        ok = (start >= starts[doc]) & (start < starts[doc] + n_words[doc])
+        w, start, doc = w[ok], start[ok], doc[ok]
         for c in range(1, term.shape[1]):
             t = term[w, c]
             at = start + offset[w, c]
-            left = np.searchsorted(keys, (t << 32) | np.maximum(at - slop, 0))
-            right = np.searchsorted(keys, (t << 32) | (at + slop), side="right") if slop else None
+            left = np.searchsorted(keys, (t << 32) | (np.maximum(at - slop, starts[doc]) if slop else at))
+            right = np.searchsorted(keys, (t << 32) | np.minimum(at + slop, starts[doc] + n_words[doc] - 1), side="right") if slop else None
             found = (right > left) if slop else (keys[np.minimum(left, len(keys) - 1)] == ((t << 32) | at))
             ok = (t < 0) | found
-            w, start = w[ok], start[ok]
-        yield w, start
+            w, start, doc = w[ok], start[ok], doc[ok]
+        yield w, start, doc
         lo = hi
 
 
@@ -162,10 +168,9 @@ def block_hits(plan, slop: int):
         edge = np.zeros(size + 1, np.int64)
         pairs = [np.zeros(0, np.int64)]
         if parts:
-            for w, start in matches(np.concatenate(parts), first, n, term, offset, slop):
+            for w, start, doc in matches(np.concatenate(parts), first, n, term, offset, slop, starts, n_words):
                 np.add.at(edge, start, 1)
-                np.add.at(edge, start + lengths[w], -1)
-                doc = np.searchsorted(starts, start, side="right") - 1
+                np.add.at(edge, np.minimum(start + lengths[w], starts[doc] + n_words[doc]), -1)
                 pairs.append(np.unique(doc * len(lengths) + w))
         covered = (np.cumsum(edge[:-1]) > 0).astype(np.int8)
         found = np.unique(np.concatenate(pairs))
