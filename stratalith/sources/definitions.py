@@ -1,8 +1,18 @@
 """Modules, classes, functions, imports and calls of source files, by DataFrame operations on their lines.
 
-A file is exploded into lines; block ends come from running sums of braces (Java, C#, JavaScript, TypeScript) or from the
-next line that is indented no deeper (Python). This is a reading of line shapes, not a grammar: declarations that are
-split over lines before their name or written inside of strings can be missed or found wrongly.
+1. String literals and comments are masked in the whole text, also over several lines: a literal becomes a pair of brackets
+   around blanks, a comment blanks, so that masked and given lines have equal lengths.
+2. Brackets are matched by equality of (file, level): running sums give each bracket its level, and within a level an opening
+   bracket's partner is the next row. The innermost open bracket at the beginning of a line is the last one of its level.
+3. Lines that a round or square bracket, a literal or (Python) any bracket or a backslash holds open are joined to logical lines,
+   as are lists of bases and exceptions that go on (``extends``, a comma) and a block's lone first brace. Declarations are shapes of logical lines.
+4. A block of braces ends with the partner of the first brace of its level after the declaration; a semicolon, another
+   declaration or the end of the surrounding block in between means that there is none. In Python each line closes the widths of
+   indentation from its own to that of the line before, and a block ends with the first row of its width.
+5. What lies in a range of lines is joined by equality of stretches of ``STRETCH`` lines.
+
+So the work is linear in the characters of a file, but for sorts. This is a reading of shapes, not a grammar: a regular expression
+literal that holds a quote masks the rest of its line, and two declarations in one logical line count as one.
 """
 
 from __future__ import annotations
@@ -12,7 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import docstring
-from .files import numbered_lines, sliced
+from ..operators.storage import stored
+
+#: Lines of a stretch by which ranges and lines meet.
+STRETCH = 64
 
 MODIFIERS = "public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|async|synchronized|readonly|export|default|unsafe|extern|new"
 KEYWORDS = ["if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "using", "lock", "foreach", "function", "typeof", "await", "async", "print", "super", "def", "class", "elif", "with", "sizeof", "in", "and", "or", "not"]
@@ -21,10 +34,12 @@ CLASS = {
     "python": r"^\s*class\s+([A-Za-z_]\w*)\s*(?:\(([^)]*)\))?\s*:",
     "other": rf"^\s*((?:(?:{MODIFIERS})\s+)*)(?:class|interface)\s+([A-Za-z_$][\w$]*)(?:<[^>{{]*>)?\s*((?:\s*(?::|extends|implements)\s*[\w$.,<> ]+)*)",
 }
+#: What lies in round brackets that may hold others, two deep; it gives nothing back.
+INNER = r"(?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+"
 FUNCTION = {
     "python": r"^\s*(async\s+)?def\s+([A-Za-z_]\w*)\s*\((.*?)(?:\)\s*(?:->\s*([^:]+?)\s*)?:.*)?$",
-    "typed": rf"^\s*((?:(?:{MODIFIERS})\s+)*)([A-Za-z_][\w.]*(?:<[^()]*>)?(?:\[\])*\??\s+)?([A-Za-z_]\w*)\s*(?:<[^()]*>)?\s*\(([^()]*)\)\s*(?:throws [\w., ]+)?\s*(?:where .*)?(\{{.*)?$",
-    "script": rf"^\s*((?:(?:{MODIFIERS})\s+)*)(?:function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\s*\*?\s*\w*\s*\(|\()|([A-Za-z_$][\w$]*)\s*\()([^()]*)\)[^;]*(?:\{{|=>).*$",
+    "typed": rf"^\s*((?:(?:{MODIFIERS})\s+)*)([A-Za-z_][\w.]*(?:<[^()]*>)?(?:\[\])*\??\s+)?([A-Za-z_]\w*)\s*(?:<[^()]*>)?\s*\(({INNER})\)\s*(?:throws [\w., ]+)?\s*(?:where .*)?(\{{.*)?$",
+    "script": rf"^\s*((?:(?:{MODIFIERS})\s+)*)(?:function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\s*\*?\s*\w*\s*\(|\()|([A-Za-z_$][\w$]*)\s*\()({INNER})\)[^;]*(?:\{{|=>).*$",
 }
 IMPORT = {
     "python": r"^\s*(?:from\s+([\w.]+)\s+import\s+(.+?)|import\s+([\w.]+)(?:\s+as\s+(\w+))?)\s*$",
@@ -35,8 +50,16 @@ IMPORT = {
 #: Modifiers, type, and declarators of a field; type hint of a module's variable.
 FIELD = r"^\s*((?:(?:@\w+|public|private|protected|internal|static|final|readonly|const|volatile|transient|required|new)\s+)*)([A-Za-z_][\w.]*(?:<[^()=;]*>)?(?:\[[\s,]*\])*\??)\s+([A-Za-z_]\w*(?:\[\])*\s*(?:[=,;].*)?)$"
 GLOBAL = r"^([A-Za-z_]\w*)\s*(?::\s*([^=]+?)\s*)?=(?!=)"
-#: The string literal that a Python block begins with, after its header.
-DOCSTRING = r"""(?s)^(?>.*?:[ \t]*(?:#[^\n]*)?\n)\s*([rRuUbBfF]{0,2}(?:\"{3}.*?\"{3}|'{3}.*?'{3}|\"[^\"\n]*\"|'[^'\n]*'))"""
+#: A string literal at the beginning of a logical line.
+DOCSTRING = r"""(?s)^\s*([rRuUbBfF]{0,2}(?:\"{3}.*?\"{3}|'{3}.*?'{3}|\"[^\"\n]*\"|'[^'\n]*'))"""
+#: Literals and comments, or what lies between; a literal or comment without an end goes to the text's end. No part gives back.
+QUOTED = r"""\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
+PIECES = {
+    "python": rf"""(?s)\"{{3}}.*?(?:\"{{3}}|\z)|'{{3}}.*?(?:'{{3}}|\z)|{QUOTED}|#[^\n]*+|[^\"'#]++|.""",
+    "other": rf"""(?s)@\"[^\"]*+(?:\"\"[^\"]*+)*+(?:\"|\z)|\"{{3}}.*?(?:\"{{3}}|\z)|{QUOTED}|`[^`\\]*+(?:\\.[^`\\]*+)*+(?:`|\z)|//[^\n]*+|/\*.*?(?:\*/|\z)|[^\"'`/@]++|.""",
+}
+#: One of a list's entries: literals and bracketed parts, four deep, may hold commas.
+ENTRY = r"""(?:\"[^\"]*+\"|'[^'\n]*+'|\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*+\))*+\))*+\))*+\)|\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*+\])*+\])*+\]|\{(?:[^{}]|\{[^{}]*+\})*+\}|<(?:[^<>]|<(?:[^<>]|<[^<>]*+>)*+>)*+>|[^,])++"""
 
 
 def found(code: Column, pattern: str, group: int) -> Column:
@@ -44,50 +67,136 @@ def found(code: Column, pattern: str, group: int) -> Column:
 
 
 def without_strings(code: Column) -> Column:
-    """A line without its string contents and line comment, for counting braces."""
+    """A line without its string contents and line comment."""
     plain = F.regexp_replace(code, r"""\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'""", "\"\"")
     return F.regexp_replace(plain, r"//.*$", "")
 
 
+def masked(text: Column, language: Column, literals: bool) -> Column:
+    """The text with blanks for comments and, with ``literals``, brackets around blanks for string literals."""
+    python = language == "python"
+    pieces = F.when(python, F.regexp_extract_all(text, F.lit(PIECES["python"]), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(PIECES["other"]), F.lit(0)))
+
+    def blank(c: Column) -> Column:
+        return F.regexp_replace(c, r"[^\r\n]", " ")
+
+    def one(p: Column) -> Column:
+        comment = F.when(python, F.startswith(p, F.lit("#"))).otherwise(F.startswith(p, F.lit("//")) | F.startswith(p, F.lit("/*")))
+        literal = F.rlike(p, F.lit("^(?:@\"|[\"'`])")) & (F.length(p) > 1)
+        out = F.when(comment, blank(p))
+        return (out.when(literal, F.concat(F.lit("["), blank(F.substr(p, F.lit(2), F.length(p) - 2)), F.lit("]"))) if literals else out).otherwise(p)
+
+    return F.array_join(F.transform(pieces, one), "")
+
+
 def lines_of(files: DataFrame) -> DataFrame:
-    """Lines with their depth: of braces before and after, or of indentation."""
-    rows = numbered_lines(files.select("relative_path", "language", "text"))
-    bare = without_strings(F.col("code"))
-    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    """(relative_path, language, line, raw, code, bare, blank, depth, total): lines as given, without comments and without literals,
+    with the depth of braces (Python: of indentation) and of all brackets before each."""
+    by_line = lambda c: F.split(c, "\r?\n", -1)
+    texts = F.arrays_zip(by_line(F.col("text")).alias("raw"), by_line(masked(F.col("text"), F.col("language"), False)).alias("code"), by_line(masked(F.col("text"), F.col("language"), True)).alias("bare"))
+    rows = files.select("relative_path", "language", F.posexplode(texts).alias("pos", "x")).select("relative_path", "language", (F.col("pos") + 1).alias("line"), "x.*")
+    count = lambda signs: F.length("bare") - F.length(F.translate("bare", signs, ""))
     before = Window.partitionBy("relative_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("opens", count(bare, "{")).withColumn("closes", count(bare, "}"))
-    rows = rows.withColumn("depth", F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)))
-    indent = F.length(F.regexp_extract("code", r"^(\s*)", 1))
-    return rows.withColumn("depth", F.when(F.col("language") == "python", indent).otherwise(F.col("depth"))).withColumn("blank", F.trim("code") == "")
+    sums = {"braces": count("{") - count("}"), "total": count("([{") - count(")]}")}
+    rows = rows.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()], (F.trim("bare") == "").alias("blank"))
+    indent = F.length(F.regexp_extract("code", r"^(\s*)", 1)).cast("long")
+    return rows.withColumn("depth", F.when(F.col("language") == "python", indent).otherwise(F.col("braces"))).drop("braces")
 
 
-def declarations(lines: DataFrame) -> DataFrame:
-    """(relative_path, language, line, depth, kind, name, modifiers, bases, parameters, return_type, end_line)."""
-    code, language = F.col("code"), F.col("language")
+def brackets(lines: DataFrame) -> DataFrame:
+    """(relative_path, language, line, at, sign, level, import_line): each bracket and semicolon, ``at`` counting them in their line;
+    a bracket has the level that it opens or closes, a semicolon one more than the depth that it stands at."""
+    starts = F.rlike("code", F.lit(r"^\s*import\b"))
+    signs = lines.select("relative_path", "language", "line", "total", starts.alias("import_line"), F.posexplode(F.regexp_extract_all("bare", F.lit(r"[(){}\[\];]"), F.lit(0))).alias("at", "sign"))
+    step = F.when(F.col("sign").isin("(", "[", "{"), 1).when(F.col("sign") == ";", 0).otherwise(-1)
+    sofar = Window.partitionBy("relative_path", "line").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.col("total") + F.coalesce(F.sum(step).over(sofar), F.lit(0))
+    return signs.select("relative_path", "language", "line", "at", "sign", (depth + F.when(step < 0, 0).otherwise(1)).alias("level"), "import_line")
+
+
+def logical_lines(lines: DataFrame, signs: DataFrame) -> DataFrame:
+    """(relative_path, language, line, last_line, raw, code, bare, depth, total): lines joined with those that they hold open."""
+    opened = signs.where("sign IN ('(', '[', '{')").select("relative_path", "line", "at", "level", ((F.col("sign") != "{") | (F.col("language") == "python") | F.col("import_line")).alias("holds"))
+    begun = lines.where("total > 0").select("relative_path", "line", F.lit(-1).alias("at"), F.col("total").alias("level"), F.lit(None).cast("boolean").alias("holds"))
+    so_far = Window.partitionBy("relative_path", "level").orderBy("line", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = opened.unionByName(begun).withColumn("held", F.last("holds", True).over(so_far)).where("at = -1 AND held").select("relative_path", "line", "held")
+    by_line = Window.partitionBy("relative_path").orderBy("line")
+    above = F.coalesce(F.lag("bare").over(by_line), F.lit(""))
+    tail = F.when(F.col("language") == "python", F.rlike(above, F.lit(r"\\\s*$"))).when(F.col("language").isin("java", "csharp"), F.rlike(above, F.lit(r"[\w>\])],\s*$")))
+    goes_on = F.coalesce(tail, F.lit(False)) | ((F.col("language") != "python") & F.rlike("bare", F.lit(r"^\s*(?:(?:extends|implements|permits|throws|where)\b|:[^:]|\{\s*$)")))
+    rows = lines.withColumn("goes_on", goes_on).join(inner, ["relative_path", "line"], "left")
+    head = F.last(F.when(F.col("held").isNull() & ~F.col("goes_on"), F.col("line")), True).over(by_line)
+    rows = rows.withColumn("head", F.coalesce(head, F.lit(1)))
+    parts = F.array_sort(F.collect_list(F.struct("line", "raw", "code", "bare", "depth", "total")))
+    rows = rows.groupBy("relative_path", "language", "head").agg(parts.alias("p")).where(F.exists("p.bare", lambda b: F.trim(b) != ""))
+    first = F.get("p", F.lit(0))
+    text = lambda name, by: F.array_join(F.col(f"p.{name}"), by).alias(name)
+    return rows.select("relative_path", "language", F.col("head").alias("line"), F.array_max("p.line").alias("last_line"), text("raw", "\n"), text("code", " "), text("bare", " "), first["depth"].alias("depth"), first["total"].alias("total"))
+
+
+def entries(inner: Column) -> Column:
+    """The entries of a list as written, parted by commas outside of literals and brackets."""
+    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(inner, F.lit("")), F.lit(ENTRY), F.lit(0)), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+
+
+def declared_heads(logical: DataFrame) -> DataFrame:
+    """The logical lines that declare, with kind, name, modifiers, bases, parameters, return_type. Names come from the masked line."""
+    code, bare, language = F.col("code"), F.col("bare"), F.col("language")
     script = language.isin("javascript", "typescript")
     python = language == "python"
-    class_name = F.when(python, found(code, CLASS["python"], 1)).otherwise(found(code, CLASS["other"], 2))
-    name = F.when(python, found(code, FUNCTION["python"], 2)).when(script, F.coalesce(*(found(code, FUNCTION["script"], k) for k in (2, 3, 4)))).otherwise(found(code, FUNCTION["typed"], 3))
-    arguments = F.when(python, found(code, FUNCTION["python"], 3)).when(script, found(code, FUNCTION["script"], 5)).otherwise(found(code, FUNCTION["typed"], 4))
-    returns = F.when(python, found(code, FUNCTION["python"], 4)).when(~script, F.trim(found(code, FUNCTION["typed"], 2)))
-    marks = F.when(python, F.when(class_name.isNull(), found(code, FUNCTION["python"], 1))).when(class_name.isNotNull(), found(code, CLASS["other"], 1)).when(script, found(code, FUNCTION["script"], 1)).otherwise(found(code, FUNCTION["typed"], 1))
-    bases = F.when(python, found(code, CLASS["python"], 2)).otherwise(F.regexp_replace(found(code, CLASS["other"], 3), r"\b(extends|implements)\b|:", ","))
-    words = lambda c, by: F.filter(F.split(F.coalesce(F.trim(c), F.lit("")), by), lambda w: w != "")
-    rows = lines.withColumn("kind", F.when(class_name.isNotNull(), "class").when(name.isNotNull() & ~name.isin(*KEYWORDS) & ~F.coalesce(returns, F.lit("")).isin("return", "new", "else", "throw", "await"), "function"))
-    rows = rows.select(
-        "relative_path", "language", "line", "depth", "opens", "closes", "blank", "kind", F.coalesce(class_name, name).alias("name"), words(marks, r"\s+").alias("modifiers"),
-        F.transform(words(bases, ","), lambda x: F.trim(x)).alias("bases"), F.transform(words(arguments, ","), lambda x: F.trim(x)).alias("parameters"), returns.alias("return_type"),
-    )
-    # A block ends at the first later line after which the depth is back (braces), or before the first one no deeper (indentation).
-    ends = rows.groupBy("relative_path").agg(F.array_sort(F.collect_list(F.when(~F.col("blank"), F.struct("line", "depth", (F.col("depth") + F.col("opens") - F.col("closes")).alias("after"), (F.col("opens") > 0).alias("opened"))))).alias("all"))
-    declared = rows.where("kind IS NOT NULL").join(ends, "relative_path")
-    later = F.filter("all", lambda x: x["line"] > F.col("line"))
-    dedent = F.get(F.filter(later, lambda x: x["depth"] <= F.col("depth")), F.lit(0))["line"]
-    last = F.get(F.reverse(F.col("all")), F.lit(0))["line"]
-    body = F.filter("all", lambda x: (x["line"] >= F.col("line")) & (x["after"] <= F.col("depth")) & ((x["line"] > F.col("line")) | (F.col("closes") > 0)))
-    python_end = F.get(F.reverse(F.filter("all", lambda x: x["line"] < F.coalesce(dedent, last + 1))), F.lit(0))["line"]
-    brace_end = F.coalesce(F.get(F.filter(body, lambda x: (x["line"] == F.col("line")) | (x["depth"] > F.col("depth")) | x["opened"]), F.lit(0))["line"], last)
-    return declared.withColumn("end_line", F.when(F.col("language") == "python", python_end).otherwise(brace_end)).drop("all", "opens", "closes", "blank")
+    class_name = F.when(python, found(bare, CLASS["python"], 1)).otherwise(found(bare, CLASS["other"], 2))
+    name = F.when(python, found(bare, FUNCTION["python"], 2)).when(script, F.coalesce(*(found(bare, FUNCTION["script"], k) for k in (2, 3, 4)))).otherwise(found(bare, FUNCTION["typed"], 3))
+    both = lambda pattern, k: F.coalesce(found(code, pattern, k), found(bare, pattern, k))
+    arguments = F.when(python, both(FUNCTION["python"], 3)).when(script, both(FUNCTION["script"], 5)).otherwise(both(FUNCTION["typed"], 4))
+    returns = F.when(python, both(FUNCTION["python"], 4)).when(~script, F.trim(found(bare, FUNCTION["typed"], 2)))
+    marks = F.when(python, F.when(class_name.isNull(), found(bare, FUNCTION["python"], 1))).when(class_name.isNotNull(), found(bare, CLASS["other"], 1)).when(script, found(bare, FUNCTION["script"], 1)).otherwise(found(bare, FUNCTION["typed"], 1))
+    bases = F.when(python, both(CLASS["python"], 2)).otherwise(F.regexp_replace(found(bare, CLASS["other"], 3), r"\b(extends|implements)\b|:", ","))
+    kind = F.when(class_name.isNotNull(), "class").when(name.isNotNull() & ~name.isin(*KEYWORDS) & ~F.coalesce(returns, F.lit("")).isin("return", "new", "else", "throw", "await"), "function")
+    modifiers = F.filter(F.split(F.coalesce(F.trim(marks), F.lit("")), r"\s+"), lambda w: w != "")
+    return logical.select(
+        "relative_path", "language", "line", "last_line", "depth", "total", kind.alias("kind"), F.coalesce(class_name, name).alias("name"), modifiers.alias("modifiers"),
+        entries(bases).alias("bases"), entries(arguments).alias("parameters"), returns.alias("return_type"),
+    ).where("kind IS NOT NULL")
+
+
+def block_ends(heads: DataFrame, logical: DataFrame, signs: DataFrame) -> DataFrame:
+    """(relative_path, line, end_line) of declarations."""
+    later = Window.partitionBy("relative_path", "level").orderBy(F.desc("line"), F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)  # backwards, so that it is a running value
+    row = lambda df, at, sign, level: df.select("relative_path", "line", F.lit(at).alias("at") if isinstance(at, int) else at, F.lit(sign).alias("sign") if isinstance(sign, str) else sign, level.alias("level"))
+    braced = signs.where("language != 'python'")
+    closers = braced.where("sign IN (')', ']', '}')")
+    rows = row(braced, F.col("at"), F.col("sign"), F.col("level")).unionByName(row(closers, F.col("at"), "stop", F.col("level") + 1))
+    rows = rows.unionByName(row(heads.where("language != 'python'"), -1, "head", F.col("total") + 1))
+    rows = rows.withColumn("closed", F.last(F.when(~F.col("sign").isin("stop", "head", ";"), F.col("line")), True).over(later))
+    nearest = F.last(F.when(F.col("sign").isin("{", ";", "stop", "head"), F.struct("sign", "closed")), True).over(later)
+    braces = rows.withColumn("next", nearest).where("sign = 'head'").select("relative_path", "line", (F.col("next.sign") == "{").alias("has"), "next.closed")
+    python = logical.where("language = 'python'")
+    before = Window.partitionBy("relative_path").orderBy("line")
+    python = python.select("relative_path", "line", "depth", F.lag("depth").over(before).alias("above"), F.lag("last_line").over(before).alias("closed"))
+    shut = python.where("depth <= above").select("relative_path", "line", F.lit(0).alias("at"), F.explode(F.sequence("depth", "above")).alias("level"), "closed")
+    begun = heads.where("language = 'python'").select("relative_path", "line", F.lit(1).alias("at"), F.col("depth").alias("level"), F.lit(None).cast("int").alias("closed"))
+    widths = shut.unionByName(begun).withColumn("closed", F.last("closed", True).over(later)).where("at = 1").select("relative_path", "line", F.lit(True).alias("has"), "closed")
+    last = logical.groupBy("relative_path").agg(F.max("last_line").alias("last"))
+    ended = heads.select("relative_path", "line", "last_line").join(braces.unionByName(widths), ["relative_path", "line"], "left").join(last, "relative_path")
+    return ended.select("relative_path", "line", F.when(F.coalesce("has", F.lit(False)), F.coalesce("closed", "last")).otherwise(F.col("last_line")).alias("end_line"))
+
+
+def declarations(logical: DataFrame, signs: DataFrame) -> DataFrame:
+    """(relative_path, language, line, last_line, depth, kind, name, modifiers, bases, parameters, return_type, end_line, docstring)."""
+    heads = declared_heads(logical)
+    following = Window.partitionBy("relative_path").orderBy("line")
+    after = logical.where("language = 'python'").select("relative_path", "line", F.lead("line").over(following).alias("__next"), found(F.lead("raw").over(following), DOCSTRING, 1).alias("__literal"))
+    rows = heads.join(block_ends(heads, logical, signs), ["relative_path", "line"]).join(after, ["relative_path", "line"], "left")
+    return rows.withColumn("docstring", docstring(F.when(F.col("__next") <= F.col("end_line"), F.col("__literal")))).drop("total", "__next", "__literal")
+
+
+def within(points: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of ``points`` (relative_path, line) with those of ``ranges`` (__path, first, last) around them. Both meet in stretches, in
+    which no more ranges begin or end than there are lines."""
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    spread = ranges.where("last >= first").withColumn("__stretch", F.explode(F.sequence(stretch("first"), stretch("last"))))
+    around = (F.col("relative_path") == F.col("__path")) & (stretch("line") == F.col("__stretch")) & F.col("line").between(F.col("first"), F.col("last"))
+    return points.join(spread, around, how).drop("__path", "__stretch")
 
 
 def variables(lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -106,51 +215,45 @@ def variables(lines: DataFrame, classes: DataFrame) -> DataFrame:
         inner = F.regexp_replace(inner, r"\([^()]*\)|\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*>", "")
     names = F.filter(F.transform(F.split(inner, ","), lambda d: F.regexp_extract(d, r"^\s*([A-Za-z_]\w*)\s*(?:[=;({].*)?$", 1)), lambda n: n != "")
     rows = rows.select("relative_path", "line", "depth", F.explode(names).alias("name"), "type_hint", F.filter(F.split(F.coalesce("marks", F.lit("")), r"\s+"), lambda w: (w != "") & ~F.startswith(w, F.lit("@"))).alias("modifiers"))
-    outer = classes.select(F.col("relative_path").alias("__path"), F.col("name").alias("class_name"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"), F.col("depth").alias("cd"))
-    own = (F.col("relative_path") == F.col("__path")) & (F.col("line") > F.col("cs")) & (F.col("line") <= F.col("ce")) & (F.col("depth") == F.col("cd") + 1)
-    fields = rows.join(outer, own).select("relative_path", "line", "name", "type_hint", "modifiers", "class_name", F.lit(False).alias("is_global"))
+    outer = classes.select(F.col("relative_path").alias("__path"), F.col("name").alias("class_name"), (F.col("start_line") + 1).alias("first"), F.col("end_line").alias("last"), F.col("depth").alias("cd"))
+    fields = within(rows, outer).where("depth = cd + 1").select("relative_path", "line", "name", "type_hint", "modifiers", "class_name", F.lit(False).alias("is_global"))
     return top.unionByName(fields)
 
 
 def decorators(lines: DataFrame) -> DataFrame:
     """(relative_path, start_line, decorators): the lines that begin with ``@`` before a Python declaration, in order."""
     mark = F.startswith(F.trim("code"), F.lit("@"))
-    after = Window.partitionBy("relative_path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    rows = lines.where("language = 'python'").select("relative_path", "line", F.trim("code").alias("code"), F.min(F.when(~mark & ~F.col("blank"), F.col("line"))).over(after).alias("start_line"))
+    after = Window.partitionBy("relative_path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.where("language = 'python'").select("relative_path", "line", F.trim("code").alias("code"), F.last(F.when(~mark & ~F.col("blank"), F.col("line")), True).over(after).alias("start_line"))
     marked = rows.where(F.startswith("code", F.lit("@"))).groupBy("relative_path", "start_line").agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("all"))
     return marked.select("relative_path", "start_line", F.col("all.code").alias("decorators"))
 
 
-def documented(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """With ``docstring``: the text of the literal that a Python block begins with, else null."""
-    texts = files.where("language = 'python'").select("relative_path", "text")
-    literal = found(sliced(F.col("text"), F.col("start_line"), F.col("end_line")), DOCSTRING, 1)
-    return rows.join(texts, "relative_path", "left").withColumn("docstring", docstring(literal)).drop("text")
-
-
 def entities(files: DataFrame) -> dict[str, DataFrame]:
     """modules, classes, functions (with class and calls), imports and variables of source files (relative_path, language, text)."""
     lines = lines_of(files)
-    declared = declarations(lines)
-    classes = declared.where("kind = 'class'").select("relative_path", "language", "name", F.col("line").alias("start_line"), "end_line", "depth", "bases", "modifiers")
-    outer = classes.select(F.col("relative_path").alias("__path"), F.col("name").alias("class_name"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
-    functions = declared.where("kind = 'function'")
-    inside = functions.join(outer, (F.col("relative_path") == F.col("__path")) & (F.col("line") > F.col("cs")) & (F.col("line") <= F.col("ce")), "left").drop("__path")
-    nearest = Window.partitionBy("relative_path", "line").orderBy(F.desc_nulls_last("cs"))
+    signs = brackets(lines)
+    logical = logical_lines(lines, signs)
+    declared = stored(declarations(logical, signs), "declarations")  # small; classes, functions and variables read it
+    classes = declared.where("kind = 'class'").select("relative_path", "language", "name", F.col("line").alias("start_line"), "end_line", "depth", "bases", "modifiers", "docstring")
+    outer = classes.select(F.col("relative_path").alias("__path"), F.col("name").alias("class_name"), (F.col("start_line") + 1).alias("first"), F.col("end_line").alias("last"))
+    inside = within(declared.where("kind = 'function'"), outer, "left")
+    nearest = Window.partitionBy("relative_path", "line").orderBy(F.desc_nulls_last("first"))
     owned = inside.withColumn("r", F.row_number().over(nearest)).where("r = 1")
     typed = F.col("language").isin("java", "csharp")
     owned = owned.where(~typed | F.col("class_name").isNotNull()).where(~typed | F.col("return_type").isNotNull() | (F.col("name") == F.col("class_name")))
-    spans = owned.select("relative_path", "name", F.col("line").alias("start_line"), "end_line", "class_name", "parameters", "modifiers", F.when(typed & (F.col("name") == F.col("class_name")), "constructor").otherwise(F.col("return_type")).alias("return_type"))
-    said = lines.select("relative_path", "line", F.explode(F.regexp_extract_all(without_strings(F.col("code")), F.lit(r"(?:\.|\b)([A-Za-z_$][\w$]*)\s*(?:<[\w, ]*>)?\("), F.lit(1))).alias("callee")).where(~F.col("callee").isin(*KEYWORDS))
-    calls = spans.select("relative_path", "start_line", "end_line", F.col("name").alias("__own")).join(said, "relative_path").where("line BETWEEN start_line AND end_line AND NOT (line = start_line AND callee = __own)")
+    spans = owned.select("relative_path", "name", F.col("line").alias("start_line"), "end_line", "last_line", "class_name", "parameters", "modifiers", F.when(typed & (F.col("name") == F.col("class_name")), "constructor").otherwise(F.col("return_type")).alias("return_type"), "docstring")
+    said = lines.select("relative_path", "line", F.explode(F.regexp_extract_all("bare", F.lit(r"(?:\.|\b)([A-Za-z_$][\w$]*)\s*(?:<[\w, ]*>)?\("), F.lit(1))).alias("callee")).where(~F.col("callee").isin(*KEYWORDS))
+    ranges = spans.select(F.col("relative_path").alias("__path"), F.col("start_line").alias("first"), F.col("end_line").alias("last"), F.col("last_line").alias("__head"), F.col("name").alias("__own"))
+    calls = within(said, ranges).where("NOT (line <= __head AND callee = __own)").withColumnRenamed("first", "start_line")
     calls = calls.groupBy("relative_path", "start_line").agg(F.array_sort(F.collect_set("callee")).alias("calls"))
-    functions = spans.join(calls, ["relative_path", "start_line"], "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
+    functions = spans.drop("last_line").join(calls, ["relative_path", "start_line"], "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
     functions = functions.join(decorators(lines), ["relative_path", "start_line"], "left").withColumn("decorators", F.coalesce("decorators", F.array().cast("array<string>")))
-    functions = documented(functions, files).withColumn("is_private", F.array_contains("modifiers", "private") | F.rlike("name", F.lit("^_(?!_)")))
+    functions = functions.withColumn("is_private", F.array_contains("modifiers", "private") | F.rlike("name", F.lit("^_(?!_)")))
     code, language = F.col("code"), F.col("language")
     script = language.isin("javascript", "typescript")
     module = F.when(language == "python", F.coalesce(found(code, IMPORT["python"], 1), found(code, IMPORT["python"], 3))).when(language == "java", found(code, IMPORT["java"], 1)).when(language == "csharp", found(code, IMPORT["csharp"], 1)).when(script, F.coalesce(found(code, IMPORT["script"], 1), found(code, IMPORT["script"], 2)))
-    names = F.when(language == "python", F.transform(F.split(F.coalesce(found(code, IMPORT["python"], 2), F.lit("")), ","), lambda x: F.trim(x))).otherwise(F.array(F.lit("")))
-    imports = lines.select("relative_path", "line", module.alias("module"), F.filter(names, lambda x: x != "").alias("names"), F.when(language == "python", found(code, IMPORT["python"], 4)).alias("alias")).where("module IS NOT NULL")
+    names = F.when(language == "python", F.transform(F.split(F.coalesce(found(code, IMPORT["python"], 2), F.lit("")), ","), lambda x: F.trim(F.translate(x, "()", "")))).otherwise(F.array(F.lit("")))
+    imports = logical.select("relative_path", "line", module.alias("module"), F.filter(names, lambda x: x != "").alias("names"), F.when(language == "python", found(code, IMPORT["python"], 4)).alias("alias")).where("module IS NOT NULL")
     modules = files.select("relative_path", "language", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("line_count"), F.octet_length("text").alias("size"))
-    return {"modules": modules, "classes": documented(classes, files), "functions": functions, "imports": imports, "variables": variables(lines, classes)}
+    return {"modules": modules, "classes": classes, "functions": functions, "imports": imports, "variables": variables(lines, classes)}
