@@ -89,49 +89,74 @@ def masked(text: Column, language: Column, literals: bool) -> Column:
     return F.array_join(F.transform(pieces, one), "")
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """(relative_path, language, line, raw, code, bare, blank, depth, total): lines as given, without comments and without literals,
-    with the depth of braces (Python: of indentation) and of all brackets before each."""
-    by_line = lambda c: F.split(c, "\r?\n", -1)
-    texts = F.arrays_zip(by_line(F.col("text")).alias("raw"), by_line(masked(F.col("text"), F.col("language"), False)).alias("code"), by_line(masked(F.col("text"), F.col("language"), True)).alias("bare"))
-    rows = files.select("relative_path", "language", F.posexplode(texts).alias("pos", "x")).select("relative_path", "language", (F.col("pos") + 1).alias("line"), "x.*")
-    count = lambda signs: F.length("bare") - F.length(F.translate("bare", signs, ""))
+def masked_files(files: DataFrame) -> DataFrame:
+    """(relative_path, language, code, bare): texts without comments, and without literals as well."""
+    return files.select("relative_path", "language", *[masked(F.col("text"), F.col("language"), k).alias(n) for n, k in (("code", False), ("bare", True))])
+
+
+def by_line(text: Column | str) -> Column:
+    return F.split(text, "\r?\n", -1)
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """(relative_path, language, line, code, bare) of masked files."""
+    rows = texts.select("relative_path", "language", F.posexplode(F.arrays_zip(by_line("code").alias("code"), by_line("bare").alias("bare"))).alias("pos", "x"))
+    return rows.select("relative_path", "language", (F.col("pos") + 1).alias("line"), "x.*")
+
+
+def shapes(lines: DataFrame) -> DataFrame:
+    """What blocks need of a line, without its text: signs, blank, indent, import_line, begins_on and ends_on (whether it goes on with
+    the line before or after)."""
+    python = F.col("language") == "python"
+    ends = F.when(python, F.rlike("bare", F.lit(r"\\\s*$"))).when(F.col("language").isin("java", "csharp"), F.rlike("bare", F.lit(r"[\w>\])],\s*$")))
+    begins = ~python & F.rlike("bare", F.lit(r"^\s*(?:(?:extends|implements|permits|throws|where)\b|:[^:]|\{\s*$)"))
+    return lines.select(
+        "relative_path", "language", "line", F.regexp_replace("bare", r"[^(){}\[\];]", "").alias("signs"), (F.trim("bare") == "").alias("blank"), F.length(F.regexp_extract("code", r"^(\s*)", 1)).cast("long").alias("indent"),
+        F.rlike("code", F.lit(r"^\s*import\b")).alias("import_line"), F.coalesce(begins, F.lit(False)).alias("begins_on"), F.coalesce(ends, F.lit(False)).alias("ends_on"),
+    )
+
+
+def depths(shape: DataFrame) -> DataFrame:
+    """With ``depth`` (of braces; Python: of indentation) and ``total`` (of all brackets) before each line."""
+    count = lambda signs: F.length("signs") - F.length(F.translate("signs", signs, ""))
     before = Window.partitionBy("relative_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     sums = {"braces": count("{") - count("}"), "total": count("([{") - count(")]}")}
-    rows = rows.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()], (F.trim("bare") == "").alias("blank"))
-    indent = F.length(F.regexp_extract("code", r"^(\s*)", 1)).cast("long")
-    return rows.withColumn("depth", F.when(F.col("language") == "python", indent).otherwise(F.col("braces"))).drop("braces")
+    rows = shape.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()])
+    return rows.withColumn("depth", F.when(F.col("language") == "python", F.col("indent")).otherwise(F.col("braces"))).drop("braces", "indent")
 
 
 def brackets(lines: DataFrame) -> DataFrame:
     """(relative_path, language, line, at, sign, level, import_line): each bracket and semicolon, ``at`` counting them in their line;
     a bracket has the level that it opens or closes, a semicolon one more than the depth that it stands at."""
-    starts = F.rlike("code", F.lit(r"^\s*import\b"))
-    signs = lines.select("relative_path", "language", "line", "total", starts.alias("import_line"), F.posexplode(F.regexp_extract_all("bare", F.lit(r"[(){}\[\];]"), F.lit(0))).alias("at", "sign"))
-    step = F.when(F.col("sign").isin("(", "[", "{"), 1).when(F.col("sign") == ";", 0).otherwise(-1)
+    signs = lines.where("signs != ''").select("relative_path", "language", "line", "total", "import_line", F.posexplode(F.split("signs", "(?!^)")).alias("at", "sign"))
+    step = F.when(F.col("sign").isin("(", "[", "{"), 1).when(F.col("sign") == ";", 0).when(F.col("sign").isin(")", "]", "}"), -1).otherwise(0)
     sofar = Window.partitionBy("relative_path", "line").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     depth = F.col("total") + F.coalesce(F.sum(step).over(sofar), F.lit(0))
-    return signs.select("relative_path", "language", "line", "at", "sign", (depth + F.when(step < 0, 0).otherwise(1)).alias("level"), "import_line")
+    return signs.select("relative_path", "language", "line", "at", "sign", (depth + F.when(step < 0, 0).otherwise(1)).alias("level"), "import_line").where("sign != ''")
 
 
-def logical_lines(lines: DataFrame, signs: DataFrame) -> DataFrame:
-    """(relative_path, language, line, last_line, raw, code, bare, depth, total): lines joined with those that they hold open."""
+def logical_spans(lines: DataFrame, signs: DataFrame) -> DataFrame:
+    """(relative_path, line, last_line, depth, total): lines joined with those that they hold open."""
     opened = signs.where("sign IN ('(', '[', '{')").select("relative_path", "line", "at", "level", ((F.col("sign") != "{") | (F.col("language") == "python") | F.col("import_line")).alias("holds"))
     begun = lines.where("total > 0").select("relative_path", "line", F.lit(-1).alias("at"), F.col("total").alias("level"), F.lit(None).cast("boolean").alias("holds"))
     so_far = Window.partitionBy("relative_path", "level").orderBy("line", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = opened.unionByName(begun).withColumn("held", F.last("holds", True).over(so_far)).where("at = -1 AND held").select("relative_path", "line", "held")
-    by_line = Window.partitionBy("relative_path").orderBy("line")
-    above = F.coalesce(F.lag("bare").over(by_line), F.lit(""))
-    tail = F.when(F.col("language") == "python", F.rlike(above, F.lit(r"\\\s*$"))).when(F.col("language").isin("java", "csharp"), F.rlike(above, F.lit(r"[\w>\])],\s*$")))
-    goes_on = F.coalesce(tail, F.lit(False)) | ((F.col("language") != "python") & F.rlike("bare", F.lit(r"^\s*(?:(?:extends|implements|permits|throws|where)\b|:[^:]|\{\s*$)")))
+    order = Window.partitionBy("relative_path").orderBy("line")
+    goes_on = F.col("begins_on") | F.coalesce(F.lag("ends_on").over(order), F.lit(False))
     rows = lines.withColumn("goes_on", goes_on).join(inner, ["relative_path", "line"], "left")
-    head = F.last(F.when(F.col("held").isNull() & ~F.col("goes_on"), F.col("line")), True).over(by_line)
-    rows = rows.withColumn("head", F.coalesce(head, F.lit(1)))
-    parts = F.array_sort(F.collect_list(F.struct("line", "raw", "code", "bare", "depth", "total")))
-    rows = rows.groupBy("relative_path", "language", "head").agg(parts.alias("p")).where(F.exists("p.bare", lambda b: F.trim(b) != ""))
-    first = F.get("p", F.lit(0))
-    text = lambda name, by: F.array_join(F.col(f"p.{name}"), by).alias(name)
-    return rows.select("relative_path", "language", F.col("head").alias("line"), F.array_max("p.line").alias("last_line"), text("raw", "\n"), text("code", " "), text("bare", " "), first["depth"].alias("depth"), first["total"].alias("total"))
+    head = F.coalesce(F.last(F.when(F.col("held").isNull() & ~F.col("goes_on"), F.col("line")), True).over(order), F.lit(1))
+    first = lambda c: F.min_by(c, "line").alias(c)
+    rows = rows.withColumn("head", head).groupBy("relative_path", "head").agg(F.max("line").alias("last_line"), first("depth"), first("total"), F.bool_and("blank").alias("blank"))
+    return rows.where("NOT blank").select("relative_path", F.col("head").alias("line"), "last_line", "depth", "total")
+
+
+def logical_lines(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """The same with language, code (line breaks kept) and bare: each file's text is moved once and cut at its spans."""
+    cuts = spans.groupBy("relative_path").agg(F.collect_list(F.struct("line", "last_line", "depth", "total")).alias("spans"))
+    rows = texts.join(cuts, "relative_path").select("relative_path", "language", "spans", by_line("code").alias("codes"), by_line("bare").alias("bares"))
+    part = lambda lines, h, by: F.array_join(F.slice(lines, h["line"], h["last_line"] - h["line"] + 1), by)
+    whole = F.transform("spans", lambda h: F.struct(h["line"].alias("line"), h["last_line"].alias("last_line"), h["depth"].alias("depth"), h["total"].alias("total"), part(F.col("codes"), h, "\n").alias("raw"), part(F.col("bares"), h, " ").alias("bare")))
+    return rows.select("relative_path", "language", F.explode(whole).alias("x")).select("relative_path", "language", "x.*").withColumn("code", F.replace("raw", F.lit("\n"), F.lit(" ")))
 
 
 def entries(inner: Column) -> Column:
@@ -139,8 +164,18 @@ def entries(inner: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(F.coalesce(inner, F.lit("")), F.lit(ENTRY), F.lit(0)), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
 
 
-def declared_heads(logical: DataFrame) -> DataFrame:
-    """The logical lines that declare, with kind, name, modifiers, bases, parameters, return_type. Names come from the masked line."""
+def imported() -> list[Column]:
+    """The module, names and alias that a logical line imports."""
+    code, language = F.col("code"), F.col("language")
+    script = language.isin("javascript", "typescript")
+    module = F.when(language == "python", F.coalesce(found(code, IMPORT["python"], 1), found(code, IMPORT["python"], 3))).when(language == "java", found(code, IMPORT["java"], 1)).when(language == "csharp", found(code, IMPORT["csharp"], 1)).when(script, F.coalesce(found(code, IMPORT["script"], 1), found(code, IMPORT["script"], 2)))
+    names = F.when(language == "python", F.transform(F.split(F.coalesce(found(code, IMPORT["python"], 2), F.lit("")), ","), lambda x: F.trim(F.translate(x, "()", "")))).otherwise(F.array(F.lit("")))
+    return [module.alias("module"), F.filter(names, lambda x: x != "").alias("names"), F.when(language == "python", found(code, IMPORT["python"], 4)).alias("alias")]
+
+
+def statements(logical: DataFrame) -> DataFrame:
+    """What logical lines say, without their text: kind, name, modifiers, bases, parameters, return_type of a declaration (names come from
+    the masked line), the literal or the decorator that it is, the module variable that it sets, what it imports."""
     code, bare, language = F.col("code"), F.col("bare"), F.col("language")
     script = language.isin("javascript", "typescript")
     python = language == "python"
@@ -156,10 +191,12 @@ def declared_heads(logical: DataFrame) -> DataFrame:
     return logical.select(
         "relative_path", "language", "line", "last_line", "depth", "total", kind.alias("kind"), F.coalesce(class_name, name).alias("name"), modifiers.alias("modifiers"),
         entries(bases).alias("bases"), entries(arguments).alias("parameters"), returns.alias("return_type"),
-    ).where("kind IS NOT NULL")
+        F.when(python, found(F.col("raw"), DOCSTRING, 1)).alias("literal"), F.when(python & F.startswith(F.trim(code), F.lit("@")), F.trim(code)).alias("decorator"),
+        F.when(python, found(bare, GLOBAL, 1)).alias("global"), F.when(python, found(bare, GLOBAL, 2)).alias("type_hint"), *imported(),
+    )
 
 
-def block_ends(heads: DataFrame, logical: DataFrame, signs: DataFrame) -> DataFrame:
+def block_ends(heads: DataFrame, said: DataFrame, signs: DataFrame) -> DataFrame:
     """(relative_path, line, end_line) of declarations."""
     later = Window.partitionBy("relative_path", "level").orderBy(F.desc("line"), F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)  # backwards, so that it is a running value
     row = lambda df, at, sign, level: df.select("relative_path", "line", F.lit(at).alias("at") if isinstance(at, int) else at, F.lit(sign).alias("sign") if isinstance(sign, str) else sign, level.alias("level"))
@@ -170,23 +207,23 @@ def block_ends(heads: DataFrame, logical: DataFrame, signs: DataFrame) -> DataFr
     rows = rows.withColumn("closed", F.last(F.when(~F.col("sign").isin("stop", "head", ";"), F.col("line")), True).over(later))
     nearest = F.last(F.when(F.col("sign").isin("{", ";", "stop", "head"), F.struct("sign", "closed")), True).over(later)
     braces = rows.withColumn("next", nearest).where("sign = 'head'").select("relative_path", "line", (F.col("next.sign") == "{").alias("has"), "next.closed")
-    python = logical.where("language = 'python'")
+    python = said.where("language = 'python'")
     before = Window.partitionBy("relative_path").orderBy("line")
     python = python.select("relative_path", "line", "depth", F.lag("depth").over(before).alias("above"), F.lag("last_line").over(before).alias("closed"))
     shut = python.where("depth <= above").select("relative_path", "line", F.lit(0).alias("at"), F.explode(F.sequence("depth", "above")).alias("level"), "closed")
     begun = heads.where("language = 'python'").select("relative_path", "line", F.lit(1).alias("at"), F.col("depth").alias("level"), F.lit(None).cast("int").alias("closed"))
     widths = shut.unionByName(begun).withColumn("closed", F.last("closed", True).over(later)).where("at = 1").select("relative_path", "line", F.lit(True).alias("has"), "closed")
-    last = logical.groupBy("relative_path").agg(F.max("last_line").alias("last"))
+    last = said.groupBy("relative_path").agg(F.max("last_line").alias("last"))
     ended = heads.select("relative_path", "line", "last_line").join(braces.unionByName(widths), ["relative_path", "line"], "left").join(last, "relative_path")
     return ended.select("relative_path", "line", F.when(F.coalesce("has", F.lit(False)), F.coalesce("closed", "last")).otherwise(F.col("last_line")).alias("end_line"))
 
 
-def declarations(logical: DataFrame, signs: DataFrame) -> DataFrame:
+def declarations(said: DataFrame, signs: DataFrame) -> DataFrame:
     """(relative_path, language, line, last_line, depth, kind, name, modifiers, bases, parameters, return_type, end_line, docstring)."""
-    heads = declared_heads(logical)
     following = Window.partitionBy("relative_path").orderBy("line")
-    after = logical.where("language = 'python'").select("relative_path", "line", F.lead("line").over(following).alias("__next"), found(F.lead("raw").over(following), DOCSTRING, 1).alias("__literal"))
-    rows = heads.join(block_ends(heads, logical, signs), ["relative_path", "line"]).join(after, ["relative_path", "line"], "left")
+    rows = said.withColumn("__next", F.lead("line").over(following)).withColumn("__literal", F.lead("literal").over(following))
+    heads = rows.where("kind IS NOT NULL").drop("literal", "decorator", "global", "type_hint", "module", "names", "alias")
+    rows = heads.join(block_ends(heads, said, signs), ["relative_path", "line"])
     return rows.withColumn("docstring", docstring(F.when(F.col("__next") <= F.col("end_line"), F.col("__literal")))).drop("total", "__next", "__literal")
 
 
@@ -199,17 +236,17 @@ def within(points: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFram
     return points.join(spread, around, how).drop("__path", "__stretch")
 
 
-def variables(lines: DataFrame, classes: DataFrame) -> DataFrame:
+def variables(lines: DataFrame, depth: DataFrame, said: DataFrame, classes: DataFrame) -> DataFrame:
     """(relative_path, line, name, type_hint, modifiers, class_name, is_global): assignments to a plain name at the top of a
     Python module, and each declarator of the fields in Java and C# classes, one level below the class."""
     code = F.col("code")
-    top = lines.where("language = 'python' AND depth = 0")
-    top = top.select("relative_path", "line", found(code, GLOBAL, 1).alias("name"), found(code, GLOBAL, 2).alias("type_hint")).where("name IS NOT NULL")
+    top = said.where("depth = 0 AND global IS NOT NULL").select("relative_path", "line", F.col("global").alias("name"), "type_hint")
     top = top.select("*", F.array().cast("array<string>").alias("modifiers"), F.lit(None).cast("string").alias("class_name"), F.lit(True).alias("is_global"))
     bare = F.regexp_replace(without_strings(code), r"/\*.*?\*/", "")
-    rows = lines.where("language IN ('java', 'csharp')").select("relative_path", "line", "depth", *[found(bare, FIELD, k).alias(n) for k, n in ((1, "marks"), (2, "type_hint"), (3, "rest"))])
+    rows = lines.where("language IN ('java', 'csharp')").select("relative_path", "line", *[found(bare, FIELD, k).alias(n) for k, n in ((1, "marks"), (2, "type_hint"), (3, "rest"))])
     rows = rows.where(F.col("rest").isNotNull() & ~F.col("type_hint").isin("return", "throw", "new", "package", "import", "using", "namespace", "class", "interface", "enum", "struct", "goto", "await", "event", "delegate", "else", "case"))
     rows = rows.where(F.rlike("rest", F.lit("[=;]")))
+    rows = rows.join(depth.select("relative_path", "line", "depth"), ["relative_path", "line"])
     inner = F.col("rest")  # without initialisers' brackets, innermost first
     for _ in range(3):
         inner = F.regexp_replace(inner, r"\([^()]*\)|\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*>", "")
@@ -220,21 +257,22 @@ def variables(lines: DataFrame, classes: DataFrame) -> DataFrame:
     return top.unionByName(fields)
 
 
-def decorators(lines: DataFrame) -> DataFrame:
-    """(relative_path, start_line, decorators): the lines that begin with ``@`` before a Python declaration, in order."""
-    mark = F.startswith(F.trim("code"), F.lit("@"))
+def decorators(said: DataFrame) -> DataFrame:
+    """(relative_path, start_line, decorators): the logical lines that begin with ``@`` before a Python declaration, in order."""
     after = Window.partitionBy("relative_path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.where("language = 'python'").select("relative_path", "line", F.trim("code").alias("code"), F.last(F.when(~mark & ~F.col("blank"), F.col("line")), True).over(after).alias("start_line"))
-    marked = rows.where(F.startswith("code", F.lit("@"))).groupBy("relative_path", "start_line").agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("all"))
-    return marked.select("relative_path", "start_line", F.col("all.code").alias("decorators"))
+    rows = said.where("language = 'python'").select("relative_path", "line", "decorator", F.last(F.when(F.col("decorator").isNull(), F.col("line")), True).over(after).alias("start_line"))
+    marked = rows.where("decorator IS NOT NULL").groupBy("relative_path", "start_line").agg(F.array_sort(F.collect_list(F.struct("line", "decorator"))).alias("all"))
+    return marked.select("relative_path", "start_line", F.col("all.decorator").alias("decorators"))
 
 
 def entities(files: DataFrame) -> dict[str, DataFrame]:
     """modules, classes, functions (with class and calls), imports and variables of source files (relative_path, language, text)."""
-    lines = lines_of(files)
-    signs = brackets(lines)
-    logical = logical_lines(lines, signs)
-    declared = stored(declarations(logical, signs), "declarations")  # small; classes, functions and variables read it
+    texts = stored(masked_files(files), "masked")
+    lines = lines_of(texts)
+    depth = stored(depths(shapes(lines)), "shapes")
+    signs = brackets(depth)
+    said_lines = stored(statements(logical_lines(texts, logical_spans(depth, signs))), "statements")
+    declared = stored(declarations(said_lines, signs), "declarations")  # small; classes, functions and variables read it
     classes = declared.where("kind = 'class'").select("relative_path", "language", "name", F.col("line").alias("start_line"), "end_line", "depth", "bases", "modifiers", "docstring")
     outer = classes.select(F.col("relative_path").alias("__path"), F.col("name").alias("class_name"), (F.col("start_line") + 1).alias("first"), F.col("end_line").alias("last"))
     inside = within(declared.where("kind = 'function'"), outer, "left")
@@ -248,12 +286,8 @@ def entities(files: DataFrame) -> dict[str, DataFrame]:
     calls = within(said, ranges).where("NOT (line <= __head AND callee = __own)").withColumnRenamed("first", "start_line")
     calls = calls.groupBy("relative_path", "start_line").agg(F.array_sort(F.collect_set("callee")).alias("calls"))
     functions = spans.drop("last_line").join(calls, ["relative_path", "start_line"], "left").withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
-    functions = functions.join(decorators(lines), ["relative_path", "start_line"], "left").withColumn("decorators", F.coalesce("decorators", F.array().cast("array<string>")))
+    functions = functions.join(decorators(said_lines), ["relative_path", "start_line"], "left").withColumn("decorators", F.coalesce("decorators", F.array().cast("array<string>")))
     functions = functions.withColumn("is_private", F.array_contains("modifiers", "private") | F.rlike("name", F.lit("^_(?!_)")))
-    code, language = F.col("code"), F.col("language")
-    script = language.isin("javascript", "typescript")
-    module = F.when(language == "python", F.coalesce(found(code, IMPORT["python"], 1), found(code, IMPORT["python"], 3))).when(language == "java", found(code, IMPORT["java"], 1)).when(language == "csharp", found(code, IMPORT["csharp"], 1)).when(script, F.coalesce(found(code, IMPORT["script"], 1), found(code, IMPORT["script"], 2)))
-    names = F.when(language == "python", F.transform(F.split(F.coalesce(found(code, IMPORT["python"], 2), F.lit("")), ","), lambda x: F.trim(F.translate(x, "()", "")))).otherwise(F.array(F.lit("")))
-    imports = logical.select("relative_path", "line", module.alias("module"), F.filter(names, lambda x: x != "").alias("names"), F.when(language == "python", found(code, IMPORT["python"], 4)).alias("alias")).where("module IS NOT NULL")
+    imports = said_lines.select("relative_path", "line", "module", "names", "alias").where("module IS NOT NULL")
     modules = files.select("relative_path", "language", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("line_count"), F.octet_length("text").alias("size"))
-    return {"modules": modules, "classes": classes, "functions": functions, "imports": imports, "variables": variables(lines, classes)}
+    return {"modules": modules, "classes": classes, "functions": functions, "imports": imports, "variables": variables(lines, depth, said_lines, classes)}
