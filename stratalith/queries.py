@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import graph, incremental, ranking, relational, search_index
+from .operators import buckets, graph, incremental, ranking, relational, search_index, storage
 from .sources import definitions, files
 from .streaming import events as stream
 
@@ -404,6 +404,19 @@ def replace_cascade(spark, sf):
     return joined.agg(F.count("*").alias("children"), big(F.sum("l_linenumber")).alias("kept"), F.countDistinct("o_orderkey").alias("parents"))
 
 
+@query("SELECT doc_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS digest, CAST(version AS BIGINT) AS version FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN coalesce(text, '') || chr(10) || '# changed' ELSE coalesce(text, '') END AS t, CASE WHEN doc_id % 50 = 7 THEN 2 ELSE 1 END AS version FROM documents WHERE (doc_id % 50 = 11) IS NOT TRUE)")
+def bucketed_update(spark, sf):
+    """Digests of all whole texts in a table of hash buckets, then brought up to date with changed and vanished documents."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    digests = lambda rows, version: rows.select("doc_id", big(F.length("t")).alias("n"), F.md5("t").alias("digest"), F.lit(version).cast("bigint").alias("version"))
+    kept = buckets.BucketedTable(spark, storage.new_folder(spark, "digests"), "doc_id bigint, n bigint, digest string, version bigint", "doc_id")
+    kept.replace(digests(docs, 1))
+    changed = storage.stored(digests(docs.where("doc_id % 50 = 7").withColumn("t", F.concat("t", F.lit("\n# changed"))), 2), "changed")
+    touched = changed.select("doc_id").unionByName(docs.where("doc_id % 50 = 11").select("doc_id"))
+    kept.exchange(changed, touched, "doc_id", kept.touched(touched))
+    return kept.read()
+
+
 # Batches, windows, conversations.
 
 
