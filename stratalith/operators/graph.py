@@ -12,6 +12,8 @@ from .storage import stored
 
 #: Members by which a group of circular dependencies is shown.
 SHOWN = 20
+#: Importers of a name, and modules that it meets, in a cell of their product.
+CELL = 1024
 
 
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -58,14 +60,32 @@ def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
 
 def module_dependencies(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """(path, depends_on) of imports (path, module) where one of the imported name and a module's dotted path contains the
-    other."""
-    names = imports.select("module").where("module <> ''").distinct()
+    other.
+
+    The pairs may be quadratically many, so they are made once, by the join that ends the plan, and never gathered: of several
+    imported names that lead from one path to the same module only the first makes the pair. A name's importers and modules
+    meet in cells of at most ``CELL`` of either.
+    """
+    asked = stored(imports.select("path", "module").where("module <> ''").distinct(), "imports")
+    names = asked.select("module").distinct()
     paths = modules.select(F.col("path").alias("depends_on"), dotted(F.col("path")).alias("dotted")).distinct()
     inner, outer = names.select(F.col("module").alias("part")), paths.select(F.col("dotted").alias("whole")).distinct()
     inside = contained(inner, outer).select(F.col("part").alias("module"), F.col("whole").alias("dotted"))
     around = contained(outer.select(F.col("whole").alias("part")), inner.select(F.col("part").alias("whole"))).select(F.col("whole").alias("module"), F.col("part").alias("dotted"))
-    pairs = inside.unionByName(around).distinct().join(paths, "dotted").select("module", "depends_on")
-    return imports.select("path", "module").distinct().join(pairs, "module").select("path", "depends_on").distinct()
+    met = stored(inside.unionByName(around).distinct().join(paths, "dotted").select("module", "depends_on", "dotted"), "met")
+    number = lambda rows, name: rows.groupBy("module").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
+    cells = stored(number(asked, "rows").join(number(met, "columns"), "module"), "cells")
+    used = asked.join(cells, "module")
+    before = F.array_sort(F.collect_set("module").over(Window.partitionBy("path")))
+    left = used.select("path", "module", "rows", "columns", before.alias("names")).withColumn("names", F.filter("names", lambda n: n < F.col("module")))
+    place = lambda c, most: F.pmod(F.xxhash64(c), F.col(most)).cast("int")
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
+    key = ["module", "row", "column"]
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as given: few bytes make many pairs
+    left = left.select("path", "names", "module", place("path", "rows").alias("row"), every("columns").alias("column")).repartition(parts, *key)
+    right = met.join(cells, "module").select("depends_on", "dotted", "module", every("rows").alias("row"), place("depends_on", "columns").alias("column")).repartition(parts, *key)
+    told = F.exists("names", lambda n: F.contains(F.col("dotted"), n) | F.contains(n, F.col("dotted")))
+    return left.join(right, key).where(~told).select("path", "depends_on")
 
 
 def depended_by(dependencies: DataFrame) -> DataFrame:

@@ -24,6 +24,23 @@ def test_dependencies_by_containment(spark):
     assert sorted(map(tuple, graph.module_dependencies(imports, modules).collect())) == want
 
 
+def test_dependencies_are_not_gathered(spark, monkeypatch):
+    """Pairs are distinct as they are made, in small cells and by several names; the plan ends with the join that makes them."""
+    monkeypatch.setattr(graph, "CELL", 3, raising=False)
+    used = [(f"p{i}", m) for i in range(20) for m in ("core", "ore", "a/b.core/f1.py", "none", "f1")[: 1 + i % 5]] + [(None, "core")]
+    paths = [f"a/core/f{i}.py" for i in range(20)] + ["core", "f1"]
+    imports, modules = spark.createDataFrame(used * 2, "path string, module string"), spark.createDataFrame([(p,) for p in paths * 2], "path string")
+    want = sorted({(i, p) for i, m in used for p in paths if m in p.replace("/", ".") or p.replace("/", ".") in m}, key=str)
+    found = graph.module_dependencies(imports, modules)
+    for rows in (found,):
+        plan = rows._jdf.queryExecution().optimizedPlan()
+        while plan.getClass().getSimpleName() == "Project":
+            plan = plan.child()
+        assert plan.getClass().getSimpleName() == "Join"
+    assert sorted(map(tuple, found.collect()), key=str) == want
+    assert sorted(((d, p) for p, d in graph.depended_by(found).collect()), key=str) == want
+
+
 def test_cycles_equal_search(spark):
     rng = random.Random(3)
     edges = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(26)}
