@@ -89,8 +89,8 @@ def module_dependencies(imports: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def depended_by(dependencies: DataFrame) -> DataFrame:
-    """(path, depended_by): the inverse of (path, depends_on)."""
-    return dependencies.select(F.col("depends_on").alias("path"), F.col("path").alias("depended_by")).distinct()
+    """(path, depended_by): the inverse of (path, depends_on), whose rows are distinct."""
+    return dependencies.select(F.col("depends_on").alias("path"), F.col("path").alias("depended_by"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def test_dependencies_are_not_gathered(spark, monkeypatch):
     imports, modules = spark.createDataFrame(used * 2, "path string, module string"), spark.createDataFrame([(p,) for p in paths * 2], "path string")
     want = sorted({(i, p) for i, m in used for p in paths if m in p.replace("/", ".") or p.replace("/", ".") in m}, key=str)
     found = graph.module_dependencies(imports, modules)
-    for rows in (found,):
+    for rows in (found, graph.depended_by(found)):
         plan = rows._jdf.queryExecution().optimizedPlan()
         while plan.getClass().getSimpleName() == "Project":
             plan = plan.child()
