@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .relational import first_of_each
+from .storage import dealt
 
 
 def changes(scanned: DataFrame, cached: DataFrame, key: str, state: list[str]) -> DataFrame:
@@ -27,9 +28,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str, ties:
 
 
 def replaced(parents: DataFrame, children: DataFrame, new_parents: DataFrame, new_children: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Parents and children after the parents of ``new_parents`` and all their children were replaced."""
-    gone = new_parents.select(key).distinct()
-    return parents.join(gone, key, "left_anti").unionByName(new_parents), children.join(gone, key, "left_anti").unionByName(new_children)
+    """Parents and children after the parents of ``new_parents`` and all their children were replaced; both are dealt by the key."""
+    gone = dealt(new_parents.select(key), key).distinct()
+    kept = lambda rows: dealt(rows, key).join(gone, key, "left_anti")
+    return dealt(kept(parents).unionByName(new_parents), key), dealt(kept(children).unionByName(new_children), key)
 
 
 def valid(row_hash: Column, cached_hash: Column, corrected: Column) -> Column:

@@ -31,6 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to all partitions that are set. Adaptive execution joins partitions by their packed bytes, however many rows
+    those are; what is dealt by number stays apart."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def globally_ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Rows with ``rank`` (from 1) in a total order, without a single sorted partition: ranges are sorted by themselves,
     and each one's first rank is the running sum of the ranges' sizes (a row per range)."""

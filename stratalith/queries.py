@@ -398,7 +398,7 @@ def upsert_latest(spark, sf):
 def replace_cascade(spark, sf):
     orders, lines = table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     again = orders.where("o_orderkey % 7 = 0")
-    new_lines = lines.join(again, "o_orderkey", "left_semi").withColumn("l_linenumber", F.lit(0))
+    new_lines = storage.dealt(lines, "o_orderkey").join(storage.dealt(again, "o_orderkey"), "o_orderkey", "left_semi").withColumn("l_linenumber", F.lit(0))
     parents, children = incremental.replaced(orders, lines, again, new_lines, "o_orderkey")
     joined = parents.join(children, "o_orderkey")
     return joined.agg(F.count("*").alias("children"), big(F.sum("l_linenumber")).alias("kept"), F.countDistinct("o_orderkey").alias("parents"))

@@ -41,6 +41,20 @@ def test_dependencies_are_not_gathered(spark, monkeypatch):
     assert sorted(((d, p) for p, d in graph.depended_by(found).collect()), key=str) == want
 
 
+def partitions(rows):
+    return rows.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_replaced_rows_stay_dealt(spark):
+    """Many rows of few bytes aren't gathered in few tasks."""
+    parents, children = spark.range(0, 900, 1, 1).toDF("k"), spark.range(0, 3600, 1, 1).select((F.col("id") % 1000).alias("k"), F.lit(1).alias("old"))
+    new = parents.where("k % 7 = 0")
+    after, below = incremental.replaced(parents, children, new, children.where("k = 7").withColumn("old", F.lit(0)), "k")
+    assert sorted(r.k for r in after.collect()) == list(range(900))
+    assert sorted(map(tuple, below.collect())) == sorted([(i % 1000, 1) for i in range(3600) if i % 1000 % 7 or i % 1000 >= 900] + [(7, 0)] * 4)
+    assert partitions(after) == partitions(below) == partitions(after.join(below, "k")) == 4
+
+
 def test_cycles_equal_search(spark):
     rng = random.Random(3)
     edges = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(26)}
