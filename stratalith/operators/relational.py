@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .storage import globally_ranked, stored
+from .storage import dealt, globally_ranked, stored
 
 
 def contains_word(column: str, word: str | None) -> Column:
@@ -62,6 +62,23 @@ def tagged_union(parts: dict[str, DataFrame], tag: str = "kind") -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn(tag, F.lit(name)) for name, df in parts.items()])
 
 
+#: Rows of either side in a cell of the product of a key's rows.
+CELL = 1024
+
+
+def crossed(left: DataFrame, right: DataFrame, key: str, left_place: list[str], right_place: list[str]) -> DataFrame:
+    """The join of both by ``key`` where few rows make many: a key's rows meet in cells of about ``CELL`` of either side, dealt to all
+    partitions. ``left_place`` and ``right_place`` are columns that tell a side's rows apart."""
+    number = lambda rows, name: rows.groupBy(key).agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
+    cells = stored(number(left, "__rows").join(number(right, "__columns"), key), "cells")
+    place = lambda columns, most: F.pmod(F.xxhash64(*columns), F.col(most)).cast("int")
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
+    ways = [key, "__row", "__column"]
+    left = left.join(cells, key).withColumn("__row", place(left_place, "__rows")).withColumn("__column", every("__columns")).drop("__rows", "__columns")
+    right = right.join(cells, key).withColumn("__column", place(right_place, "__columns")).withColumn("__row", every("__rows")).drop("__rows", "__columns")
+    return dealt(left, *ways).join(dealt(right, *ways), ways).drop("__row", "__column")
+
+
 def top_fraction(rows: DataFrame, order: list[Column], share: float = 0.6, least: int = 5) -> DataFrame:
     """The first ``share`` of the rows, ``least`` at least; the rank is distributed, as the share may be large."""
     ranked = globally_ranked(rows, order)

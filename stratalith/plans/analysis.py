@@ -176,12 +176,13 @@ def class_relations(classes: DataFrame, most_bases: int = 3, most_subclasses: in
     """(path, name, relation, place, other, other_path) of classes (path, name, pos, bases): each of a class's first bases with
     the first class of that name, and the first classes of each module that name it as a base."""
     named = relational.first_of_each(classes.select(F.col("name").alias("other"), F.col("path").alias("other_path"), "pos"), ["other"], [F.col("pos"), F.col("other_path")]).drop("pos")
-    listed = classes.select("path", "name", "pos", F.posexplode(F.slice("bases", 1, most_bases)).alias("place", "other"))
+    listed = storage.dealt(classes, "name", "pos").select("path", "name", "pos", F.posexplode(F.slice("bases", 1, most_bases)).alias("place", "other"))
     bases = listed.join(named, "other").select("path", "name", F.lit("base").alias("relation"), F.col("place").cast("bigint").alias("place"), "other", "other_path")
     using = classes.select(F.col("name").alias("other"), F.col("path").alias("other_path"), "pos", F.explode(F.array_distinct("bases")).alias("name"))
     first = relational.first_of_each(using, ["name", "other_path"], [F.col("pos"), F.col("other")], most_subclasses)
     rank = F.row_number().over(Window.partitionBy("name", "other_path").orderBy("pos", "other")) - 1
-    subs = first.withColumn("place", rank.cast("bigint")).join(classes.select("path", "name"), "name")
+    subs = storage.stored(first.withColumn("place", rank.cast("bigint")).drop("pos"), "subclasses")
+    subs = relational.crossed(classes.select("path", "name", "pos"), subs, "name", ["path", "pos"], ["other_path", "place"])
     return bases.unionByName(subs.select("path", "name", F.lit("subclass").alias("relation"), "place", "other", "other_path"))
 
 

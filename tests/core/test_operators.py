@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stratalith.functions import text as T
 from stratalith.operators import graph, incremental, ranking, relational
+from stratalith.plans import analysis
 from stratalith.streaming import events as stream
 
 
@@ -55,6 +56,28 @@ def test_replaced_rows_stay_dealt(spark):
     assert partitions(after) == partitions(below) == partitions(after.join(below, "k")) == 4
 
 
+def test_frequent_names_meet_in_cells(spark, monkeypatch):
+    """Few classes with many subclasses make many rows: by all partitions, in small cells, as often as they come."""
+    monkeypatch.setattr(relational, "CELL", 3, raising=False)
+    left = spark.createDataFrame([("a" if i % 4 else "b", i // 2) for i in range(40)] + [(None, 1), ("z", 1)], "k string, i int").coalesce(1)
+    right = spark.createDataFrame([("a" if i % 3 else "b", i // 2) for i in range(31)] + [(None, 1), ("y", 1)], "k string, j int").coalesce(1)
+    found = relational.crossed(left, right, "k", ["i"], ["j"])
+    assert sorted(map(tuple, found.select("k", "i", "j").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "i", "j").collect()))
+    assert partitions(found) == 4
+    classes = spark.range(0, 3000, 1, 1).select(F.lit("p").alias("path"), F.concat(F.lit("C"), F.col("id") % 2).alias("name"), F.col("id").alias("pos"), F.array(F.lit("C0"), F.lit("C1")).alias("bases"))
+    rows = analysis.class_relations(classes)
+    assert rows.groupBy("relation").count().orderBy("relation").collect() == [("base", 6000), ("subclass", 15000)]
+    assert partitions(rows.where("relation = 'subclass'")) == 4
+
+
+def test_texts_expand_in_all_partitions(spark):
+    texts = spark.range(0, 400, 1, 1).select("id", F.concat(F.lit("Cats and dog"), F.col("id") % 2).alias("text"))
+    synonyms = spark.createDataFrame([("cat", "animal"), ("cat", "pet"), ("bird", "dog1"), ("fish", "x")], "key string, value string")
+    found = ranking.expanded_texts(texts, synonyms)
+    assert sorted(map(tuple, found.collect())) == sorted((i, c) for i in range(400) for c in ["animal", "pet"] + ["dog1"] * (i % 2))
+    assert partitions(found) == 4
+
+
 def test_cycles_equal_search(spark):
     rng = random.Random(3)
     edges = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(26)}
