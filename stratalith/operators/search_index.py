@@ -3,6 +3,9 @@
 Names: the distinct names in lower case, each with its grams of one to three characters. A word finds the names that hold it through
 its rarest gram, then by looking (a word of up to three characters is a gram itself). No name is compared with all words.
 
+Snippets that no question can tell apart (same name, weight, bonus, concepts and signature words) have equal scores, so that of each such
+group the index holds the first ``most`` by key: no question for up to ``most`` snippets can choose another one.
+
 Snippets: by name, and as postings of concepts and signature words. A posting list is cut into blocks by falling impact (the
 weight and the size bonus of a snippet), with the greatest of each block beside it. The best ``number`` snippets of a question are
 found in three steps, each only as far as its bound allows:
@@ -24,6 +27,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .ranking import name_points, score_of, size_bonus, weight_of
 from .relational import first_of_each, within_budget
@@ -31,6 +35,8 @@ from .storage import globally_ranked, new_folder, stored
 
 #: Snippets of a block of postings.
 BLOCK = 128
+#: Snippets that a question may ask for, unless the index is built for more.
+MOST = 16
 #: The greatest weight and size bonus of a snippet.
 MOST_WEIGHT, MOST_BONUS = 2.0, 8.0
 
@@ -93,27 +99,32 @@ def name_index(rows: DataFrame, name: str, root: str | None = None) -> NameIndex
 
 @dataclass(frozen=True)
 class SnippetIndex:
-    """The stored tables of an index of snippets: ``by_name``, ``postings``, ``vocabulary``, ``by_bonus`` and an index of names."""
+    """The stored tables of an index of snippets: ``by_name``, ``postings``, ``vocabulary``, ``by_bonus`` and an index of names. Questions
+    may ask for up to ``most`` snippets."""
 
     spark: SparkSession
     root: str
     names: NameIndex
+    most: int = MOST
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}")
 
 
-def snippet_index(index: DataFrame, root: str | None = None) -> SnippetIndex:
-    """Write the index of snippets (key, path, name, kind, start_line, end_line, keywords, tags, tokens)."""
+def snippet_index(index: DataFrame, root: str | None = None, most: int = MOST) -> SnippetIndex:
+    """Write the index of snippets (key, path, name, kind, start_line, end_line, keywords, tags, tokens), for questions for up to
+    ``most`` of them."""
     spark = index.sparkSession
     root = root or new_folder(spark, "snippet-index")
     span = F.col("end_line") - F.col("start_line")
     rows = index.select("key", "path", "name", F.lower("name").alias("low"), "kind", span.alias("span"), "keywords", "tags", "tokens")
     rows = rows.withColumns({"boost": weight_of(F.col("kind")).cast("double"), "bonus": size_bonus(F.col("kind"), F.col("span")).cast("double")})
+    same = Window.partitionBy("low", "boost", "bonus", "keywords", "tags").orderBy("key")
+    rows = rows.withColumn("among", F.row_number().over(same)).where(F.col("among") <= most)
     rows.repartitionByRange("low", "key").sortWithinPartitions("low", "key").write.parquet(f"{root}/by_name")
-    found = SnippetIndex(spark, root, name_index(spark.read.parquet(f"{root}/by_name").select("low").distinct(), "low", f"{root}/names"))
+    found = SnippetIndex(spark, root, name_index(spark.read.parquet(f"{root}/by_name").select("low").distinct(), "low", f"{root}/names"), most)
     rows = found.read("by_name")
-    entry = F.struct("boost", "bonus", "key", "path", "name", "tokens")
+    entry = F.struct("boost", "bonus", "key", "path", "name", "tokens", "among")
     terms = rows.select(F.explode(F.array(F.struct(F.lit("tag").alias("field"), F.col("tags").alias("terms")), F.struct(F.lit("keyword").alias("field"), F.col("keywords").alias("terms")))).alias("of"), entry.alias("entry"))
     terms = terms.select("of.field", F.explode(F.array_distinct("of.terms")).alias("term"), "entry")
     # Ranges hold a list in order of impact, so that blocks are cut without gathering a list.
@@ -136,6 +147,8 @@ def kth(rows: DataFrame, value: str, number: int, out: str) -> DataFrame:
 def ask(index: SnippetIndex, questions: DataFrame, number: int = 8, budget: int = 3000) -> DataFrame:
     """qid, key, path, name, tokens, score, rank, spent: the best snippets of each question (qid, words, expanded), up to the first that
     overflows its budget."""
+    if number > index.most:
+        raise ValueError(f"the index was built for questions for up to {index.most} snippets; build it with most={number}")
     some = lambda column: F.filter(F.array_distinct(F.coalesce(column, F.array().cast("array<string>"))), lambda w: w != "").alias(column)
     asked = stored(questions.select("qid", some("words"), some("expanded")).toDF("qid", "q", "e"), "questions")
     words = asked.select("qid", "q", "e", F.explode(F.array_union("q", "e")).alias("word"))
@@ -156,12 +169,12 @@ def ask(index: SnippetIndex, questions: DataFrame, number: int = 8, budget: int
     close = rated.join(sure, "qid", "left").join(bounds, "qid", "left").where(most >= F.coalesce("sure", F.lit(0)))
     value = score_of(F.col("q"), F.col("e"), F.col("kind"), F.col("low"), F.col("keywords"), F.col("tags"), F.col("span"))
     columns = ["qid", "key", "path", "name", "tokens", "score"]
-    named = close.withColumnRenamed("name", "low").join(index.read("by_name"), "low").withColumn("score", value.cast("double")).select(*columns)
+    named = close.withColumnRenamed("name", "low").join(index.read("by_name").where(F.col("among") <= number), "low").withColumn("score", value.cast("double")).select(*columns)
     named = stored(named, "named")
     # 2. Concepts and signature words.
     least = kth(named, "score", number, "least")
     opened = worth.join(bounds, "qid").join(least, "qid", "left").join(index.read("postings"), ["field", "term"]).where(F.col("most") * F.col("top_boost") + F.col("top_bonus") >= F.coalesce("least", F.lit(0)))
-    entries = opened.select("qid", "points", F.explode("entries").alias("x")).groupBy("qid", F.col("x.key").alias("key")).agg(F.sum("points").alias("points"), F.first("x").alias("x"))
+    entries = opened.select("qid", "points", F.explode(F.filter("entries", lambda x: x["among"] <= number)).alias("x")).groupBy("qid", F.col("x.key").alias("key")).agg(F.sum("points").alias("points"), F.first("x").alias("x"))
     scored = entries.select("qid", "key", "x.path", "x.name", "x.tokens", (F.col("points") * F.col("x.boost") + F.col("x.bonus")).cast("double").alias("score"))
     # A snippet of step 1 may be met again by its words; a name that holds a word is left to step 1, be it near enough or not.
     wordy = scored.withColumn("low", F.lower("name")).join(rated.select("qid", F.col("name").alias("low")), ["qid", "low"], "left_anti")

@@ -53,6 +53,24 @@ def test_closed_blocks_are_not_opened(spark):
     assert stored.read("postings").where(f"term = 'user' AND 5 * top_boost + top_bonus >= {least}").isEmpty()
 
 
+def test_equal_snippets_are_held_up_to_what_is_asked(spark):
+    """Two thousand snippets of few shapes: the index holds the first of each, and answers as a scan of all does."""
+    rows = [(("class", "function", "module")[i % 3], ("userService", "order", "zz")[i // 3 % 3], f"p{i}.py", 1, (10, 90)[i // 9 % 2], ("select cache", "page", "")[i // 18 % 3], 5000 - i) for i in range(2000)]
+    every = built(spark, rows)
+    index = search_index.snippet_index(every, most=8)
+    assert index.read("by_name").count() <= 3 * 3 * 2 * 3 * 8
+    texts = ["user", "cache", "page of zz", "nothing else", "order select"]
+    questions = [(t, ranking.Question.of(t)) for t in texts]
+    asked = spark.createDataFrame([(qid, list(q.words), list(q.expanded)) for qid, q in questions], "qid string, words array<string>, expanded array<string>")
+    for number in (8, 3):
+        got = {qid: [] for qid, _ in questions}
+        for r in sorted(search_index.ask(index, asked, number, 3000).collect(), key=lambda r: (r["qid"], r["rank"])):
+            got[r["qid"]].append((r["key"], round(r["score"], 6)))
+        assert got == scanned_search(every, questions, number, 3000)
+    with pytest.raises(ValueError, match="most=9"):
+        search_index.ask(index, asked, 9)
+
+
 def test_hits_by_part_of_a_word(spark):
     rng = random.Random(4)
     names = ["".join(rng.choice("abcAé_ .") for _ in range(rng.randint(0, 9))) for _ in range(600)] + [None, "", "aaa" * 50]
