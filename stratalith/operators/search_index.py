@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from .ranking import name_points, score_of, size_bonus, weight_of
 from .relational import first_of_each, within_budget
-from .storage import globally_ranked, new_folder, stored
+from .storage import dealt, globally_ranked, new_folder, stored
 
 #: Snippets of a block of postings.
 BLOCK = 128
@@ -169,7 +169,7 @@ def ask(index: SnippetIndex, questions: DataFrame, number: int = 8, budget: int
     close = rated.join(sure, "qid", "left").join(bounds, "qid", "left").where(most >= F.coalesce("sure", F.lit(0)))
     value = score_of(F.col("q"), F.col("e"), F.col("kind"), F.col("low"), F.col("keywords"), F.col("tags"), F.col("span"))
     columns = ["qid", "key", "path", "name", "tokens", "score"]
-    named = close.withColumnRenamed("name", "low").join(index.read("by_name").where(F.col("among") <= number), "low").withColumn("score", value.cast("double")).select(*columns)
+    named = dealt(close.withColumnRenamed("name", "low"), "qid", "low").join(index.read("by_name").where(F.col("among") <= number), "low").withColumn("score", value.cast("double")).select(*columns)
     named = stored(named, "named")
     # 2. Concepts and signature words.
     least = kth(named, "score", number, "least")
