@@ -48,7 +48,7 @@ def written(docs: DataFrame) -> DataFrame:
         first = "{text}" if second == "{id}" else "{id}"
         return F.concat(F.lit(head), values[first], F.lit(middle), values[second], F.lit(tail))
 
-    python, java = filled(PYTHON, F.translate(text, '"', "'")), filled(JAVA, F.replace(text, F.lit("*/"), F.lit("* /")))
+    python, java = filled(PYTHON, F.replace(text, F.lit('"'), F.lit("'"))), filled(JAVA, F.replace(text, F.lit("*/"), F.lit("* /")))
     ending = F.when(even, ".py").otherwise(".java")
     return docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), ending).alias("relative_path"), F.when(even, "python").otherwise("java").alias("language"), F.when(even, python).otherwise(java).alias("text"))
 
